@@ -16,7 +16,6 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from functools import partial
 from pathlib import Path
 
 import pandas as pd

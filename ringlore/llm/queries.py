@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boiler, names, neardup, pii, repeats, survivors, textforms
+from . import boiler, mixing, names, neardup, packing, pii, repeats, subjects, survivors, textforms
 from .common import table
 
 
@@ -95,7 +95,40 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_groups(_article_sketches(spark, sf_dir), 0.6).withColumnsRenamed({"record": "raw_document_id", "group": "group_id"})
 
 
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = [(r["container_kind"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_capacities").orderBy("capacity_tokens").collect()]
+    return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", kinds).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = p8_pack(spark, sf_dir).groupBy("container_kind").agg(F.sum("n_tokens").alias("tokens"), (F.max("container") + 1).alias("containers"), F.count("*").alias("pieces"))
+    kinds = table(spark, sf_dir, "pack_capacities")
+    return used.join(kinds, "container_kind").withColumn("filled", F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[mixing.Share]]:
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, sf_dir, "mix_targets").orderBy("source").collect()]
+    return mixing.mixed(mixing.measured(table(spark, sf_dir, "documents"), "doc_id", "source", "text", [t[0] for t in targets]), targets)
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.share_report(*_mix(spark, sf_dir))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
+    return subjects.with_subjects(docs, "text").select("doc_id", F.explode("subjects").alias("subject"))
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_found(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scrubbed, p2_found, p2_survivors, p3_found, p3_unified_contexts, p4_found, p4_entities, p5_found, p6_found, p7_found, p7_groups)
+    f.__name__: f for f in (p1_found, p1_scrubbed, p2_found, p2_survivors, p3_found, p3_unified_contexts, p4_found, p4_entities, p5_found, p6_found, p7_found, p7_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)
 }
 SQL: dict[str, str] = {}
