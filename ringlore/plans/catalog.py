@@ -12,7 +12,7 @@ from ..functions import phone, text, urls
 from ..operators.merge import changed_documents, merge
 from ..rules import CATEGORY_RULES, COMPANY_FLAGS, COMPANY_PATTERN, CONNECTOR_PATTERN, HORIZON_HOURS, HOTLINE_KEYWORDS, JOB_STATUSES, MOBILE_PREFIXES, PHONE_KEYWORDS, PHONE_PATTERN, URL_DENY, URL_RULES
 from ..session import table
-from . import adapters, marts
+from . import adapters, ingest, marts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -524,3 +524,25 @@ def raw_document_insert_if_changed(spark: SparkSession, sf_dir: str) -> DataFram
 def unprocessed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, seen = _t(spark, sf_dir, "raw_documents", "phone_observations")
     return docs.select("id", "source_id").join(seen.select(F.col("raw_document_id").alias("id")), "id", "left_anti")
+
+
+_HTML = SQL["extract_html_candidates"]
+
+
+@_query("crawl_pipeline_numbers", f"WITH h AS ({_HTML}), {ladder_sql('phone_raw', 'h')} SELECT normalized AS phone_e164, type AS phone_type, CAST(sum(times) AS BIGINT) AS observation_count, count(DISTINCT id) AS documents FROM h JOIN ladder ON raw = phone_raw WHERE normalized IS NOT NULL GROUP BY 1, 2")
+def crawl_pipeline_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ingest.page_observations(table(spark, sf_dir, "raw_documents").select("id", "raw_content")).where("phone_normalized IS NOT NULL")
+    return found.groupBy(F.col("phone_normalized").alias("phone_e164"), "phone_type").agg(F.count("*").alias("observation_count"), F.count_distinct("id").alias("documents"))
+
+
+@_query(
+    "dataset_rows_to_observations",
+    f"""WITH {ladder_sql('phone_raw', 'personal_call_logs')}
+SELECT phone_raw, normalized AS phone_normalized, type AS phone_type, 'calls: ' || call_count AS context_text, count(*) AS times
+FROM personal_call_logs JOIN ladder ON raw = phone_raw WHERE trim(phone_raw) <> '' GROUP BY 1, 2, 3, 4""",
+)
+def dataset_rows_to_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "personal_call_logs").select(F.col("phone_raw").alias("SĐT"), F.col("call_count").cast("string").alias("calls"))
+    found = ingest.dataset_observations(rows, "calls")
+    return found.groupBy("phone_raw", "phone_normalized", "phone_type", "context_text").agg(F.count("*").alias("times"))
+
