@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .pages import Leaf, Page, is_markup, read_page
+from .common import python_udf
+from .pages import Leaf, Page, read_page
 from .pii import fold
 
 MODEL = Path(__file__).with_name("boiler_model.json")
@@ -44,8 +45,8 @@ def _ending(text: str) -> str:
     return "stop" if text[-1] in ".?!…" else "date" if _DATE_END.search(text) else "open"
 
 
-def page_features(page: Page) -> list[list[str]]:
-    """For each leaf the names of what holds for it: its form, its elements, its place, its neighbours and its words."""
+def form_features(page: Page) -> list[list[str]]:
+    """For each leaf the names of what holds for its form, its elements, its place and its neighbours."""
     heading, _, site = page.title.rpartition(" | ")
     site = site.lower() if heading else ""
     heading, plain_site = heading or page.title, fold(site)
@@ -60,14 +61,9 @@ def page_features(page: Page) -> list[list[str]]:
         out = ["n0" if n < 4 else "n4" if n < 9 else "n9" if n < 16 else "n16" if n <= LONG else "n25", end]
         if end == "stop" and n > 5:
             out.append("sentence")
-        if tags:
-            if "a" in tags:
-                out.append("link")
-            for t in ("title", "p", "li", "b", "small", "em", "i", "span", "font"):
-                if t in tags:
-                    out.append("<" + t)
-            if not tags.isdisjoint(("h1", "h2", "h3")):
-                out.append("<h")
+        for t in tags:
+            if t in _NAMED:
+                out.append(_NAMED[t])
         if text == heading:
             out.append("heading")
         elif trail and text.startswith(trail):
@@ -78,26 +74,41 @@ def page_features(page: Page) -> list[list[str]]:
         out.append("before:" + (ends[i + 1] if i + 1 < len(leaves) else "none") + (":same" if i + 1 < len(leaves) and leaves[i + 1].node == leaf.node else ""))
         if not page.markup:
             out.append("plain")
-        if n <= LONG:
-            if " > " in text:
-                out.append("path")
-            if " | " in text:
-                out.append("bars")
-            if text.count(" - ") > 1:
-                out.append("dashes")
-            if _BULLET.match(text):
-                out.append("bullet")
+        if site and n <= LONG:
             low = text.lower()
-            if site and (site in low or plain_site in low):
+            if site in low or plain_site in low:
                 out.append("site")
-            words = _WORDS.findall(_NAMES.sub(" Name ", text))
-            words = [w if w == "Name" else w.lower() for w in words]
-            out += words
-            out += map(" ".join, zip(words, words[1:]))
         rows.append(out)
     return rows
 
 
+_NAMED = {t: f"<{t}" for t in ("title", "p", "li", "b", "small", "em", "i", "span", "font")} | {"a": "link", "h1": "<h", "h2": "<h", "h3": "<h"}
+
+
+def word_features(text: str) -> set[str]:
+    """The words and word pairs of a line, names masked, and the marks that part it; nothing for a paragraph."""
+    if text.count(" ") >= LONG:
+        return set()
+    out = set()
+    if " > " in text:
+        out.add("path")
+    if " | " in text:
+        out.add("bars")
+    if text.count(" - ") > 1:
+        out.add("dashes")
+    if _BULLET.match(text):
+        out.add("bullet")
+    words = [w if w == "Name" else w.lower() for w in _WORDS.findall(_NAMES.sub(" Name ", text))]
+    out.update(words)
+    out.update(map(" ".join, zip(words, words[1:])))
+    return out
+
+
+def page_features(page: Page) -> list[list[str]]:
+    """All features of each leaf."""
+    return [[*form, *word_features(leaf.text)] for form, leaf in zip(form_features(page), page.leaves)]
+
+
 def _softplus(x: float) -> float:
     return x + math.log1p(math.exp(-x)) if x > 0 else math.log1p(math.exp(x))
 
@@ -130,31 +141,47 @@ def marginals(page: Page, unary: list[float], model: dict) -> list[float]:
     return out
 
 
-def page_unary(page: Page, model: dict) -> list[float]:
-    """Each line's own log-likelihood ratio, without the share of content that the edges already carry."""
-    get, bias = model["weights"].get, model["bias"]
-    return [max(-12.0, min(12.0, bias + sum(get(f, 0.0) for f in set(row)))) for row in page_features(page)]
+def page_unary(page: Page, model: dict, known: dict[str, float]) -> list[float]:
+    """Each line's own log-likelihood ratio, without the share of content that the edges already carry.
+
+    ``known`` keeps what the words of a line say, since a site's furniture returns on every page.
+    """
+    weights, bias, out = model["weights"], model["bias"], []
+    for leaf, form in zip(page.leaves, form_features(page)):
+        text = leaf.text
+        said = known.get(text)
+        if said is None:
+            said = sum(weights[f] for f in word_features(text) if f in weights)
+            if len(known) < 50_000 and len(text) < 200:
+                known[text] = said
+        score = bias + said
+        for f in form:
+            if f in weights:
+                score += weights[f]
+        out.append(12.0 if score > 12 else -12.0 if score < -12 else score)
+    return out
 
 
-def article_leaves(text: str | None, model: dict) -> list[Leaf]:
+def article_leaves(text: str | None, model: dict, known: dict[str, float] | None = None) -> list[Leaf]:
     """The lines of a page that are its article; none if only a heading is left."""
     if not text:
         return []
     page = read_page(text)
     if not page.leaves:
         return []
-    odds = marginals(page, page_unary(page, model), model)
+    odds = marginals(page, page_unary(page, model, {} if known is None else known), model)
     kept = [leaf for leaf, o in zip(page.leaves, odds) if o > 0 and "title" not in leaf.tags]
     return kept if sum(leaf.text[-1] in ".?!…" and len(leaf.text.split()) > 4 for leaf in kept) > 0 else []
 
 
-def _lines(text: str | None, model: dict) -> list[int]:
-    return sorted({leaf.line for leaf in article_leaves(text, model)})
+def _lines(text: str | None, model: dict, known: dict[str, float] | None = None) -> list[int]:
+    return sorted({leaf.line for leaf in article_leaves(text, model, known)})
 
 
 def _line_batches(batches: Iterator[pd.Series], model: dict) -> Iterator[pd.Series]:
+    known: dict[str, float] = {}
     for texts in batches:
-        yield pd.Series([_lines(t, model) for t in texts])
+        yield pd.Series([_lines(t, model, known) for t in texts])
 
 
 def article_lines(text: Column, model: dict | None = None) -> Column:
@@ -164,7 +191,7 @@ def article_lines(text: Column, model: dict | None = None) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from _line_batches(batches, model)
 
-    return F.pandas_udf(run, "array<int>")(text)
+    return python_udf(run, "array<int>")(text)
 
 
 def with_article(df: DataFrame, text: str, out: str = "article_lines", status: str | None = None) -> DataFrame:

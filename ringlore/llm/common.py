@@ -49,3 +49,9 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 
 def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
+
+
+def python_udf(run, returns: str):
+    """A pandas function over batches, marked as not deterministic: the optimizer then keeps one evaluation where it would
+    otherwise copy the call into a filter and a projection."""
+    return F.pandas_udf(run, returns).asNondeterministic()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, python_udf
 from .graph import components
 from .pii import fold
 from .textforms import skeleton
@@ -180,7 +180,7 @@ def _same_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 def blocks(cores: DataFrame) -> DataFrame:
     """(core, block): every suffix at the least length at which at most BLOCK cores share it."""
-    keys = cores.select("core", F.explode(F.pandas_udf(_suffix_batches, "array<struct<a:string,b:string,c:string,d:string>>")("core")).alias("s")).select("core", "s.*")
+    keys = cores.select("core", F.explode(python_udf(_suffix_batches, "array<struct<a:string,b:string,c:string,d:string>>")("core")).alias("s")).select("core", "s.*")
     for level in "abcd":
         common = keys.groupBy(level).agg(F.count("*").alias(f"n_{level}")).where(F.col(f"n_{level}") > BLOCK)
         keys = keys.join(common, level, "left")
@@ -193,13 +193,13 @@ def name_links(cores: DataFrame) -> DataFrame:
     keyed = checkpointed(blocks(cores))
     other = keyed.select(F.col("core").alias("b"), "block")
     pairs = keyed.withColumnRenamed("core", "a").join(other, "block").where("a < b").select("a", "b").distinct()
-    return pairs.where(F.pandas_udf(_same_batches, "boolean")("a", "b"))
+    return pairs.where(python_udf(_same_batches, "boolean")("a", "b"))
 
 
 def entities(df: DataFrame, record: str, name: str) -> DataFrame:
     """(record, name, entity): one row a record with a name; ``entity`` is the least core of its component."""
     rows = df.select(F.col(record), F.col(name)).where(F.col(name).isNotNull()).dropDuplicates()
-    spelled = rows.select(name).distinct().withColumn("core", F.pandas_udf(_core_batches, "string")(name))
+    spelled = rows.select(name).distinct().withColumn("core", python_udf(_core_batches, "string")(name))
     spelled = checkpointed(spelled.where("core <> ''"))
     found = components(name_links(spelled.select("core").distinct()), "a", "b").withColumnRenamed("node", "core")
     known = spelled.join(found, "core", "left").select(name, F.coalesce("component", "core").alias("entity"))

@@ -10,6 +10,7 @@ from html import unescape
 from typing import NamedTuple
 
 _TAG = re.compile(r"(<!--.*?-->|</?[a-zA-Z!][^<>]*>)", re.DOTALL)
+_BROKEN = re.compile(r"<!--[^\n]*(?<!-->)\n|</?[a-zA-Z!][^<>\n]*\n")
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _RULE = re.compile(r"^\s*([-=_*~#])\1{2,}\s*$")
 _WORDY = re.compile(r"[^\W_]")
@@ -73,7 +74,7 @@ _INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|span|font|small|big|sup|sub|blink
 
 
 def _read_markup(text: str) -> Page:
-    if "\n" in "".join(t for t in _TAG.findall(text) if "\n" in t):
+    if _BROKEN.search(text):
         text = _TAG.sub(lambda m: m[0].replace("\n", "\x01"), text)
     names, parents, leaves, stack, silent, title = ["#page"], [-1], [], [0], "", []
     around: list[str] = []

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_udf
+
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
 #: Family names, folded.  They anchor a search; the parser decides.
@@ -308,7 +310,7 @@ def _scrub_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def scrubbed(text: Column) -> Column:
     """A struct of the redacted text and its items."""
-    return F.pandas_udf(_scrub_batches, ITEMS)(text)
+    return python_udf(_scrub_batches, ITEMS)(text)
 
 
 def with_scrubbed(df: DataFrame, text: str, out: str = "pii") -> DataFrame:

@@ -74,10 +74,10 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _article_words(model: dict) -> Callable[[str], list[str]]:
-    word = neardup._WORD
+    word, known = neardup._WORD, {}
 
     def words(text: str) -> list[str]:
-        return word.findall(" ".join(leaf.text for leaf in boiler.article_leaves(text, model)).lower())
+        return word.findall(" ".join(leaf.text for leaf in boiler.article_leaves(text, model, known)).lower())
 
     return words
 

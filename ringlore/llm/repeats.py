@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, python_udf
 from .pages import visible_lines
 
 #: Depth of the tree below the token count, and what makes a line or a template common in a source.
@@ -61,7 +61,7 @@ def _line_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def parsed(df: DataFrame, record: str, source: str, text: str) -> DataFrame:
     """(doc, record, source, lines): the leaf and the hash of every visible line, written once."""
-    rows = df.select(F.col(record).alias("record"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.pandas_udf(_line_batches, LINES)(text).alias("lines"))
+    rows = df.select(F.col(record).alias("record"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), python_udf(_line_batches, LINES)(text).alias("lines"))
     return checkpointed(rows.withColumn("doc", F.monotonically_increasing_id()))
 
 

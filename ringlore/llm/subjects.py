@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_udf
+
 from .pii import fold
 
 MODEL = Path(__file__).with_name("subject_terms.json")
@@ -97,7 +99,7 @@ def subjects_of(text: Column, model: dict | None = None, share: float = SHARE) -
         for texts in batches:
             yield pd.Series([[m.names[k] for k, s in sorted(m.shares(t).items()) if s >= share - 1e-9] for t in texts])
 
-    return F.pandas_udf(run, "array<string>")(text)
+    return python_udf(run, "array<string>")(text)
 
 
 def with_subjects(df: DataFrame, text: str, out: str = "subjects") -> DataFrame:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import python_udf
+
 from .textforms import skeleton_column
 
 STATUS_RANK = {"CONFIRMED": 3, "CANDIDATE": 2, "REJECTED": 1}
@@ -164,7 +166,7 @@ def survivors(df: DataFrame, keys: dict[str, Column], record: str, trust: DataFr
     for c in CRITERIA:
         alone = alone & (F.col(f"top.{c}") == F.col(f"m_{c}"))
     top = top.select(*keys, F.col("top.top_id").alias("top_id"), alone.alias("alone"))
-    picked = groups.withColumn("pick", F.pandas_udf(_choose_batches, "struct<claim:string,label:string,sighting:string>")("records"))
+    picked = groups.withColumn("pick", python_udf(_choose_batches, "struct<claim:string,label:string,sighting:string>")("records"))
 
     def picked_for(bundle: str) -> Column:
         return F.element_at(F.filter("records", lambda r: r["id"] == F.col(f"pick.{bundle}")), 1)

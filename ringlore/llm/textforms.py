@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefixed
+from .common import prefixed, python_udf
 
 #: Letters of other scripts that look like Latin ones, in the order of the Latin letter.
 LOOK_ALIKES = {
@@ -136,7 +136,7 @@ def skeleton_column(text: Column) -> Column:
         for texts in parts:
             yield texts.map(lambda t: None if t is None else skeleton(t))
 
-    return F.when(~text.rlike(SUSPECT), F.lower(text)).otherwise(F.pandas_udf(batches, "string")(text))
+    return F.when(~text.rlike(SUSPECT), F.lower(text)).otherwise(python_udf(batches, "string")(text))
 
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
@@ -170,7 +170,7 @@ def irregular(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 def unified_suspects(df: DataFrame, rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """As ``unified``, for the rows with a suspect character alone; the vocabulary is that of all of ``df``."""
-    formed = rows.dropDuplicates(keys).withColumn("_f", F.pandas_udf(_form_batches, FORM)(F.col(text)))
+    formed = rows.dropDuplicates(keys).withColumn("_f", python_udf(_form_batches, FORM)(F.col(text)))
     formed = formed.select(*keys, text, F.col("_f.form").alias("form"), F.col("_f.words").alias("words"))
     asked = formed.where(F.size("words") > 0).select(F.explode("words").alias("w")).select("w.word", "w.repaired").distinct()
     known = asked.withColumn("lower", F.lower("repaired")).join(vocabulary(df, text).select(F.col("word").alias("lower")), "lower", "left_semi").select("word", "repaired")
@@ -178,4 +178,4 @@ def unified_suspects(df: DataFrame, rows: DataFrame, keys: list[str], text: str)
         formed.select(*keys, F.explode("words").alias("w")).select(*keys, F.col("w.word").alias("word"))
         .join(known, "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "repaired")).alias("repairs"))
     )
-    return formed.join(repairs, keys, "left").select(*keys, text, F.pandas_udf(_replace_batches, "string")("form", "repairs").alias("form"), F.size("words").alias("odd_words"))
+    return formed.join(repairs, keys, "left").select(*keys, text, python_udf(_replace_batches, "string")("form", "repairs").alias("form"), F.size("words").alias("odd_words"))

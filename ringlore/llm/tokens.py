@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import python_udf
+
 #: A rank file in the tiktoken format, and the pattern that splits text before its merges.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -50,4 +52,4 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield from _count_batches(batches, path)
 
-    return F.pandas_udf(run, "bigint")(text)
+    return python_udf(run, "bigint")(text)
