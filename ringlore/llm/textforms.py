@@ -36,8 +36,21 @@ _ALIKE = str.maketrans(LOOK_ALIKES | FOREIGN_LATIN)
 VIETNAMESE = "".join(
     sorted({c for base in "aăâeêioôơuưy" for tone in ("", "\u0300", "\u0301", "\u0303", "\u0309", "\u0323") for x in (base,) for c in (unicodedata.normalize("NFC", x + tone), unicodedata.normalize("NFC", x + tone).upper()) if ord(c) > 127} | {"đ", "Đ"})
 )
+
+
+def ranges(chars: str) -> str:
+    """A character class's inside with runs of code points as ranges: an engine tests a few ranges, not every letter."""
+    runs: list[list[int]] = []
+    for c in sorted(set(map(ord, chars))):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"\\u{a:04X}-\\u{b:04X}" if b > a else f"\\u{a:04X}" for a, b in runs)
+
+
 #: Characters that need no look: a text of these alone is in the one form already.
-PLAIN = r"\x20-\x7E" + VIETNAMESE + "“”‘’–—…«»"
+PLAIN = r"\x20-\x7E" + ranges(VIETNAMESE + "\u201c\u201d\u2018\u2019\u2013\u2014\u2026\u00ab\u00bb")
 SUSPECT = f"[^{PLAIN}]"
 
 _INVISIBLE = re.compile(r"[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁤⁪-⁯︀-️﻿￹-￻\U000e0000-\U000e007f]")
@@ -141,8 +154,9 @@ def skeleton_column(text: Column) -> Column:
 
 def vocabulary(df: DataFrame, text: str) -> DataFrame:
     """Distinct words, in lower case, of all texts.  Broken, wide or mixed words hold no word of the plain alphabet's form."""
-    words = F.split(F.lower(F.col(text)), rf"[^{VIETNAMESE.lower()}a-z\p{{L}}\p{{M}}\p{{Cf}}]+")
-    return df.select(F.explode(words).alias("word")).where(F.col("word").rlike(f"^[a-z{VIETNAMESE.lower()}]+$")).distinct()
+    letters = ranges(VIETNAMESE.lower())
+    words = F.split(F.lower(F.col(text)), rf"[^a-z{letters}\p{{L}}\p{{M}}\p{{Cf}}]+")
+    return df.select(F.explode(words).alias("word")).distinct().where(F.col("word").rlike(f"^[a-z{letters}]+$"))
 
 
 def unified(df: DataFrame, keys: list[str], text: str) -> DataFrame:
