@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from .common import python_udf
 from .pages import Leaf, Page, read_page
 from .pii import fold
+from .textforms import UPPER
 
 MODEL = Path(__file__).with_name("boiler_model.json")
 _WORDS = re.compile(r"[^\W\d_]+|©")
-_NAMES = re.compile(r"(?<=[^\W_] )[^\W\d_a-zà-ỹ][^\W\d_]*(?: [^\W\d_a-zà-ỹ][^\W\d_]*)*")
+_NAMES = re.compile(rf"(?<=[^\W_] )[{UPPER}]\w*(?: [{UPPER}]\w*)*")
 _DATE_END = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}( \d{1,2}[:h]\d{2})?$")
 _BULLET = re.compile(r"^[*•\-–] ")
 

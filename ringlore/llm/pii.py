@@ -57,11 +57,19 @@ STOPS = set(
     "said wanted the in by hoac mat giao nhan gui khong nhe nha lai sau truoc hen xin doi cho moi dien thoai".split()
 )
 
+#: The same with accents, and the words that cannot be a given name even right after a family name.
+STOPS |= set(
+    "gọi hỏi rồi và nói học cà phê có là từ sđt đt thì bị ở tại nhờ với khi lớp nhà hoặc mất nhận gửi không nhé lại sau trước hẹn xin đòi cho mời điện thoại".split()
+)
+HARD_STOPS = set("goi gọi hoi hỏi va và la là hoc học thì bi bị co có hen hẹn gan gần roi rồi khong không from on at and or for got said the".split())
+#: Cues that may stand before any word; after them only capitalized names count.
+LOOSE_CUES = frozenset("ong ba anh chi co bac chu mr mrs ms dear".split())
+
 _SPACE = r"[  ]?"
 _SEP = r"[ ._\- ]?"
-_ZERO = "[0oO]"
+_ZERO, _D = "[0oO]", "[0-9oO]"
 _PHONE = re.compile(
-    rf"(?<![\w#@./+])(?:\(\+?84\)|\+84|84|{_ZERO}){_SEP}(?:\(0\){_SEP})?(?:[35789](?:{_SEP}\d){{8}}|2(?:{_SEP}\d){{9}})(?![\d@]|[-_.]\d)"
+    rf"(?<![\w#@./+])(?:\(\+?84\)|\+84|84|{_ZERO}){_SEP}(?:\(0\){_SEP})?(?:[35789](?:{_SEP}{_D}){{8}}|2(?:{_SEP}{_D}){{9}})(?![\w@]|[-_.]\d)"
 )
 _ID12 = re.compile(r"(?<![\w#@./+\-])0(?:[ .\-]?\d){11}(?![\d@]|[-.]\d)")
 _ID9 = re.compile(r"(?<![\w#@./+\-])\d{3}([ .\-]?)\d{3}\1\d{3}(?![\d@/]|[-.,]\d| ?(?:d\b|dong\b|trieu\b|tr\d|vnd|k\b))")
@@ -218,16 +226,28 @@ def find_items(note: str) -> tuple[str, list[tuple[int, int, str]]]:
 
 
 def _opens_place(text: str, low: str, a: int, b: int) -> bool:
-    """Whether the cue at a..b opens an organization or a place, and isn't a name that folds to the same letters."""
+    """Whether the cue at a..b opens an organization or a place, and isn't part of a name that folds to the same letters."""
     said, cue = text[a:b], low[a:b]
-    if " " in cue or cue.endswith(".") or cue in ("tower", "building", "cty", "ctcp", "htx", "dntn"):
+    if cue.endswith(".") or cue in ("tower", "building", "cty", "ctcp", "htx", "dntn"):
         return True
-    if cue in ("duong", "truong") and said[0] in "dt" and (said in ("dương", "trương") or (said == cue and _CUED.search(low[:a]))):
+    if said[0].isupper() and (m := _BEFORE.search(text, max(0, a - 20), a)) and m[1][0].isupper():  # it goes on a capitalized run
+        return False
+    if " " in cue:
+        return not (said[0].isupper() and said[said.index(" ") + 1].isupper()) or said.isupper()
+    if cue in NUMBERED and not low[b : b + 2].strip()[:1].isdigit():
         return False
-    return said[0].islower() or said in PLACE_WORDS
+    if said[0].isupper():
+        return said in PLACE_WORDS
+    if not said.isascii() and said not in PLACE_SPELLINGS:
+        return False
+    return not _CUED.search(low[:a])
 
 
-_CUED = re.compile(r"(?:ho ten|ten|cua|goi lai cho|nguoi (?:nhan|bao):?|ghi|xung la|chau|gap|hen|to|said|as) $")
+#: Place words as they are spelt; a word that folds to one of them but is spelt otherwise is a name.
+PLACE_SPELLINGS = frozenset("đường phố phường quận xã ấp thôn xóm khu ngõ hẻm ngách kiệt huyện tỉnh tòa toà trường".split())
+#: Words that open a place only before a number.
+NUMBERED = frozenset(("ngo", "hem", "ngach", "kiet"))
+_CUED = re.compile(r"(?:ho ten|ten|cua|goi lai cho|nguoi (?:nhan|bao):?|ghi|xung la|chau|gap|hen|hoac|ke toan|thu quy|to|said|as) (?:[a-z]+ ){0,3}$")
 
 
 def _trim_address(text: str, m: re.Match) -> tuple[int, int]:
@@ -239,24 +259,29 @@ def _trim_address(text: str, m: re.Match) -> tuple[int, int]:
     return start, (words[-1].end() if words else end)
 
 
-_BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_a-zà-ỹ][^\W\d_]*) $")
+_BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]+) $")
 _OPENS = re.compile(r"(?:^|[,;.:/(\n]|- |– )\s*$")
 
 
+_TITLES = frozenset("mr mrs ms miss dr".split())
+
+
 def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], items: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
     """Runs of two to five name words: after a person cue, or at the start of a phrase with a family name in it."""
     found: list[tuple[int, int, str]] = []
     starts: dict[int, bool] = {}  # position of a possible name: whether a cue stands before it
+    loose: dict[int, bool] = {}  # whether only such cues stand there that may precede any word
     for a, b in hits.get("person", ()):
         if _word(low, a, b):
             c = b
             while c < len(low) and low[c] in " :":
                 c += 1
             starts[c] = True
+            loose[c] = loose.get(c, True) and low[a:b] in LOOSE_CUES
     for a, b in hits.get("family", ()):
         if not _word(low, a, b):
             continue
-        while text[a].isupper() and (m := _BEFORE.search(text, max(0, a - 20), a)):  # a family name may stand last
+        while text[a].isupper() and (m := _BEFORE.search(text, max(0, a - 20), a)) and m[1][0].isupper():  # a family name may stand last
             a = m.start(1)
         if a not in starts and _OPENS.search(low, max(0, a - 3), a):
             starts[a] = False
@@ -266,13 +291,15 @@ def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], items: l
             continue
         cued, words, pos = starts[start], [first], first.end()
         capital = _capital(first[0])
-        if not capital and (fold(first[0]) not in FAMILY or first[0] in STOPS):
+        if not capital and (fold(first[0]) not in FAMILY or loose.get(start)):
             continue
-        while len(words) < 6 and (m := _TOKEN.match(text, pos + 1)) and text[pos] in "  ":
-            if capital != _capital(m[0]) or (not capital and m[0] in STOPS):
+        while len(words) < (6 if capital else 4) and (m := _TOKEN.match(text, pos + 1)) and text[pos] in " \u00a0":
+            if capital != _capital(m[0]) or (not capital and m[0] in (STOPS if len(words) > 1 else HARD_STOPS)):
                 break
             words.append(m)
             pos = m.end()
+        while words and fold(words[0][0]) in _TITLES and len(words) < 4:
+            words.pop(0)
         folded = [fold(w[0]) for w in words]
         if not 2 <= len(words) <= 5 or any(words[0].start() < y and words[-1].end() > x for x, y in spans) or any(words[0].start() < y and words[-1].end() > x for x, y, _ in items):
             continue

@@ -49,6 +49,8 @@ def ranges(chars: str) -> str:
     return "".join(f"\\u{a:04X}-\\u{b:04X}" if b > a else f"\\u{a:04X}" for a, b in runs)
 
 
+#: The inside of a class of capital letters.
+UPPER = "A-Z" + ranges("".join(c for c in VIETNAMESE if c.isupper()))
 #: Characters that need no look: a text of these alone is in the one form already.
 PLAIN = r"\x20-\x7E" + ranges(VIETNAMESE + "\u201c\u201d\u2018\u2019\u2013\u2014\u2026\u00ab\u00bb")
 SUSPECT = f"[^{PLAIN}]"
