@@ -105,16 +105,16 @@ def one_slip(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:]
 
 
-def _aligned(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
-    """Whether ``a`` becomes ``b`` by at most two slips, and at most one token missing or run together with the next."""
+def _aligned(a: tuple[str, ...], b: tuple[str, ...], most: int) -> bool:
+    """Whether ``a`` becomes ``b`` by at most ``most`` slips, and at most one token missing or run together with the next."""
 
     def walk(i: int, j: int, equal: int, slips: int, gaps: int, sure: bool) -> bool:
-        if slips > 2 or gaps > 1 or slips + gaps > 2:
+        if slips > most or gaps > 1 or slips + gaps > 2:
             return False
         if i == len(a) or j == len(b):
             gaps += len(a) - i + len(b) - j
             if gaps == 1:
-                return equal >= 3 or equal == 2 and slips == 1 and sure
+                return equal >= 3 or equal == 2 and slips == 1 and sure and most == 2
             return gaps == 0 and (equal >= 2 and equal + slips >= 3 or equal >= 1 and slips <= 1)
         if a[i] == b[j]:
             return walk(i + 1, j + 1, equal + (len(a[i]) > 1), slips, gaps, sure)
@@ -147,7 +147,14 @@ def _same(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     whole, short = "".join(a), any(len(t) <= 2 for t in a + b)
     for i in range(len(b)):
         turned = b[i:] + b[:i]
-        if (short or ratio(whole, "".join(turned)) >= RATIO) and _aligned(a, turned):
+        other = "".join(turned)
+        if whole == other:
+            return True
+        # a token left out on one side lowers the ratio for its length alone: then the shorter one counts
+        alike = ratio(whole, other) if len(a) == len(b) else lcs(whole, other) / min(len(whole), len(other)) - 0.1
+        # a family name is put last or a given name first; what is turned otherwise must not differ in letters too
+        most = 2 if i == 0 else 1 if i in (1, len(b) - 1) else 0
+        if (short or alike >= RATIO) and _aligned(a, turned, most):
             return True
     return False
 
