@@ -546,3 +546,39 @@ def dataset_rows_to_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ingest.dataset_observations(rows, "calls")
     return found.groupBy("phone_raw", "phone_normalized", "phone_type", "context_text").agg(F.count("*").alias("times"))
 
+
+
+@_query(
+    "job_list",
+    f"WITH {_JOBS} SELECT job_key, job_type, status, name AS source_name, scheduled_at FROM jobs LEFT JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS no FROM data_sources) ON no = source_no WHERE status = 'FAILED' ORDER BY scheduled_at DESC, job_key LIMIT 50",
+)
+def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = adapters.crawl_jobs(table(spark, sf_dir, "orders"))
+    return marts.job_list(jobs, table(spark, sf_dir, "data_sources"), 50, status="FAILED")
+
+
+@_query("running_jobs", f"WITH {_JOBS} SELECT job_key, job_type, date_diff('second', started_at, {_J}) AS elapsed_seconds FROM jobs WHERE status = 'RUNNING' AND started_at <= {_J}")
+def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.running_jobs(adapters.crawl_jobs(table(spark, sf_dir, "orders")), marts.AS_OF_JOBS)
+
+
+@_query("observation_window", f"SELECT CAST(date_sub('second', t, n) AS BIGINT) AS elapsed_seconds, 259200 AS target_seconds, CAST(greatest(0, 259200 - date_sub('second', t, n)) AS BIGINT) AS remaining_seconds FROM (SELECT min(first_seen_at) AS t, TIMESTAMP '{marts.AS_OF}' AS n FROM phone_numbers)")
+def observation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = table(spark, sf_dir, "phone_numbers").agg(F.min("first_seen_at").alias("started_at"))
+    return marts.observation_window(start, marts.AS_OF, 72)
+
+
+@_query("suppressed_numbers", f"SELECT phone_normalized FROM ({adapters.SUPPRESSED_SQL}) ORDER BY 1")
+def suppressed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.label_suppressions(table(spark, sf_dir, "phone_numbers"))
+
+
+@_query(
+    "call_log_import",
+    f"""WITH {_BEST}, {ladder_sql('phone_raw', 'personal_call_logs')}
+SELECT c.id, l.normalized AS phone_normalized, greatest(coalesce(c.call_count, 1), 1) AS call_count, b.phone_e164 IS NOT NULL AS known, b.display_name AS identity_name
+FROM personal_call_logs c JOIN ladder l ON l.raw IS NOT DISTINCT FROM c.phone_raw LEFT JOIN best b ON b.phone_e164 = l.normalized""",
+)
+def call_log_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, numbers, identities = _t(spark, sf_dir, "personal_call_logs", "phone_numbers", "phone_identities")
+    return marts.call_import(calls, numbers, identities)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as idf
@@ -282,3 +282,32 @@ def lookup(numbers: DataFrame, evidence: DataFrame, reports: DataFrame) -> DataF
     flags = spam_flags(reports).withColumnRenamed("phone_normalized", "phone_e164").select("phone_e164", "report_count", "reporter_count", "risk", "top_category")
     out = numbers.select("phone_e164", "phone_type", "observation_count").join(seen, "phone_e164", "left").join(flags, "phone_e164", "left")
     return out.na.fill(0, ["sightings", "source_count", "report_count", "reporter_count"]).na.fill({"risk": "NONE"})
+
+
+def job_list(jobs: DataFrame, sources: DataFrame, n: int, status: str | None = None, job_type: str | None = None) -> DataFrame:
+    """The newest jobs, filtered as asked, each with its source's name."""
+    for column, wanted in (("status", status), ("job_type", job_type)):
+        if wanted is not None:
+            jobs = jobs.where(F.col(column) == wanted)
+    newest = top(jobs, [F.col("scheduled_at").desc(), F.col("job_key")], n)
+    named = sources.select(F.col("name").alias("source_name"), (F.row_number().over(Window.orderBy("name")) - 1).alias("source_no"))  # a registry of sources is small
+    return newest.join(F.broadcast(named), "source_no", "left").select("job_key", "job_type", "status", "source_name", "scheduled_at")
+
+
+def running_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
+    at = moment(as_of)
+    return jobs.where((F.col("status") == "RUNNING") & (F.col("started_at") <= at)).select("job_key", "job_type", F.timestamp_diff("SECOND", F.col("started_at"), at).alias("elapsed_seconds"))
+
+
+def observation_window(start: DataFrame, as_of: str, hours: int) -> DataFrame:
+    """How much of an observation period has passed; nothing if it has not begun."""
+    passed = F.greatest(F.lit(0), F.coalesce(F.timestamp_diff("SECOND", F.col("started_at"), moment(as_of)), F.lit(0)))
+    goal = F.lit(hours * 3600)
+    return start.select(passed.alias("elapsed_seconds"), goal.alias("target_seconds"), F.greatest(F.lit(0), goal - passed).alias("remaining_seconds"))
+
+
+def call_import(calls: DataFrame, numbers: DataFrame, identities: DataFrame) -> DataFrame:
+    """What importing a call log finds out about each entry."""
+    best = best_identities(numbers, identities).select(F.col("phone_e164").alias("phone_normalized"), F.col("display_name").alias("identity_name"), F.lit(True).alias("known"))
+    rows = calls.select("id", normalized(F.col("phone_raw"))["normalized"].alias("phone_normalized"), F.greatest(F.coalesce("call_count", F.lit(1)), F.lit(1)).alias("call_count"))
+    return rows.join(best, "phone_normalized", "left").withColumn("known", F.coalesce("known", F.lit(False)))
