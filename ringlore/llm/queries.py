@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import boiler, mixing, names, neardup, packing, pii, repeats, subjects, survivors, textforms
 from .common import table
+from .twins import SQL
+
+__all__ = ["QUERIES", "SQL"]
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,4 +134,3 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_scrubbed, p2_found, p2_survivors, p3_found, p3_unified_contexts, p4_found, p4_entities, p5_found, p6_found, p7_found, p7_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)
 }
-SQL: dict[str, str] = {}

@@ -143,3 +143,16 @@ def test_queries(spark, sf_dir):
         assert queries.QUERIES[name](spark, sf_dir).count() > 0
     fill = {r["container_kind"]: r for r in queries.p8_fill(spark, sf_dir).collect()}
     assert all(r["filled"] > 0.8 for r in fill.values())
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_sql_twin(spark, sf_dir, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("phone_identities", "phone_observations", "raw_documents", "claim_source_trust"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    rel = con.sql(queries.SQL[name])
+    df = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(rel.columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*rel.columns).collect())) == sorted(rel.fetchall())
