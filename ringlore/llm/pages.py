@@ -11,6 +11,8 @@ from typing import NamedTuple
 
 _TAG = re.compile(r"(<!--.*?-->|</?[a-zA-Z!][^<>]*>)", re.DOTALL)
 _BROKEN = re.compile(r"<!--[^\n]*(?<!-->)\n|</?[a-zA-Z!][^<>\n]*\n")
+#: A line that is one element without others inside, which needs no tokens.
+_WHOLE = re.compile(r"\s*<(p|li|h[1-6]|div|td|th)(?:\s[^<>]*)?>([^<>]*)</\1>\s*", re.IGNORECASE)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)")
 _RULE = re.compile(r"^\s*([-=_*~#])\1{2,}\s*$")
 _WORDY = re.compile(r"[^\W_]")
@@ -73,6 +75,10 @@ def _read_plain(text: str) -> Page:
 _INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|span|font|small|big|sup|sub|blink|marquee|mark|tt|code)(?=[\s>/])[^<>]*>", re.IGNORECASE)
 
 
+_NONE: frozenset = frozenset()
+_ONE: dict[str, frozenset] = {}
+
+
 def _read_markup(text: str) -> Page:
     if _BROKEN.search(text):
         text = _TAG.sub(lambda m: m[0].replace("\n", "\x01"), text)
@@ -85,6 +91,15 @@ def _read_markup(text: str) -> Page:
             if not silent and _WORDY.search(line):
                 leaves.append(Leaf(n, stack[-1], " ".join((unescape(line) if "&" in line else line).split()), frozenset(around)))
             continue
+        if not silent and not around and (m := _WHOLE.fullmatch(line)):
+            name, said = m[1].lower(), m[2]
+            block = name in BLOCKS
+            if block:
+                names.append(name)
+                parents.append(stack[-1])
+            if _WORDY.search(said):
+                leaves.append(Leaf(n, len(names) - 1 if block else stack[-1], " ".join((unescape(said) if "&" in said else said).split()), _NONE if block else _ONE.setdefault(name, frozenset((name,)))))
+            continue
         parts: list[str] = []
         tags: set[str] = set(around)
 
