@@ -6,27 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import CATEGORY_RULES, COMPANY_FLAGS, COMPANY_PATTERN, CONNECTOR_PATTERN, HOTLINE_KEYWORDS
-from .text import keyword_pattern
+from .binding import let
+from .text import holds_any
 
 
 def category(context: Column) -> Column:
-    """The first category one of whose keywords stands in the context."""
-    return F.coalesce(*[F.when(context.rlike(keyword_pattern(words)), name) for name, words in CATEGORY_RULES])
+    """The first category one of whose keywords stands in the context, whatever its case."""
+    return let(F.lower(context), lambda low: F.coalesce(*[F.when(holds_any(low, words), name) for name, words in CATEGORY_RULES]))
 
 
 def company_name(before: Column, after: Column) -> Column:
     """The organization named beside the number, without a connector at its end; null if none is."""
-    said = F.regexp_extract(F.concat(F.coalesce(before, F.lit("")), F.lit(" "), F.coalesce(after, F.lit(""))), "(?iu)" + COMPANY_PATTERN, 0)
-    cut = F.trim(F.regexp_replace(F.trim(said), "(?iu)" + CONNECTOR_PATTERN, ""))
-    return F.nullif(F.coalesce(F.nullif(cut, F.lit("")), F.trim(said)), F.lit(""))
+    found = F.trim(F.regexp_extract(F.concat(F.coalesce(before, F.lit("")), F.lit(" "), F.coalesce(after, F.lit(""))), "(?iu)" + COMPANY_PATTERN, 0))
+
+    def trimmed(said: Column) -> Column:
+        cut = F.trim(F.regexp_replace(said, "(?iu)" + CONNECTOR_PATTERN, ""))
+        return F.nullif(F.coalesce(F.nullif(cut, F.lit("")), said), F.lit(""))
+
+    return let(found, trimmed)
 
 
 def is_hotline(context: Column) -> Column:
-    return F.coalesce(context.rlike(keyword_pattern(HOTLINE_KEYWORDS)), F.lit(False))
+    return F.coalesce(let(F.lower(context), lambda low: holds_any(low, HOTLINE_KEYWORDS)), F.lit(False))
 
 
 def names_company(context: Column) -> Column:
-    return F.coalesce(context.rlike(keyword_pattern(COMPANY_FLAGS)), F.lit(False))
+    return F.coalesce(let(F.lower(context), lambda low: holds_any(low, COMPANY_FLAGS)), F.lit(False))
 
 
 def name_key(name: Column) -> Column:

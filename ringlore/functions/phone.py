@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import MAIN_AREAS, MOBILE_PREFIXES
+from .binding import let
 
 
 def kept_characters(raw: Column) -> Column:
@@ -39,12 +40,12 @@ def _outcome(kept: Column, bare: Column, national: Column) -> Column:
     )
 
 
-def normalized(raw: Column) -> Column:
-    """struct<raw, normalized, country, type, valid, normalization_confidence, reason> of a number as written."""
-    kept = kept_characters(raw)
-    bare = F.regexp_replace(kept, r"^\+", "")
-    national = national_form(kept)
-    end = _outcome(kept, bare, national)
+def _result(raw: Column, kept: Column) -> Column:
+    parts = F.struct(F.when(kept.startswith("+"), F.substring(kept, 2, 99)).otherwise(kept).alias("bare"), national_form(kept).alias("national"))
+    return let(parts, lambda p: let(_outcome(kept, p["bare"], p["national"]), lambda end: _record(raw, p["bare"], p["national"], end)))
+
+
+def _record(raw: Column, bare: Column, national: Column, end: Column) -> Column:
     whole = end.isin("MOBILE", "LANDLINE", "unrecognized_prefix")
     short = end.isin("HOTLINE_1900", "HOTLINE_1800", "SHORT_CODE")
     known = end.isin("MOBILE", "LANDLINE") | short
@@ -64,6 +65,11 @@ def normalized(raw: Column) -> Column:
     )
 
 
+def normalized(raw: Column) -> Column:
+    """struct<raw, normalized, country, type, valid, normalization_confidence, reason> of a number as written."""
+    return let(kept_characters(raw), lambda kept: _result(raw, kept))
+
+
 def national_number(e164: Column, kind: Column) -> Column:
     """The national number of a stored number: mobiles and landlines with a zero, anything else as it is."""
     return F.when(kind.isin("MOBILE", "LANDLINE"), F.regexp_replace(e164, r"^\+84", "0")).otherwise(e164)

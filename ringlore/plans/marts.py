@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as idf
+from ..functions.binding import with_once
 from ..functions.phone import digits_only, normalized
 from ..operators.top import greatest_per, top
 from ..rules import ACTIVE_STATUSES, FREQUENCY_DAYS, HORIZON_HOURS, JOB_STATUSES, OFFICIAL_TYPES
@@ -58,7 +59,7 @@ def guesses(evidence: DataFrame) -> DataFrame:
     """For each sighting the identity that its context suggests."""
     company = idf.company_name(F.col("context_before"), F.col("context_after"))
     hotline = idf.is_hotline(F.col("context_text"))
-    out = evidence.withColumn("company", company).withColumn("hotline", hotline)
+    out = with_once(evidence, "_g", F.struct(company.alias("company"), hotline.alias("hotline"))).select(*evidence.columns, "_g.company", "_g.hotline")
     named = F.when(F.col("company").isNotNull(), F.col("company")).when(F.col("hotline"), F.concat("source_name", F.lit(" Hotline"))).otherwise(F.concat(F.lit("Unknown ("), "source_name", F.lit(")")))
     kind = F.when(F.col("company").isNotNull(), "BUSINESS").when(F.col("hotline"), "HOTLINE").otherwise("UNKNOWN")
     return (
