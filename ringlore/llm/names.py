@@ -2,9 +2,9 @@
 
 Method: suffix blocking.  A name is read as a core of accent-folded tokens (titles, kinds of organization and trades set
 aside).  The suffixes of two tokens of every rotation of the core are indexed, since parts come reordered; a suffix that
-is too common is not dropped but refined, first by the initial of the token before it, then by that token, then by the
-initial of the next one; only what is common even then is discarded.  Cores that share a block are compared by
-their longest-common-subsequence ratio and by what is left over once equal tokens are set aside.
+is too common gives way to finer ones: by the initial of the token before it, then by that token, then by the initial of
+the next one.  The finest is kept however common it is, so no link is lost to a cap; what shares it differs in one token of
+one initial.  Cores that share a block are compared by their longest-common-subsequence ratio and by how they align.
 
 Defined results: null names take no part; a name of one token links to equal cores alone; equal strings are one node, so
 repeated rows add no comparisons; extra columns are untouched.
@@ -186,13 +186,14 @@ def _same_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 def blocks(cores: DataFrame) -> DataFrame:
-    """(core, block): every suffix at the least length at which at most BLOCK cores share it."""
+    """(core, block): every suffix at the least length at which at most BLOCK cores share it, or else at the greatest."""
     keys = cores.select("core", F.explode(python_udf(_suffix_batches, "array<struct<a:string,b:string,c:string,d:string>>")("core")).alias("s")).select("core", "s.*")
-    for level in "abcd":
+    chosen = F.col("d")
+    for level in "cba":
         common = keys.groupBy(level).agg(F.count("*").alias(f"n_{level}")).where(F.col(f"n_{level}") > BLOCK)
         keys = keys.join(common, level, "left")
-    chosen = F.when(F.col("n_a").isNull(), F.col("a")).when(F.col("n_b").isNull(), F.col("b")).when(F.col("n_c").isNull(), F.col("c")).when(F.col("n_d").isNull(), F.col("d"))
-    return keys.select("core", chosen.alias("block")).where("block IS NOT NULL").distinct()
+        chosen = F.when(F.col(f"n_{level}").isNull(), F.col(level)).otherwise(chosen)
+    return keys.select("core", chosen.alias("block")).distinct()
 
 
 def name_links(cores: DataFrame) -> DataFrame:
