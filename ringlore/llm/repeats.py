@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, python_udf
+from .common import bounded_broadcast, checkpointed, python_udf
 from .pages import visible_lines
 
 #: Depth of the tree below the token count, and what makes a line or a template common in a source.
@@ -65,6 +65,16 @@ def parsed(df: DataFrame, record: str, source: str, text: str) -> DataFrame:
     return checkpointed(rows.withColumn("doc", F.monotonically_increasing_id()))
 
 
+def _sized(common: DataFrame) -> DataFrame:
+    """What is common in the sources, written once and broadcast if its counted rows are few.
+
+    A source of documents of L lines each has at most L / min_share common lines, so the rows follow the number of sources
+    and not that of documents; for very many sources the join shuffles.
+    """
+    common = checkpointed(common)
+    return bounded_broadcast(common, common.count(), 64)
+
+
 def repeated_lines(df: DataFrame, record: str, source: str, text: str, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, exact: bool = True) -> DataFrame:
     """(record, line_no) of every line whose text stands in at least ``min_docs`` documents and ``min_share`` of its source's.
 
@@ -73,13 +83,13 @@ def repeated_lines(df: DataFrame, record: str, source: str, text: str, min_docs:
     docs = parsed(df, record, source, text)
     totals = docs.groupBy("source").agg(F.greatest(F.lit(min_docs), F.ceil(F.count("*") * F.lit(min_share) - F.lit(1e-9)).cast("bigint")).alias("least"))
     leaves = docs.select("doc", "source", F.explode(F.array_distinct("lines.template")).alias("template")).groupBy("source", "template").agg(F.count("*").alias("docs"))
-    common = leaves.join(totals, "source").where("docs >= least").select("source", "template")
+    common = _sized(leaves.join(totals, "source").where("docs >= least").select("source", "template"))
     lines = docs.select("doc", "record", "source", F.explode(F.arrays_zip("lines.line", "lines.template", "lines.said")).alias("l"))
     lines = lines.select("doc", "record", "source", F.col("l.line").alias("line_no"), F.col("l.template").alias("template"), F.col("l.said").alias("said"))
     lines = lines.join(common, ["source", "template"], "left_semi")
     if exact:
         often = lines.select("source", "said", "doc").distinct().groupBy("source", "said").agg(F.count("*").alias("docs"))
-        lines = lines.join(often.join(totals, "source").where("docs >= least").select("source", "said"), ["source", "said"], "left_semi")
+        lines = lines.join(_sized(often.join(totals, "source").where("docs >= least").select("source", "said")), ["source", "said"], "left_semi")
     return lines.select("record", "line_no")
 
 
