@@ -206,17 +206,22 @@ def name_links(cores: DataFrame) -> DataFrame:
 
 def entities(df: DataFrame, record: str, name: str) -> DataFrame:
     """(record, name, entity): one row a record with a name; ``entity`` is the least core of its component."""
-    rows = df.select(F.col(record), F.col(name)).where(F.col(name).isNotNull()).dropDuplicates()
-    spelled = rows.select(name).distinct().withColumn("core", python_udf(_core_batches, "string")(name))
+    found = _entities(df, record, name)
+    return found.select(F.col("_record").alias(record), F.col("_name").alias(name), F.col("_entity").alias("entity"))
+
+
+def _entities(df: DataFrame, record: str, name: str) -> DataFrame:
+    rows = df.select(F.col(f"`{record}`").alias("_record"), F.col(f"`{name}`").alias("_name")).where("_name IS NOT NULL").dropDuplicates()
+    spelled = rows.select("_name").distinct().withColumn("core", python_udf(_core_batches, "string")("_name"))
     spelled = checkpointed(spelled.where("core <> ''"))
     found = components(name_links(spelled.select("core").distinct()), "a", "b").withColumnRenamed("node", "core")
-    known = spelled.join(found, "core", "left").select(name, F.coalesce("component", "core").alias("entity"))
-    return rows.join(known, name)
+    known = spelled.join(found, "core", "left").select("_name", F.coalesce("component", "core").alias("_entity"))
+    return rows.join(known, "_name")
 
 
 def variant_pairs(df: DataFrame, record: str, name: str) -> DataFrame:
     """(identity_a, identity_b), a < b: records of one entity whose names differ as strings."""
-    e = checkpointed(entities(df, record, name))
-    a = e.select("entity", F.col(record).alias("identity_a"), F.col(name).alias("name_a"))
-    b = e.select("entity", F.col(record).alias("identity_b"), F.col(name).alias("name_b"))
-    return a.join(b, "entity").where("identity_a < identity_b AND name_a <> name_b").select("identity_a", "identity_b").distinct()
+    e = checkpointed(_entities(df, record, name))
+    a = e.select("_entity", F.col("_record").alias("identity_a"), F.col("_name").alias("name_a"))
+    b = e.select("_entity", F.col("_record").alias("identity_b"), F.col("_name").alias("name_b"))
+    return a.join(b, "_entity").where("identity_a < identity_b AND name_a <> name_b").select("identity_a", "identity_b").distinct()

@@ -167,6 +167,8 @@ def unified(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     ``keys`` name a row; rows that share them must hold the same text.  Only texts with a character outside the plain
     alphabet go to Python; the vocabulary and the confirmation of candidates are relational.
     """
+    if {*keys, text} & {"form", "changed", "odd_words", "words", "repairs"}:
+        raise ValueError("keys and text must not be named like the operator's own columns")
     rows = prefixed(df, [*keys, text])
     done = unified_suspects(df, rows.select(*keys, text).where(F.col(text).rlike(SUSPECT)), keys, text).drop(text)
     return (
