@@ -43,7 +43,8 @@ LONG = 24
 
 
 def _ending(text: str) -> str:
-    return "stop" if text[-1] in ".?!…" else "date" if _DATE_END.search(text) else "open"
+    last = text[-1]
+    return "stop" if last in ".?!…" else "date" if last.isdigit() and _DATE_END.search(text) else "open"
 
 
 def form_features(page: Page) -> list[list[str]]:
@@ -71,8 +72,8 @@ def form_features(page: Page) -> list[list[str]]:
             out.append("trailed")
         share = leaf.line / last
         out.append("first" if share < 0.2 else "last" if share > 0.8 else "middle")
-        out.append("after:" + (ends[i - 1] if i else "none") + (":same" if i and leaves[i - 1].node == leaf.node else ""))
-        out.append("before:" + (ends[i + 1] if i + 1 < len(leaves) else "none") + (":same" if i + 1 < len(leaves) and leaves[i + 1].node == leaf.node else ""))
+        out.append(_AFTER[ends[i - 1] if i else "none", i > 0 and leaves[i - 1].node == leaf.node])
+        out.append(_BEFORE[ends[i + 1] if i + 1 < len(leaves) else "none", i + 1 < len(leaves) and leaves[i + 1].node == leaf.node])
         if not page.markup:
             out.append("plain")
         if site and n <= LONG:
@@ -83,6 +84,7 @@ def form_features(page: Page) -> list[list[str]]:
     return rows
 
 
+_AFTER, _BEFORE = ({(e, s): f"{w}:{e}" + ":same" * s for e in ("stop", "date", "open", "none") for s in (False, True)} for w in ("after", "before"))
 _NAMED = {t: f"<{t}" for t in ("title", "p", "li", "b", "small", "em", "i", "span", "font")} | {"a": "link", "h1": "<h", "h2": "<h", "h3": "<h"}
 
 
