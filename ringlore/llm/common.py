@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -19,15 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder named in ``spark.checkpoint.dir``; only where that is unset (tests) a local one."""
+    """Uses the shared folder named in ``spark.checkpoint.dir``; only on a single machine, and where that is unset, one of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not context.master.startswith("local["):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        shared = "file://" + os.path.join(tempfile.gettempdir(), "ringlore-checkpoints")
+        own = tempfile.mkdtemp(prefix="ringlore-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
     context.setCheckpointDir(shared)
 
 
