@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as idf
@@ -12,6 +12,7 @@ from ..functions import phone, text, urls
 from ..operators.merge import changed_documents, merge
 from ..rules import CATEGORY_RULES, COMPANY_FLAGS, COMPANY_PATTERN, CONNECTOR_PATTERN, HORIZON_HOURS, HOTLINE_KEYWORDS, JOB_STATUSES, MOBILE_PREFIXES, PHONE_KEYWORDS, PHONE_PATTERN, URL_DENY, URL_RULES
 from ..session import table
+from ..sources import procfs, sitemaps
 from . import adapters, ingest, marts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -582,3 +583,41 @@ FROM personal_call_logs c JOIN ladder l ON l.raw IS NOT DISTINCT FROM c.phone_ra
 def call_log_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, numbers, identities = _t(spark, sf_dir, "personal_call_logs", "phone_numbers", "phone_identities")
     return marts.call_import(calls, numbers, identities)
+
+
+@_query(
+    "robots_sitemaps",
+    """WITH r AS (SELECT id, base_url, CASE WHEN robots_checked THEN 'User-agent: *' || chr(10) || 'SITEMAP:  ' || base_url || '/a.xml' || chr(10) || 'sitemap: ' || base_url || '/b.xml' END AS robots FROM data_sources),
+s AS (SELECT id, base_url, regexp_extract_all(coalesce(robots, ''), '(?im)^sitemap:\s*(\S+)', 1) AS named FROM r)
+SELECT DISTINCT base_url, unnest(CASE WHEN len(named) > 0 THEN named ELSE [regexp_replace(base_url, '/+$', '') || '/sitemap.xml', regexp_replace(base_url, '/+$', '') || '/sitemap_index.xml',
+  regexp_replace(base_url, '/+$', '') || '/sitemap-index.xml', regexp_replace(base_url, '/+$', '') || '/sitemapindex.xml'] END) AS sitemap FROM s""",
+)
+def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("User-agent: *\nSITEMAP:  "), "base_url", F.lit("/a.xml\nsitemap: "), "base_url", F.lit("/b.xml"))
+    sites = table(spark, sf_dir, "data_sources").select("base_url", F.when(F.col("robots_checked"), body).alias("robots"))
+    return sitemaps.starting_points(sites)
+
+
+@_query(
+    "discovery_report",
+    f"""WITH f AS (SELECT DISTINCT s.base_url, t.url FROM crawl_targets t JOIN data_sources s ON s.id = t.source_id), u AS (SELECT base_url, {_SCORE} AS score FROM f)
+SELECT base_url, count(*) AS urls_discovered, count(*) FILTER (WHERE score >= 80) AS urls_high_priority, least(count(*) FILTER (WHERE score >= 1), 500) AS urls_queued, 0 AS errors, 'SUCCESS' AS status FROM u GROUP BY 1""",
+)
+def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets, sources = _t(spark, sf_dir, "crawl_targets", "data_sources")
+    found = targets.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "base_url")), "source_id").select("base_url", "url", F.lit(None).cast("string").alias("error"))
+    return ingest.discovery(found)
+
+
+@_query(
+    "cpu_percent_delta",
+    """WITH c AS (SELECT user_id AS host, ts AS recorded_at, event_id, sum(CAST(floor(value) AS BIGINT)) OVER w AS idle, sum(CAST(floor(value) AS BIGINT) + event_id % 100) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, idle - lag(idle) OVER v AS di, total - lag(total) OVER v AS dt FROM c WINDOW v AS (PARTITION BY host ORDER BY recorded_at, event_id))
+SELECT event_id, CASE WHEN dt IS NULL THEN NULL WHEN dt > 0 THEN CAST(floor(round((1 - di / dt) * 100, 2)) AS BIGINT) ELSE 0 END AS whole_percent FROM d""",
+)
+def cpu_percent_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    idle = F.floor("value").cast("bigint")
+    samples = events.select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("recorded_at"), "event_id", F.sum(idle).over(w).alias("idle"), F.sum(idle + F.col("event_id") % 100).over(w).alias("total"))
+    return procfs.cpu_percent_between(samples).select("event_id", F.floor("cpu_percent").alias("whole_percent"))
