@@ -11,6 +11,7 @@ counted per occurrence, so repeats count each time; repeated rows are processed
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -49,6 +50,7 @@ PLACE_CUES = ("duong", "pho", "d.", "chung cu", "toa nha", "toa", "phuong", "p."
 PLACE_WORDS = ("Đường", "Phố", "Phường", "Quận", "Xã", "Ngõ", "Hẻm", "Chung", "Tòa", "Toà", "Ấp", "Thôn", "Khu", "Thị", "Trường")
 ID_CUES = ("can cuoc", "cccd", "cmnd", "cmtnd", "chung minh", "dinh danh", "ho chieu", "passport", "id number", "id card", "id no", "giay to", "xac minh so")
 NOT_ID_CUES = ("tai khoan", "stk", "account", "acct", "ma so thue", "mst", "tax code", "otp", "ma otp", "code", "don", "order", "hoa don", "invoice", "van don", "parcel", "ma", "the")
+ACCOUNT_CUES = ("tai khoan", "stk", "account", "ma so thue", "mst", "tax code")
 EMAIL_CUES = ("@", "[at]", "(at)", "{at}", " at ", " a cong ", " a còng ")
 
 #: Lower-case words that end a name typed in lower case.
@@ -74,7 +76,7 @@ _PHONE = re.compile(
 _ID12 = re.compile(r"(?<![\w#@./+\-])0(?:[ .\-]?\d){11}(?![\d@]|[-.]\d)")
 _ID9 = re.compile(r"(?<![\w#@./+\-])\d{3}([ .\-]?)\d{3}\1\d{3}(?![\d@/]|[-.,]\d| ?(?:d\b|dong\b|trieu\b|tr\d|vnd|k\b))")
 _PASSPORT = re.compile(r"(?<![\w#@])[a-z]( ?)\d{7}(?!\w)")
-_LOCAL = re.compile(r"[a-z0-9][a-z0-9._%+\-]*$")
+_LOCAL_PART = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| cham | dot | \. )"
 _DOMAIN = re.compile(rf"[a-z0-9][a-z0-9\-]*(?:{_DOT}[a-z0-9\-]+)*?{_DOT}[a-z]{{2,}}(?![a-z0-9])")
 
@@ -84,7 +86,7 @@ _NO = r"\d+[a-z]?(?:[/\-]\d+[a-z]?)*"
 _WARD = rf"(?:, ?(?:phuong|p\.|quan|q\.|xa|x\.|thi tran|tt\.|ap|thon|khu|tp\.) ?{_NAME1}|, {_NAME1}(?= ward\b| district\b| quarter\b))?(?: ward| district| quarter)?"
 _ROAD = r"(?:duong|pho|d\.|dai lo|ql\.?|tinh lo)"
 _ADDRESS = [
-    re.compile(x)
+    re.compile(rf"(?<![^\W_])(?<![/.#]){x}")
     for x in (
         rf"(?:nha )?so {_NO},? (?:to \d+,? )?(?:ap|thon|xom|ban|khoi|khu|{_ROAD}|ngo|hem|ngach|kiet)(?: \d+)? ?{_NAME1}{_WARD}",
         rf"(?:ngo|hem|ngach|kiet) {_NO},? {_ROAD} ?{_NAME1}(?:, {_NAME1})?",
@@ -142,14 +144,18 @@ def _email(low: str, at: int, cue: int) -> tuple[int, int] | None:
     left = at
     while left > 0 and low[left - 1] == " ":
         left -= 1
-    local = _LOCAL.search(low, 0, left) if left > 0 else None
+    start = left
+    while start > 0 and low[start - 1] in _LOCAL_PART:
+        start -= 1
+    while start < left and low[start] in "._%+-":
+        start += 1
     right = at + cue
     while right < len(low) and low[right] == " ":
         right += 1
     domain = _DOMAIN.match(low, right)
-    if not local or not domain or at - left > 1 or right - at - cue > 1:
+    if start == left or not domain or at - left > 1 or right - at - cue > 1:
         return None
-    return local.start(), domain.end()
+    return start, domain.end()
 
 
 def _capital(word: str) -> bool:
@@ -186,45 +192,56 @@ def find_items(note: str) -> tuple[str, list[tuple[int, int, str]]]:
         for kind in kinds:
             hits.setdefault(kind, []).append((last - n + 1, last + 1))
     items: list[tuple[int, int, str]] = []
+    taken = bytearray(len(low))  # what is part of an item
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y, _ in items)
+    def take(a: int, b: int, kind: str) -> None:
+        if not any(taken[a:b]):
+            items.append((a, b, kind))
+            taken[a:b] = b"\x01" * (b - a)
 
     for a, b in hits.get("email", ()):
-        if (m := _email(low, a, b - a)) and free(*m):
-            items.append((*m, "EMAIL"))
+        if m := _email(low, a, b - a):
+            take(*m, "EMAIL")
     digits = hits.get("digit", ())
     if digits or "flat" in hits:
         for rx in _ADDRESS:
             for m in rx.finditer(low):
-                if (m.start() == 0 or not (low[m.start() - 1].isalnum() or low[m.start() - 1] in "/.#")) and free(*m.span()):
-                    items.append((*_trim_address(text, m), "ADDRESS"))
+                if not any(taken[m.start() : m.end()]):
+                    take(*_trim_address(text, m), "ADDRESS")
     if digits:
-        id_cues, not_id = hits.get("id", ()), hits.get("notid", ())
-
-        def cue(a: int, cues: list[tuple[int, int]], reach: int) -> int:
-            return max((y for x, y in cues if y <= a and a - y <= reach and _word(low, x, y)), default=-1)
-
+        id_cues, not_id, account = (_Cues(low, c) for c in (hits.get("id", ()), hits.get("notid", ()), [x for x in hits.get("notid", ()) if low[x[0] : x[1]] in ACCOUNT_CUES]))
         for m in _ID12.finditer(low):
-            if free(*m.span()) and cue(m.start(), not_id, 3) <= cue(m.start(), id_cues, 24):
-                items.append((*m.span(), "ID_NUMBER"))
+            if not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
+                take(*m.span(), "ID_NUMBER")
         for m in _PHONE.finditer(low):
-            if free(*m.span()) and cue(m.start(), [x for x in not_id if low[x[0] : x[1]] in ("tai khoan", "stk", "account", "ma so thue", "mst", "tax code")], 3) < 0:
-                items.append((*m.span(), "PHONE"))
+            if account.near(m.start(), 3) < 0:
+                take(*m.span(), "PHONE")
         for m in _ID9.finditer(low):
-            if free(*m.span()) and cue(m.start(), not_id, 3) <= cue(m.start(), id_cues, 24):
-                items.append((*m.span(), "ID_NUMBER"))
+            if not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
+                take(*m.span(), "ID_NUMBER")
         for m in _PASSPORT.finditer(low):
-            known = cue(m.start(), id_cues, 12) >= 0
-            if free(*m.span()) and (known or (not m[1] and text[m.start()].isupper())) and cue(m.start(), not_id, 2) < 0:
-                items.append((*m.span(), "ID_NUMBER"))
+            if (id_cues.near(m.start(), 12) >= 0 or not m[1] and text[m.start()].isupper()) and not_id.near(m.start(), 2) < 0:
+                take(*m.span(), "ID_NUMBER")
     if "family" in hits or "person" in hits:
         cues = [(a, b) for a, b in sorted(hits.get("org", []) + hits.get("place", [])) if _word(low, a, b) and _opens_place(text, low, a, b)]
-        spans = _organizations(text, low, cues)
-        items += _names(text, low, hits, items, spans)
+        for a, b in _organizations(text, low, cues):
+            taken[a:b] = b"\x01" * (b - a)
+        items += _names(text, low, hits, taken)
     return text, sorted(items)
 
 
+class _Cues:
+    """Whole words of one kind, to be found by where they end."""
+
+    def __init__(self, low: str, found: list[tuple[int, int]]) -> None:
+        self.ends = sorted(b for a, b in found if _word(low, a, b))
+
+    def near(self, at: int, reach: int) -> int:
+        """The end of the last word that ends at most ``reach`` before ``at``, or -1."""
+        k = bisect.bisect_right(self.ends, at) - 1
+        return self.ends[k] if k >= 0 and at - self.ends[k] <= reach else -1
+
+
 def _opens_place(text: str, low: str, a: int, b: int) -> bool:
     """Whether the cue at a..b opens an organization or a place, and isn't part of a name that folds to the same letters."""
     said, cue = text[a:b], low[a:b]
@@ -240,7 +257,7 @@ def _opens_place(text: str, low: str, a: int, b: int) -> bool:
         return said in PLACE_WORDS
     if not said.isascii() and said not in PLACE_SPELLINGS:
         return False
-    return not _CUED.search(low[:a])
+    return not _CUED.search(low, max(0, a - 60), a)
 
 
 #: Place words as they are spelt; a word that folds to one of them but is spelt otherwise is a name.
@@ -260,13 +277,14 @@ def _trim_address(text: str, m: re.Match) -> tuple[int, int]:
 
 
 _BEFORE = re.compile(r"(?<![^\W\d_])([^\W\d_]+) $")
+_NO_PERSON = re.compile(r"\s*(?:street|road|lane|avenue|tower|building|ward|district|quarter|market|hospital|clinic|bank|jsc|co\b|ltd|hotline)")
 _OPENS = re.compile(r"(?:^|[,;.:/(\n]|- |– )\s*$")
 
 
 _TITLES = frozenset("mr mrs ms miss dr".split())
 
 
-def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], items: list[tuple[int, int, str]], spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
+def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], taken: bytearray) -> list[tuple[int, int, str]]:
     """Runs of two to five name words: after a person cue, or at the start of a phrase with a family name in it."""
     found: list[tuple[int, int, str]] = []
     starts: dict[int, bool] = {}  # position of a possible name: whether a cue stands before it
@@ -287,7 +305,7 @@ def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], items: l
             starts[a] = False
     for start in sorted(starts):
         first = _TOKEN.match(text, start)
-        if not first or any(start < y and start >= x for x, y, _ in items + found) or any(x <= start < y for x, y in spans):
+        if not first or taken[start]:
             continue
         cued, words, pos = starts[start], [first], first.end()
         capital = _capital(first[0])
@@ -301,14 +319,14 @@ def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], items: l
         while words and fold(words[0][0]) in _TITLES and len(words) < 4:
             words.pop(0)
         folded = [fold(w[0]) for w in words]
-        if not 2 <= len(words) <= 5 or any(words[0].start() < y and words[-1].end() > x for x, y in spans) or any(words[0].start() < y and words[-1].end() > x for x, y, _ in items):
-            continue
-        if re.match(r"\s*(?:street|road|lane|avenue|tower|building|ward|district|quarter|market|hospital|clinic|bank|jsc|co\b|ltd|hotline)", low[words[-1].end() :]):
+        if not 2 <= len(words) <= 5 or any(taken[words[0].start() : words[-1].end()]) or _NO_PERSON.match(low, words[-1].end()):
             continue
         known = folded[0] in FAMILY or folded[-1] in FAMILY
         after = low[words[-1].end() : words[-1].end() + 10]
         if capital and (known or cued) or not capital and folded[0] in FAMILY and (cued or re.match(r"\s*[,/] ?[+(\do]|\s+goi hoi", after)):
-            found.append((words[0].start(), words[-1].end(), "NAME"))
+            a, b = words[0].start(), words[-1].end()
+            found.append((a, b, "NAME"))
+            taken[a:b] = b"\x01" * (b - a)
     return found
 
 

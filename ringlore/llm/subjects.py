@@ -67,11 +67,11 @@ class Matcher:
         hits = sorted(((last - n + 1, last, k, w) for last, (n, k, w) in self.automaton.iter(line)), key=lambda h: (h[0] - h[1], h[0])) if len(self.automaton) else ()
         if not hits:
             return -1, 0.0
-        taken: list[tuple[int, int]] = []
+        taken = bytearray(len(line))
         score: Counter = Counter()
         for a, b, k, w in hits:  # the longest first; the blanks at the ends may be shared
-            if all(b <= x or a >= y for x, y in taken):
-                taken.append((a, b))
+            if not any(taken[a + 1 : b]):
+                taken[a + 1 : b] = b"\x01" * (b - a - 1)
                 score[k] += w
         best, top = min(score.items(), key=lambda s: (-s[1], s[0]))
         return best, top / (line.count(" ") - 1) ** 0.5

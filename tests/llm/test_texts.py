@@ -182,3 +182,13 @@ def test_found_queries(spark, sf_dir):
     for name in ("p1_found", "p2_found", "p3_found", "p4_found"):
         df = queries.QUERIES[name](spark, sf_dir)
         assert df.count() == df.distinct().count() > 0
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000 + " x@y.com", "1" * 100_000, "1 2 " * 40_000, "@ " * 60_000, "duong duong " * 20_000, "của Nguyễn Văn An, số 12 đường Suối Cạn, 0912345678; " * 2000])
+def test_very_long_notes_take_time_in_proportion(text):
+    import time
+
+    began = time.process_time()
+    _, items = pii.scrub(text)
+    assert time.process_time() - began < 5
+    assert len(items) == {"a": 1, "c": 6000}.get(text[0], 0)
