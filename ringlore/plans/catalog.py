@@ -605,7 +605,7 @@ SELECT base_url, count(*) AS urls_discovered, count(*) FILTER (WHERE score >= 80
 )
 def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets, sources = _t(spark, sf_dir, "crawl_targets", "data_sources")
-    found = targets.join(F.broadcast(sources.select(F.col("id").alias("source_id"), "base_url")), "source_id").select("base_url", "url", F.lit(None).cast("string").alias("error"))
+    found = targets.join(sources.select(F.col("id").alias("source_id"), "base_url"), "source_id").select("base_url", "url", F.lit(None).cast("string").alias("error"))
     return ingest.discovery(found)
 
 

@@ -28,11 +28,11 @@ def before(at: Column, interval: str) -> Column:
 
 
 def evidence_rows(observations: DataFrame, documents: DataFrame, sources: DataFrame) -> DataFrame:
-    """Observations with a number, and the source behind each.  Documents are joined on their key, sources are few."""
+    """Observations with a number, and the source behind each.  No side is marked for broadcast: statistics decide by size."""
     docs = documents.select(F.col("id").alias("raw_document_id"), "source_id")
     srcs = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name"), "source_type", "trust_level")
     rows = observations.where("phone_normalized IS NOT NULL").select("id", "raw_document_id", "phone_normalized", "context_text", "context_before", "context_after", "discovered_at")
-    return rows.join(docs, "raw_document_id").join(F.broadcast(srcs), "source_id")
+    return rows.join(docs, "raw_document_id").join(srcs, "source_id")
 
 
 def number_rollup(observations: DataFrame) -> DataFrame:
@@ -292,7 +292,7 @@ def job_list(jobs: DataFrame, sources: DataFrame, n: int, status: str | None = N
             jobs = jobs.where(F.col(column) == wanted)
     newest = top(jobs, [F.col("scheduled_at").desc(), F.col("job_key")], n)
     named = sources.select(F.col("name").alias("source_name"), (F.row_number().over(Window.orderBy("name")) - 1).alias("source_no"))  # a registry of sources is small
-    return newest.join(F.broadcast(named), "source_no", "left").select("job_key", "job_type", "status", "source_name", "scheduled_at")
+    return newest.join(named, "source_no", "left").select("job_key", "job_type", "status", "source_name", "scheduled_at")
 
 
 def running_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
