@@ -39,6 +39,8 @@ ACCENTED_TITLES = frozenset("ông bà anh chị cô chú bác bé em dì cậu m
 #: Titles that, without accents, may be a family name; such a core is compared with and without its first token.
 FAMILY_TOO = frozenset(("be", "chu", "an", "di", "a", "c"))
 _KIND = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(KINDS, key=len, reverse=True)) + r")(?![a-z0-9])")
+#: Trades of two words with the first cut to its initial, such as "v.thông".
+_SHORT_TRADE = re.compile(r"(?<![a-z0-9])(?:" + "|".join(f"{t[0]} {t.split()[1]}" for t in TRADES if t.count(" ") == 1) + r")(?![a-z0-9])")
 _TRADE = re.compile(r"(?<![a-z0-9])(?:" + "|".join(sorted(TRADES, key=len, reverse=True)) + r")(?![a-z0-9])")
 
 
@@ -49,6 +51,8 @@ def core(name: str) -> tuple[str, ...]:
     bare = _cut(_KIND, text) if kind else text
     if kind or len(bare.split()) > 4:
         bare = _cut(_TRADE, bare)
+    if len(bare.split()) > 4:
+        bare = _cut(_SHORT_TRADE, bare)
     tokens = bare.split()
     first = re.match(r"\W*(\w*)", skeleton(name))[1]
     if not kind and (len(tokens) > 4 and tokens[0] in TITLES or len(tokens) == 4 and (first in ACCENTED_TITLES or first in TITLES - FAMILY_TOO)):
