@@ -67,7 +67,6 @@ HARD_STOPS = set("goi gọi hoi hỏi va và la là hoc học thì bi bị co c
 #: Cues that may stand before any word; after them only capitalized names count.
 LOOSE_CUES = frozenset("ong ba anh chi co bac chu mr mrs ms dear".split())
 
-_SPACE = r"[  ]?"
 _SEP = r"[ ._\- ]?"
 _ZERO, _D = "[0oO]", "[0-9oO]"
 _PHONE = re.compile(

@@ -19,7 +19,6 @@ from collections import Counter, defaultdict
 import pyarrow.parquet as pq
 
 from . import subjects
-from .pii import fold
 
 EXAMPLES, DOCUMENTS, ROUNDS, LEAST, PURITY = 2_000, 20_000, 4, 4, 0.8
 

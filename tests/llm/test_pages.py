@@ -7,7 +7,6 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from ringlore.llm import boiler, graph, neardup, pages, queries, repeats
 
