@@ -1,10 +1,12 @@
 """Problem 4: variant spellings of names typed by people.
 
-Method: suffix blocking.  A name is read as a core of accent-folded tokens (titles, kinds of organization and trades set
-aside).  The suffixes of two tokens of every rotation of the core are indexed, since parts come reordered; a suffix that
-is too common gives way to finer ones: by the initial of the token before it, then by that token, then by the initial of
-the next one.  The finest is kept however common it is, so no link is lost to a cap; what shares it differs in one token of
-one initial.  Cores that share a block are compared by their longest-common-subsequence ratio and by how they align.
+Method: blocking by all units, refined.  A name is read as a core of accent-folded tokens (titles, kinds of organization and
+trades set aside).  Its units are its tokens and its neighbouring tokens run together, the last and the first being
+neighbours, since parts come reordered.  Every two units are a key; a key that is too common gives way to the same with the
+slips of a third unit (each letter left out, each prefix).  The cores that ``same`` accepts with fewer equal units have keys
+of their own (equal tokens or letters, one core within another, one slip beside one token).  So every pair that ``same``
+accepts shares a key, however common.  Cores that share a key are compared by their longest-common-subsequence ratio and by
+how they align.
 
 Defined results: null names take no part; a name of one token links to equal cores alone; equal strings are one node, so
 repeated rows add no comparisons; extra columns are untouched.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,17 +69,81 @@ def _cut(rx: re.Pattern, text: str) -> str:
     return rest if len(rest.split()) >= 2 else text
 
 
-def suffixes(tokens: tuple[str, ...]) -> list[tuple[str, str, str, str]]:
-    """For every rotation its suffix at four lengths: two tokens, and an initial, a token and a further initial before them."""
+#: What a key's rows may meet (all but those run together alike, whole words only prefixes of others), as ``role``.
+BOTH, WHOLE, PART = 0, 1, 2
+
+
+def forms(tokens: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """A core as it is and, where its first token may be a title, without it."""
+    return [tokens, tokens[1:]] if len(tokens) == 4 and tokens[0] in FAMILY_TOO else [tokens]
+
+
+def units(tokens: tuple[str, ...]) -> list[tuple[str, int, int]]:
+    """(text, tokens covered as bits, whether run together): every token, and of three or more every two neighbours as one."""
     n = len(tokens)
-    if n < 2:
-        return []
+    joined = [(tokens[i] + tokens[(i + 1) % n], 1 << i | 1 << (i + 1) % n, 1) for i in range(n)] if n > 2 else []
+    return [(t, 1 << i, 0) for i, t in enumerate(tokens)] + joined
+
+
+def slip_keys(unit: str) -> set[tuple[str, int]]:
+    """(key, role): two units of which ``one_slip`` holds share a key, as BOTH or as WHOLE and PART."""
+    cut = {("~" + unit[:i] + unit[i + 1 :], BOTH) for i in range(len(unit))}
+    return cut | {("~" + unit, BOTH), ("<" + unit, WHOLE)} | {("<" + unit[:i], PART) for i in range(1, len(unit))}
+
+
+def least_turn(text: str) -> str:
+    return min(text[i:] + text[:i] for i in range(len(text)))
+
+
+def whole_keys(tokens: tuple[str, ...]) -> set[tuple[str, int, int]]:
+    """(key, joined, role) for the pairs of cores that ``same`` accepts without two equal units: the same tokens or letters in
+    another order, one core within the other, and one slip beside a single token and initials."""
+    if len(tokens) < 2:
+        return set()
+    out: set[tuple[str, int, int]] = set()
+    for form in forms(tokens):
+        n, ordered = len(form), sorted(form)
+        out |= {("s:" + " ".join(ordered), 0, BOTH), ("r:" + least_turn("".join(form)), 0, BOTH)}
+        if n >= 4:
+            longest = sorted(form, key=lambda t: (-len(t), t))
+            out |= {(f"{k}:" + " ".join(sorted(longest[:k])), 0, WHOLE) for k in (2, 4)}
+        if n >= 5:
+            k = 4 if n <= 12 else 2
+            out |= {(f"{k}:" + " ".join(c), 0, PART) for c in combinations(ordered, k)}
+        for text, bits, joined in units(form):
+            last = max(i for i in range(n) if bits >> i & 1 and not bits >> (i + 1) % n & 1)
+            rest = [form[(last + k) % n] for k in range(1, n - bits.bit_count() + 1)]
+            if sum(len(t) > 1 for t in rest) == 1:
+                out |= {("1:" + " ".join(rest) + key, 2 * joined, role) for key, role in slip_keys(text)}
+    return out
+
+
+def pair_keys(tokens: tuple[str, ...]) -> set[tuple[str, int]]:
+    """(key, joined): every two units, of which at most one is run together."""
+    out = set()
+    for form in forms(tokens) if len(tokens) > 1 else ():
+        for (x, p, i), (y, q, j) in combinations(units(form), 2):
+            if not p & q and not (i and j):
+                out.add((f"{x} {y}" if x <= y else f"{y} {x}", i | j))
+    return out
+
+
+def finer_keys(tokens: tuple[str, ...], pair: str, joined: int) -> set[tuple[str, int, int]]:
+    """(key, joined, role): ``pair`` with the slips of every other unit.  A pair of cores that ``same`` accepts by two equal
+    units has another equal or nearly equal one, unless one is run together and all that is left is a missing token."""
+    x, y = pair.split()
     out = set()
-    for i in range(n):
-        two = f"{tokens[i]} {tokens[(i + 1) % n]}"
-        before, further = (tokens[i - 1], tokens[i - 2]) if n > 2 else ("", "")
-        out.add((two, f"{two}<{before[:1]}", f"{two}<{before}", f"{two}<{before}<{further[:1]}"))
-    return sorted(out)
+    for form in forms(tokens):
+        n, own = len(form), units(form)
+        for (s, p, i), (t, q, j) in combinations(own, 2):
+            if p & q or i + j != joined or (s, t) not in ((x, y), (y, x)):
+                continue
+            for u, r, k in own:
+                if not r & (p | q):
+                    out |= {(f"{pair}{key}", joined + 2 * k, role) for key, role in slip_keys(u)}
+            if n - (p | q).bit_count() <= 1:
+                out.add((pair, 0, WHOLE if joined else PART))
+    return out
 
 
 def lcs(a: str, b: str) -> int:
@@ -135,8 +202,7 @@ def _aligned(a: tuple[str, ...], b: tuple[str, ...], most: int) -> bool:
 
 def same(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
     """Whether two cores name one entity, with their first tokens or, where these may be titles, without."""
-    forms = [[t, t[1:]] if len(t) == 4 and t[0] in FAMILY_TOO else [t] for t in (a, b)]
-    return any(_same(x, y) for x in forms[0] for y in forms[1] if len(x) > 3 or len(y) > 3 or x == a and y == b)
+    return any(_same(x, y) for x in forms(a) for y in forms(b) if len(x) > 3 or len(y) > 3 or x == a and y == b)
 
 
 def _same(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
@@ -154,11 +220,11 @@ def _same(a: tuple[str, ...], b: tuple[str, ...]) -> bool:
         other = "".join(turned)
         if whole == other:
             return True
-        # a token left out on one side lowers the ratio for its length alone: then the shorter one counts
-        alike = ratio(whole, other) if len(a) == len(b) else lcs(whole, other) / min(len(whole), len(other)) - 0.1
         # a family name is put last or a given name first; what is turned otherwise must not differ in letters too
-        most = 2 if i == 0 else 1 if i in (1, len(b) - 1) else 0
-        if (short or alike >= RATIO) and _aligned(a, turned, most):
+        if not _aligned(a, turned, 2 if i == 0 else 1 if i in (1, len(b) - 1) else 0):
+            continue
+        # a token left out on one side lowers the ratio for its length alone: then the shorter one counts
+        if short or (ratio(whole, other) if len(a) == len(b) else lcs(whole, other) / min(len(whole), len(other)) - 0.1) >= RATIO:
             return True
     return False
 
@@ -179,9 +245,18 @@ def _core_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([" ".join(core(n)) for n in names])
 
 
-def _suffix_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+KEYS = "array<struct<key:string,joined:int,role:int>>"
+
+
+def _key_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for cores in batches:
-        yield pd.Series([[dict(zip("abcd", s)) for s in suffixes(tuple(c.split()))] for c in cores])
+        split = [tuple(c.split()) for c in cores]
+        yield pd.DataFrame({"whole": [[dict(zip(("key", "joined", "role"), k)) for k in whole_keys(t)] for t in split], "pair": [[{"key": k, "joined": j, "role": BOTH} for k, j in pair_keys(t)] for t in split]})
+
+
+def _finer_batches(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for cores, pairs, joined in batches:
+        yield pd.Series([[dict(zip(("key", "joined", "role"), k)) for k in finer_keys(tuple(c.split()), p, j)] for c, p, j in zip(cores, pairs, joined)])
 
 
 def _same_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -190,21 +265,26 @@ def _same_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 
 
 def blocks(cores: DataFrame) -> DataFrame:
-    """(core, block): every suffix at the least length at which at most BLOCK cores share it, or else at the greatest."""
-    keys = cores.select("core", F.explode(python_udf(_suffix_batches, "array<struct<a:string,b:string,c:string,d:string>>")("core")).alias("s")).select("core", "s.*")
-    chosen = F.col("d")
-    for level in "cba":
-        common = keys.groupBy(level).agg(F.count("*").alias(f"n_{level}")).where(F.col(f"n_{level}") > BLOCK)
-        keys = keys.join(common, level, "left")
-        chosen = F.when(F.col(f"n_{level}").isNull(), F.col(level)).otherwise(chosen)
-    return keys.select("core", chosen.alias("block")).distinct()
+    """(core, block, joined, role): the keys of every core, a pair of units that more than BLOCK cores share being refined."""
+    keys = checkpointed(cores.select("core", python_udf(_key_batches, f"struct<whole:{KEYS},pair:{KEYS}>")("core").alias("k")))
+    pairs = keys.select("core", F.inline("k.pair"))
+    met = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("joined").alias("plain")).where("n > 1 AND plain = 0").select("key", "n")
+    pairs = pairs.join(met, "key")
+    finer = pairs.where(F.col("n") > BLOCK).select("core", F.explode(python_udf(_finer_batches, KEYS)("core", "key", "joined")).alias("f")).select("core", "f.*")
+    whole = keys.select("core", F.inline("k.whole"))
+    tagged = [whole.withColumn("kind", F.lit(0)), pairs.where(F.col("n") <= BLOCK).select("core", "key", "joined", "role", F.lit(1).alias("kind")), finer.withColumn("kind", F.lit(2))]
+    rows = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    # a hash in common only adds a comparison
+    return rows.select("core", F.xxhash64("kind", "key").alias("block"), F.col("joined").cast("byte").alias("joined"), F.col("role").cast("byte").alias("role"))
 
 
 def name_links(cores: DataFrame) -> DataFrame:
     """(a, b), a < b: pairs of distinct cores that name one entity."""
     keyed = checkpointed(blocks(cores))
-    other = keyed.select(F.col("core").alias("b"), "block")
-    pairs = keyed.withColumnRenamed("core", "a").join(other, "block").where("a < b").select("a", "b").distinct()
+    left = keyed.where(F.col("role") != PART).withColumnRenamed("core", "a")
+    right = keyed.where(F.col("role") != WHOLE).select(F.col("core").alias("b"), "block", F.col("joined").alias("joined_b"), F.col("role").alias("role_b"))
+    met = left.join(right, "block").where("(a < b OR a > b AND (role <> 0 OR joined <> joined_b)) AND (joined & joined_b) = 0 AND (role = 0) = (role_b = 0)")
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return pairs.where(python_udf(_same_batches, "boolean")("a", "b"))
 
 

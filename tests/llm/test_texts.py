@@ -192,3 +192,13 @@ def test_very_long_notes_take_time_in_proportion(text):
     _, items = pii.scrub(text)
     assert time.process_time() - began < 5
     assert len(items) == {"a": 1, "c": 6000}.get(text[0], 0)
+
+
+def test_no_accepted_pair_is_lost_to_a_common_suffix(spark, monkeypatch):
+    monkeypatch.setattr(names, "BLOCK", 1)
+    base = ["tran thi hoa", "le van thi hoa", "hoang quoc minh tuan", "vo hoa"]
+    odd = ["tranthi hoa", "thi hoa tran", "dran thi hoa", "le vanthi hoa", "van thi hoa", "le van thi", "lo van thi hoa", "huang quoc ninh tuan", "hoang quac minh toan", "ho hoa", "vo hoan"]
+    cores = base + odd + [f"{a}{b} thi hoa" for a in "bcdghklmnpqstvx" for b in ("uyen", "anh")]
+    want = {(a, b) for a in cores for b in cores if a < b and names.same(tuple(a.split()), tuple(b.split()))}
+    got = {tuple(r) for r in names.name_links(spark.createDataFrame([(c,) for c in cores], "core string")).collect()}
+    assert got == want and {("hoang quoc minh tuan", "huang quoc ninh tuan"), ("tran thi hoa", "tranthi hoa"), ("dran thi hoa", "tran thi hoa"), ("vo hoa", "vo hoan")} <= got
