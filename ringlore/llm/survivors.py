@@ -5,9 +5,9 @@ label (names, type, category) and the sightings (first, last, evidence).  For ea
 whole bundles by branch and bound, maximising trust under the functional dependencies of the data, with as few records
 behind it as the best trust allows.
 
-A group is first reduced, by partial aggregation alone, to the best records of each combination of the closed vocabularies
-(status, source, type, category); no group is ever gathered record by record, so a group with a third of all rows costs no
-more than another.  Groups of one record have no duplicates and give no row.
+A group is first reduced, by partial aggregation alone, to the records of each combination of status, source, type, category
+and name that a best choice can need, and its distinct confidences; no group is ever gathered record by record, so a group
+with a third of all rows costs little more than another, unless its combinations are as many.  Groups of one record have no duplicates and give no row.
 
 Defined results: a null criterion counts as worst; rows without a key or an identifier take no part; equal rows count as
 separate records of equal merit; ties go to the least identifier; extra columns are untouched.
@@ -47,7 +47,8 @@ BUNDLES = (
 )
 #: determinants -> dependent: the surviving fields must not contradict a record that has the same determinants.
 DEPENDENCIES = ((("claim_source", "normalized_name"), "identity_type"), (("claim_source", "normalized_name"), "category"))
-CLOSED = ("status", "claim_source", "identity_type", "category")
+#: What the dependencies and all ranks but those of confidence and sighting depend on.
+COMBINATION = ("status", "claim_source", "identity_type", "category", "normalized_name")
 CRITERIA = ("c_status", "c_trust", "c_confidence", "c_seen", "c_category")
 
 
@@ -76,16 +77,17 @@ def name_key(name: Column) -> Column:
     return F.regexp_replace(skeleton_column(name), r"\s+", "")
 
 
-def choose(records: list[dict], bundles: Sequence[Bundle] = BUNDLES, dependencies: Sequence[tuple[tuple[str, ...], str]] = DEPENDENCIES) -> list[int]:
+def choose(records: list[dict], bundles: Sequence[Bundle] = BUNDLES, dependencies: Sequence[tuple[tuple[str, ...], str]] = DEPENDENCIES, levels: dict[str, Sequence] | None = None) -> list[int]:
     """For each bundle the index of the record it comes from: branch and bound over whole bundles.
 
-    A bundle's trust is the sum of its criteria, each as the share of the group's distinct values that it reaches.  The
+    A bundle's trust is the sum of its criteria, each as the share of the group's distinct values that it reaches; ``levels``
+    has these values where ``records`` is only a part of the group that does not show them all.  The
     bound of a partial choice is its trust plus the best trust of every bundle still open.  Among choices of equal trust the
     one with the fewest records wins, then the one with the least record.
     """
     ranks = {}
     for c in {c for b in bundles for c in b.criteria}:
-        values = sorted({r[c] for r in records})
+        values = sorted((levels or {}).get(c) or {r[c] for r in records})
         ranks[c] = {v: (i + 1) / len(values) for i, v in enumerate(values)}
     trust = [[sum(ranks[c][r[c]] for c in b.criteria) for r in records] for b in bundles]
     order = [sorted(range(len(records)), key=lambda i, t=t: (-t[i], records[i]["id"])) for t in trust]
@@ -133,12 +135,12 @@ def choose(records: list[dict], bundles: Sequence[Bundle] = BUNDLES, dependencie
     return best[3]
 
 
-def _choose_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for groups in batches:
+def _choose_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for groups, confidences in batches:
         out = []
-        for group in groups:
+        for group, values in zip(groups, confidences):
             records = sorted((dict(r) for r in group), key=lambda r: r["id"])
-            out.append([records[i]["id"] for i in choose(records)])
+            out.append([records[i]["id"] for i in choose(records, levels={"c_confidence": list(values)})])
         yield pd.DataFrame(out, columns=[b.name for b in BUNDLES])
 
 
@@ -153,12 +155,16 @@ def survivors(df: DataFrame, keys: dict[str, Column], record: str, trust: DataFr
     for n in keys:
         rows = rows.where(F.col(n).isNotNull())
     whole = F.struct("id", *fields, *CRITERIA)
-    first = rows.groupBy(*keys, *CLOSED).agg(
-        F.count("*").alias("members"),
-        F.min_by(whole, F.struct(-F.col("c_confidence"), -F.col("c_seen"), F.col("id"))).alias("sure"),
-        F.min_by(whole, F.struct(-F.col("c_seen"), -F.col("c_confidence"), F.col("id"))).alias("seen"),
-    )
-    groups = first.groupBy(*keys).agg(F.sum("members").alias("members"), F.array_distinct(F.flatten(F.collect_list(F.array("sure", "seen")))).alias("records")).where("members > 1")
+    # A best choice has its claim from a record of the greatest confidence of its combination, its sighting from one of the
+    # latest of all, its label from any record; where one record gives two or three of them, it is the least that can.
+    orders = ((-F.col("c_confidence"), -F.col("c_seen"), F.col("id")), (-F.col("c_confidence"), F.col("id")), (-F.col("c_seen"), F.col("id")), (F.col("id"),))
+    first = rows.groupBy(*keys, *COMBINATION).agg(
+        F.count("*").alias("members"), F.collect_set("c_confidence").alias("confidences"), *[F.min_by(whole, F.struct(*o)).alias(f"r{k}") for k, o in enumerate(orders)]
+    )
+    groups = first.groupBy(*keys).agg(
+        F.sum("members").alias("members"), F.array_distinct(F.flatten(F.collect_set("confidences"))).alias("confidences"),
+        F.array_distinct(F.flatten(F.collect_list(F.array(*[f"r{k}" for k in range(len(orders))])))).alias("records"),
+    ).where("members > 1")
     # Of the records that are greatest in the order of the criteria one, if any, is at least as good as all others on each.
     met = rows.groupBy(*keys, *CRITERIA).agg(F.count("*").alias("n"), F.min("id").alias("top_id"))
     top = met.groupBy(*keys).agg(F.max(F.struct(*CRITERIA, "n", "top_id")).alias("top"), *[F.max(c).alias(f"m_{c}") for c in CRITERIA])
@@ -166,7 +172,7 @@ def survivors(df: DataFrame, keys: dict[str, Column], record: str, trust: DataFr
     for c in CRITERIA:
         alone = alone & (F.col(f"top.{c}") == F.col(f"m_{c}"))
     top = top.select(*keys, F.col("top.top_id").alias("top_id"), alone.alias("alone"))
-    picked = groups.withColumn("pick", python_udf(_choose_batches, "struct<claim:string,label:string,sighting:string>")("records"))
+    picked = groups.withColumn("pick", python_udf(_choose_batches, "struct<claim:string,label:string,sighting:string>")("records", "confidences"))
 
     def picked_for(bundle: str) -> Column:
         return F.element_at(F.filter("records", lambda r: r["id"] == F.col(f"pick.{bundle}")), 1)

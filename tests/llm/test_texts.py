@@ -1,6 +1,7 @@
 """Scrubbing, one form of characters, variant names and survivors."""
 
 import datetime as dt
+import decimal
 import itertools
 import random
 import unicodedata
@@ -202,3 +203,22 @@ def test_no_accepted_pair_is_lost_to_a_common_suffix(spark, monkeypatch):
     want = {(a, b) for a in cores for b in cores if a < b and names.same(tuple(a.split()), tuple(b.split()))}
     got = {tuple(r) for r in names.name_links(spark.createDataFrame([(c,) for c in cores], "core string")).collect()}
     assert got == want and {("hoang quoc minh tuan", "huang quoc ninh tuan"), ("tran thi hoa", "tranthi hoa"), ("dran thi hoa", "tran thi hoa"), ("vo hoa", "vo hoan")} <= got
+
+
+def test_survivors_of_large_combinations_are_those_of_the_whole_group(spark):
+    rng, rows, day = random.Random(11), [], dt.datetime(2024, 1, 1)
+    for g in range(150):
+        for i in range(rng.randint(3, 9)):
+            rows.append((f"{g:03d}{rng.random():.6f}{i}", f"p{g}", "A b", rng.choice(("a b", "A B")), rng.choice(("PERSON", "BUSINESS")), rng.choice(("x", None)), rng.choice(("s1", "s2", "s3")), decimal.Decimal(rng.choice(("50.50", "74.50", "83.00", "91.50"))), 1, day, day + dt.timedelta(days=rng.randint(0, 3)), rng.choice(("CONFIRMED", "CANDIDATE"))))
+    trust = spark.createDataFrame([("s1", "HIGH"), ("s2", "MEDIUM"), ("s3", "LOW")], "claim_source string, trust_level string")
+    df = _identities(spark, rows)
+    groups = {}
+    for r in survivors.with_criteria(df, trust).collect():
+        groups.setdefault(r["phone_number_id"], []).append(r.asDict())
+    want = {}
+    for g, records in groups.items():
+        records.sort(key=lambda r: r["id"])
+        want[g] = tuple(records[i]["id"] for i in survivors.choose(records))
+    keys = {"phone": F.col("phone_number_id"), "key": survivors.name_key(F.col("normalized_name"))}
+    got = {r["phone"]: (r["claim_id"], r["label_id"], r["sighting_id"]) for r in survivors.survivors(df, keys, "id", trust).collect()}
+    assert got == want
