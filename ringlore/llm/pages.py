@@ -10,6 +10,7 @@ from html import unescape
 from typing import NamedTuple
 
 _TAG = re.compile(r"(<!--.*?-->|</?[a-zA-Z!][^<>]*>)", re.DOTALL)
+_ELEMENT = re.compile(r"</?[a-zA-Z!][^<>]*>")
 _BROKEN = re.compile(r"<!--[^\n]*(?<!-->)\n|</?[a-zA-Z!][^<>\n]*\n")
 #: A line that is one element without others inside, which needs no tokens.
 _WHOLE = re.compile(r"\s*<(p|li|h[1-6]|div|td|th)(?:\s[^<>]*)?>([^<>]*)</\1>\s*", re.IGNORECASE)
@@ -43,7 +44,9 @@ class Page(NamedTuple):
 
 
 def is_markup(text: str) -> bool:
-    return _TAG.search(text, 0, 4000) is not None
+    """Whether a tag or a comment stands anywhere in the text."""
+    opened = text.find("<!--")
+    return opened >= 0 and text.find("-->", opened + 4) >= 0 or _ELEMENT.search(text) is not None
 
 
 def read_page(text: str) -> Page:

@@ -158,3 +158,9 @@ def test_found_queries(spark, sf_dir):
         assert df.count() == df.distinct().count()
     docs = [(r["id"], r["source_id"], r["raw_content"]) for r in spark.read.parquet(f"{sf_dir}/raw_documents.parquet").collect()]
     assert sorted((r["raw_document_id"], r["line_no"]) for r in queries.p6_found(spark, sf_dir).collect()) == _brute_repeats(docs, 5, 0.2)
+
+
+def test_markup_behind_a_long_preamble():
+    log = "fetched at noon\n" * 400
+    assert pages.is_markup(log + "<p>Hello there</p>") and pages.is_markup(log + "<!-- 1 < 2 -->") and not pages.is_markup(log + "1 < 2 and <!-- open")
+    assert [x.text for x in pages.read_page(log + "<p>Hello there</p>").leaves][-1] == "Hello there"
