@@ -60,11 +60,11 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.variant_pairs(_named(spark, sf_dir), "id", "normalized_name")
+    return names.variant_pairs(_named(spark, sf_dir), "id", "normalized_name", "identity_type", "phone_number_id")
 
 
 def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return names.entities(_named(spark, sf_dir), "id", "normalized_name")
+    return names.entities(_named(spark, sf_dir), "id", "normalized_name", "identity_type", "phone_number_id")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

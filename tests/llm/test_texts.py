@@ -121,6 +121,33 @@ def test_common_suffixes_are_refined(spark, monkeypatch):
     assert {(f"{i}a", f"{i}b") for i in range(len(firsts))} <= got
 
 
+def _entity_of(spark, rows):
+    df = spark.createDataFrame([(f"i{k}", *r) for k, r in enumerate(rows)], "id string, name string, kind string, phone string")
+    return [r["entity"] for r in sorted(names.entities(df, "id", "name", "kind", "phone").collect(), key=lambda r: int(r["id"][1:]))]
+
+
+def test_a_shortened_name_is_no_bridge(spark):
+    rows = [("Lê Thị Hoa Hồng", "PERSON", "p1"), ("Lê Thị Hoa Hạnh", "PERSON", "p2"), ("Lê Thị Hoa H.", "PERSON", "p3"), ("Lê Thị Hoa H.", "PERSON", "p3"), ("Thị Hoa Hồng", "PERSON", "p1")]
+    a, b, c, d, e = _entity_of(spark, rows)
+    assert a != b and c == d and a == e and c not in (a, b)  # two strangers fit the initial equally well
+    a, b, c, d, e = _entity_of(spark, [*rows[:2], ("Lê Thị Hoa H.", "PERSON", "p2"), *rows[3:]])
+    assert b == c != a  # the number tells which
+
+
+def test_other_fields_must_agree(spark):
+    got = _entity_of(spark, [("Công ty TNHH Mai Bình Lập Châu", "BUSINESS", "p1"), ("Ngân hàng Mai Bình Lập Châu", "BUSINESS", "p2"), ("Mai Bình Lập Châu", "PERSON", "p3"), ("Cty TNHH Xây dựng Mai Bình Lập Châu", "BUSINESS", "p4"), ("Mai Binh Lap Chau", None, None)])
+    assert got[0] == got[3] and len(set(got)) == 4
+
+
+def test_common_words_differ_without_a_shared_number(spark):
+    filler = [(f"Thư Anh {x}{y} Minh", "PERSON", f"q{x}{y}") for x in "bcdghklmnp" for y in "aeiou"] + [(f"{x}{y} An Thu Minh", "PERSON", f"r{x}{y}") for x in "bcdghklmnp" for y in "aeiou"]
+    pair = [("Đỗ Quốc Bảo An", "PERSON", "p1"), ("Đỗ Quốc Bảo Anh", "PERSON", "p2")]
+    got = _entity_of(spark, pair + filler)
+    assert got[0] != got[1]
+    got = _entity_of(spark, [pair[0], (*pair[1][:2], "p1"), *filler])
+    assert got[0] == got[1]
+
+
 def _identities(spark, rows):
     schema = "id string, phone_number_id string, display_name string, normalized_name string, identity_type string, category string, claim_source string, confidence decimal(5,2), evidence_count int, first_seen_at timestamp_ntz, last_seen_at timestamp_ntz, status string"
     return spark.createDataFrame(rows, schema)
@@ -201,7 +228,7 @@ def test_no_accepted_pair_is_lost_to_a_common_suffix(spark, monkeypatch):
     odd = ["tranthi hoa", "thi hoa tran", "dran thi hoa", "le vanthi hoa", "van thi hoa", "le van thi", "lo van thi hoa", "huang quoc ninh tuan", "hoang quac minh toan", "ho hoa", "vo hoan"]
     cores = base + odd + [f"{a}{b} thi hoa" for a in "bcdghklmnpqstvx" for b in ("uyen", "anh")]
     want = {(a, b) for a in cores for b in cores if a < b and names.same(tuple(a.split()), tuple(b.split()))}
-    got = {tuple(r) for r in names.name_links(spark.createDataFrame([(c,) for c in cores], "core string")).collect()}
+    got = {(r["a"], r["b"]) for r in names.name_links(spark.createDataFrame([(c,) for c in cores], "core string")).collect()}
     assert got == want and {("hoang quoc minh tuan", "huang quoc ninh tuan"), ("tran thi hoa", "tranthi hoa"), ("dran thi hoa", "tran thi hoa"), ("vo hoa", "vo hoan")} <= got
 
 
