@@ -75,6 +75,11 @@ def national_number(e164: Column, kind: Column) -> Column:
     return F.when(kind.isin("MOBILE", "LANDLINE"), F.regexp_replace(e164, r"^\+84", "0")).otherwise(e164)
 
 
+def confirmed_national_number(e164: Column) -> Column:
+    """As a user's confirmation writes it: a zero for the country's code, whatever the type."""
+    return F.regexp_replace(e164, r"^\+84", "0")
+
+
 def digits_only(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 

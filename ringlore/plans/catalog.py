@@ -13,7 +13,7 @@ from ..operators.merge import changed_documents, merge
 from ..rules import CATEGORY_RULES, COMPANY_FLAGS, COMPANY_PATTERN, CONNECTOR_PATTERN, HORIZON_HOURS, HOTLINE_KEYWORDS, JOB_STATUSES, MOBILE_PREFIXES, PHONE_KEYWORDS, PHONE_PATTERN, URL_DENY, URL_RULES
 from ..session import table
 from ..sources import procfs, sitemaps
-from . import adapters, ingest, marts
+from . import adapters, ingest, marts, writes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,13 +94,25 @@ _BEST = """
 best AS (SELECT DISTINCT ON (n.phone_e164) n.phone_e164, n.phone_type, i.id AS identity_id, i.display_name, i.category, i.confidence
          FROM phone_numbers n JOIN phone_identities i ON i.phone_number_id = n.id WHERE i.status <> 'REJECTED'
          ORDER BY n.phone_e164, i.confidence DESC, CASE WHEN i.status = 'CONFIRMED' THEN 0 ELSE 1 END, i.evidence_count DESC NULLS LAST, i.normalized_name NULLS FIRST, i.id)"""
-_PRODUCTION = f"""{_EVIDENCE},
-prod AS (SELECT * FROM phone_numbers n WHERE phone_type IN ('MOBILE', 'LANDLINE')
-         AND EXISTS (SELECT 1 FROM phone_identities i WHERE i.phone_number_id = n.id AND i.status <> 'REJECTED')
-         AND EXISTS (SELECT 1 FROM ev WHERE ev.phone_normalized = n.phone_e164 AND ev.trust_level = 'HIGH' AND ev.source_name NOT LIKE 'Fixture%'))"""
+_CLAIMS = f"""{_GUESS},
+claims AS (SELECT phone_normalized, name_key, arg_min(display_name, (discovered_at, id)) AS display_name, arg_min(identity_type, (discovered_at, id)) AS identity_type,
+  arg_min_null(category, (discovered_at, id)) AS category, count(*) AS evidence_count,
+  CAST(least(100, CASE WHEN bool_or(high) THEN 20 ELSE 0 END + 10 * count(*) + CASE WHEN bool_or(hotline) THEN 15 ELSE 0 END + CASE WHEN bool_or(says_company) THEN 15 ELSE 0 END
+       + CASE WHEN bool_or(official) THEN 20 ELSE 0 END) AS INTEGER) AS score, min(discovered_at) AS first_seen_at, max(discovered_at) AS last_seen_at
+  FROM guess WHERE phone_normalized IN (SELECT phone_e164 FROM phone_numbers) GROUP BY 1, 2)"""
+#: The identities as an insert with ON CONFLICT (number, name, rule) DO UPDATE leaves them.
+_IDENT = f"""{_CLAIMS},
+st AS (SELECT n.phone_e164 AS phone_normalized, i.normalized_name AS name_key, i.claim_source, i.display_name, i.identity_type, i.category, i.status, i.confidence::DOUBLE AS confidence, i.evidence_count, i.first_seen_at, i.last_seen_at
+       FROM phone_identities i JOIN phone_numbers n ON n.id = i.phone_number_id),
+ident AS (SELECT st.* REPLACE (coalesce(c.category, st.category) AS category, coalesce(c.score::DOUBLE, st.confidence) AS confidence, coalesce(c.evidence_count, st.evidence_count)::BIGINT AS evidence_count, coalesce(c.last_seen_at, st.last_seen_at) AS last_seen_at)
+          FROM st LEFT JOIN claims c ON st.claim_source = 'rule_based_aggregation_v1' AND c.phone_normalized = st.phone_normalized AND c.name_key = st.name_key
+          UNION ALL SELECT phone_normalized, name_key, 'rule_based_aggregation_v1', display_name, identity_type, category, 'CANDIDATE', score::DOUBLE, evidence_count, first_seen_at, last_seen_at FROM claims c
+          WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.phone_normalized = c.phone_normalized AND st.name_key = c.name_key AND st.claim_source = 'rule_based_aggregation_v1'))"""
+_PRODUCTION = f"""{_IDENT},
+trusted AS (SELECT i.* FROM ident i JOIN phone_numbers n ON n.phone_e164 = i.phone_normalized WHERE n.phone_type IN ('MOBILE', 'LANDLINE') AND i.status <> 'REJECTED' AND i.claim_source = 'rule_based_aggregation_v1'
+            AND EXISTS (SELECT 1 FROM guess g WHERE g.phone_normalized = i.phone_normalized AND g.name_key = i.name_key AND g.trust_level = 'HIGH' AND g.source_name NOT LIKE 'Fixture%')),
+prod AS (SELECT * FROM phone_numbers WHERE phone_e164 IN (SELECT phone_normalized FROM trusted))"""
 _SUPPRESSED = f"sup AS ({adapters.SUPPRESSED_SQL})"
-_JOBS = f"jobs AS ({adapters.JOBS_SQL})"
-_METRICS = f"metrics AS ({adapters.METRICS_SQL})"
 
 
 # -- numbers ------------------------------------------------------------------------------------------------------
@@ -152,16 +164,27 @@ def phone_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.search_numbers(table(spark, sf_dir, "phone_numbers"), "7-7")
 
 
+_ASKED = "(SELECT phone_e164 AS raw_input FROM phone_numbers UNION SELECT phone_raw FROM personal_call_logs)"
+
+
 @_query(
     "phone_lookup",
-    f"""WITH {_EVIDENCE}, {_FLAGS}, seen AS (SELECT phone_normalized, count(*) AS sightings, count(DISTINCT source_id) AS source_count FROM ev GROUP BY 1)
-SELECT n.phone_e164, n.phone_type, n.observation_count, coalesce(sightings, 0) AS sightings, coalesce(source_count, 0) AS source_count, coalesce(report_count, 0) AS report_count,
-       coalesce(reporter_count, 0) AS reporter_count, coalesce(risk, 'NONE') AS risk, top_category
-FROM phone_numbers n LEFT JOIN seen s ON s.phone_normalized = n.phone_e164 LEFT JOIN flags f ON f.phone_normalized = n.phone_e164""",
+    f"""WITH {_EVIDENCE}, {_FLAGS}, {ladder_sql('raw_input', _ASKED)},
+seen AS (SELECT phone_normalized, count(DISTINCT source_id) AS source_count FROM ev GROUP BY 1),
+named AS (SELECT phone_number_id, list({{'name': display_name, 'type': identity_type, 'category': category, 'confidence': confidence::DOUBLE, 'evidence_count': evidence_count, 'status': status}} ORDER BY confidence DESC, normalized_name NULLS FIRST, id) AS identities FROM phone_identities GROUP BY 1)
+SELECT l.raw AS raw_input, l.normalized, coalesce(n.phone_type, l.type) AS type, l.valid, CASE WHEN l.normalized IS NULL THEN 'INVALID' WHEN n.id IS NULL THEN 'NEVER_SEEN' ELSE 'SEEN' END AS shape,
+  coalesce(n.observation_count, 0) AS observation_count, CASE WHEN n.id IS NULL THEN 0 ELSE coalesce(source_count, 0) END AS source_count, n.first_seen_at, n.last_seen_at,
+  array_to_string(list_transform(coalesce(identities, []), lambda i: concat_ws('|', i['name'], i['type'], coalesce(i['category'], '-'), CAST(round(i['confidence'] * 100) AS BIGINT), i['evidence_count'], i['status'])), ';') AS identities,
+  coalesce(report_count, 0) AS report_count, coalesce(reporter_count, 0) AS reporter_count, coalesce(risk, 'NONE') AS risk, top_category
+FROM ladder l LEFT JOIN phone_numbers n ON n.phone_e164 = l.normalized LEFT JOIN seen s ON s.phone_normalized = l.normalized LEFT JOIN named m ON m.phone_number_id = n.id LEFT JOIN flags f ON f.phone_normalized = l.normalized""",
 )
 def phone_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers, reports = _t(spark, sf_dir, "phone_numbers", "spam_reports")
-    return marts.lookup(numbers, _evidence(spark, sf_dir), reports)
+    """Every stored number and everything that was called, looked up; identities as text, one after the other."""
+    numbers, identities, reports, calls = _t(spark, sf_dir, "phone_numbers", "phone_identities", "spam_reports", "personal_call_logs")
+    asked = numbers.select(F.col("phone_e164").alias("raw_input")).unionByName(calls.select(F.col("phone_raw").alias("raw_input")))
+    found = marts.lookup(asked, numbers, identities, _evidence(spark, sf_dir), reports)
+    said = F.transform("identities", lambda i: F.concat_ws("|", i["name"], i["type"], F.coalesce(i["category"], F.lit("-")), F.round(i["confidence"] * 100).cast("bigint").cast("string"), i["evidence_count"].cast("string"), i["status"]))
+    return found.withColumn("identities", F.array_join(said, ";"))
 
 
 # -- extraction ---------------------------------------------------------------------------------------------------
@@ -194,12 +217,13 @@ def extract_context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visible_sql(html: str) -> str:
-    out = html
-    for pattern, by in text._STEPS:
-        said = pattern.replace("\\", "\\")
-        by = "chr(10)" if by == "\n" else f"'{by}'"
-        out = f"regexp_replace({out}, '{said}', {by}, 'g')"
-    return f"regexp_replace({out}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    """Scripts and styles go, breaks and block ends become newlines, other tags blanks, two entities are read, runs squeezed: step by step."""
+    for found, put in (
+        ("(?is)<script[^>]*>.*?</script>", "' '"), ("(?is)<style[^>]*>.*?</style>", "' '"), (r"(?i)<br\s*/?>", "chr(10)"), ("(?i)</p>|</li>|</h[1-6]>|</div>|</tr>|</td>|</th>", "chr(10)"),
+        ("(?i)</section>|</article>|</header>|</footer>", "chr(10)"), ("<[^>]+>", "' '"), ("(?i)&nbsp;", "' '"), ("(?i)&amp;", "'&'"), (r"[ \t]+", "' '"), (r"( ?\n ?)+", "chr(10)"),
+    ):
+        html = f"regexp_replace({html}, '{found}', {put}, 'g')"
+    return f"regexp_replace({html}, '^[ \\n]+|[ \\n]+$', '', 'g')"
 
 
 @_query("html_visible_text", f"SELECT id, sha256({_visible_sql('raw_content')}) AS text_hash FROM raw_documents")
@@ -247,15 +271,7 @@ def identity_category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evidence(spark, sf_dir).groupBy(idf.category(F.col("context_text")).alias("category")).agg(F.count("*").alias("observations"))
 
 
-_CLAIMS = f"""WITH {_GUESS},
-claims AS (SELECT phone_normalized, name_key, arg_min(display_name, (discovered_at, id)) AS display_name, arg_min(identity_type, (discovered_at, id)) AS identity_type,
-  arg_min_null(category, (discovered_at, id)) AS category, count(*) AS evidence_count,
-  CAST(least(100, CASE WHEN bool_or(high) THEN 20 ELSE 0 END + 10 * count(*) + CASE WHEN bool_or(hotline) THEN 15 ELSE 0 END + CASE WHEN bool_or(says_company) THEN 15 ELSE 0 END
-       + CASE WHEN bool_or(official) THEN 20 ELSE 0 END) AS INTEGER) AS score, min(discovered_at) AS first_seen_at, max(discovered_at) AS last_seen_at
-  FROM guess WHERE phone_normalized IN (SELECT phone_e164 FROM phone_numbers) GROUP BY 1, 2)"""
-
-
-@_query("identity_claims", f"{_CLAIMS} SELECT * FROM claims")
+@_query("identity_claims", f"WITH {_CLAIMS} SELECT * FROM claims")
 def identity_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.claims(_evidence(spark, sf_dir), table(spark, sf_dir, "phone_numbers"))
 
@@ -270,18 +286,10 @@ def identity_best_per_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.best_identities(*_t(spark, sf_dir, "phone_numbers", "phone_identities")).select("phone_e164", "identity_id", "display_name", F.col("confidence").cast("double").alias("confidence"))
 
 
-@_query(
-    "identity_upsert_sticky",
-    f"""{_CLAIMS}, {_BEST}, old AS (SELECT phone_e164 AS phone_normalized, regexp_replace(trim(lower(display_name)), '\\s+', ' ', 'g') AS name_key, display_name, category, confidence FROM best)
-SELECT coalesce(o.phone_normalized, n.phone_normalized) AS phone_normalized, coalesce(o.name_key, n.name_key) AS name_key, coalesce(o.display_name, n.display_name) AS display_name,
-       coalesce(n.category, o.category) AS category, coalesce(n.score, o.confidence)::DOUBLE AS confidence
-FROM old o FULL OUTER JOIN claims n ON o.phone_normalized = n.phone_normalized AND o.name_key = n.name_key""",
-)
+@_query("identity_upsert_sticky", f"WITH {_IDENT} SELECT * FROM ident")
 def identity_upsert_sticky(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers, identities = _t(spark, sf_dir, "phone_numbers", "phone_identities")
-    old = marts.best_identities(numbers, identities).select(F.col("phone_e164").alias("phone_normalized"), idf.name_key(F.col("display_name")).alias("name_key"), "display_name", "category", F.col("confidence").cast("double"))
-    new = marts.claims(_evidence(spark, sf_dir), numbers).select("phone_normalized", "name_key", "display_name", "category", F.col("score").cast("double").alias("confidence"))
-    return merge(old, new, ["phone_normalized", "name_key"], {"display_name": "first", "category": "last", "confidence": "last"})
+    return marts.identities_after_run(numbers, identities, _evidence(spark, sf_dir))
 
 
 # -- spam and directory -------------------------------------------------------------------------------------------
@@ -302,33 +310,50 @@ def spam_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.top(table(spark, sf_dir, "spam_reports").select("id", "phone_raw", "category", "reported_at"), [F.col("reported_at").desc(), F.col("id")], 10)
 
 
-@_query(
-    "call_directory_export",
-    f"""WITH {_PRODUCTION}, {_FLAGS}, {_SUPPRESSED}, {ladder_sql('phone_normalized', 'spam_reports')},
-{_BEST.replace('FROM phone_numbers n', 'FROM prod n')},
-b2 AS (SELECT phone_e164 AS phone_normalized, coalesce(nullif(regexp_extract(display_name, '^Unknown \\((.+)\\)$', 1), ''), display_name) AS name FROM best),
-f2 AS (SELECT * FROM flags WHERE phone_normalized IN (SELECT raw FROM ladder WHERE type IN ('MOBILE', 'LANDLINE'))),
-j AS (SELECT coalesce(b2.phone_normalized, f2.phone_normalized) AS phone, name, reporter_count, top_category FROM b2 FULL OUTER JOIN f2 ON b2.phone_normalized = f2.phone_normalized)
-SELECT regexp_replace(phone, '^\\+', '') AS digits,
+_DIRECTORY = f"""{_PRODUCTION}, {_FLAGS}, {_SUPPRESSED}, {ladder_sql('phone_normalized', 'spam_reports')},
+shown AS (SELECT DISTINCT ON (phone_normalized) phone_normalized, coalesce(nullif(regexp_extract(display_name, '^Unknown \\((.+)\\)$', 1), ''), display_name) AS name FROM trusted
+          ORDER BY phone_normalized, confidence DESC, CASE WHEN status = 'CONFIRMED' THEN 0 ELSE 1 END, evidence_count DESC, name_key),
+j AS (SELECT coalesce(s.phone_normalized, f.phone_normalized) AS phone, name, reporter_count, top_category FROM shown s FULL OUTER JOIN flags f ON s.phone_normalized = f.phone_normalized
+      WHERE name IS NOT NULL OR f.phone_normalized IN (SELECT raw FROM ladder WHERE type IN ('MOBILE', 'LANDLINE'))),
+directory AS (SELECT regexp_replace(phone, '^\\+', '') AS digits,
   CASE WHEN reporter_count IS NULL THEN name
        WHEN name IS NULL OR reporter_count >= 10 THEN '⚠️ Nghi ngờ ' || CASE WHEN top_category = 'SCAM' THEN 'LỪA ĐẢO' ELSE 'SPAM' END || ' (' || reporter_count || ' báo cáo)'
        ELSE '⚠️ ' || name END AS label
-FROM j WHERE phone NOT IN (SELECT phone_normalized FROM sup)""",
-)
-def call_directory_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+  FROM j WHERE phone NOT IN (SELECT phone_normalized FROM sup))"""
+
+
+def _directory(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers, identities, reports = _t(spark, sf_dir, "phone_numbers", "phone_identities", "spam_reports")
     return marts.call_directory(numbers, identities, _evidence(spark, sf_dir), reports, adapters.label_suppressions(numbers))
 
 
-@_query(
-    "blocked_digits",
-    f"""WITH {_FLAGS}, {_SUPPRESSED}, {ladder_sql('phone_normalized', 'spam_reports')}
-SELECT regexp_replace(phone_normalized, '^\\+', '') AS digits FROM flags WHERE reporter_count >= 3 AND top_category = 'SCAM'
-AND phone_normalized IN (SELECT raw FROM ladder WHERE type IN ('MOBILE', 'LANDLINE')) AND phone_normalized NOT IN (SELECT phone_normalized FROM sup)""",
-)
+@_query("call_directory_export", f"WITH {_DIRECTORY} SELECT * FROM directory ORDER BY digits::HUGEINT")
+def call_directory_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.in_number_order(_directory(spark, sf_dir))
+
+
+@_query("directory_by_label", f"WITH {_DIRECTORY} SELECT row_number() OVER (ORDER BY label, digits::HUGEINT) AS place, digits, label FROM directory QUALIFY place <= 100")
+def directory_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of a device's list, with the place of each entry."""
+    first = marts.by_label(_directory(spark, sf_dir)).limit(100)
+    rows = first.agg(F.array_sort(F.collect_list(F.struct("label", F.col("digits").cast("decimal(20,0)").alias("n"), "digits"))).alias("r"))  # a page
+    return rows.select(F.posexplode("r").alias("at", "e")).select((F.col("at") + 1).cast("bigint").alias("place"), "e.digits", "e.label")
+
+
+_BLOCKED = """blocked AS (SELECT regexp_replace(phone_normalized, '^\\+', '') AS digits FROM flags WHERE reporter_count >= 10 AND top_category = 'SCAM'
+AND phone_normalized IN (SELECT raw FROM ladder WHERE type IN ('MOBILE', 'LANDLINE')) AND phone_normalized NOT IN (SELECT phone_normalized FROM sup))"""
+
+
+@_query("export_payload", f"WITH {_DIRECTORY}, {_BLOCKED} SELECT 'entries' AS part, digits, label, (SELECT count(*) FROM directory) AS count FROM directory UNION ALL SELECT 'blocked_digits', digits, NULL, (SELECT count(*) FROM directory) FROM blocked")
+def export_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers, reports = _t(spark, sf_dir, "phone_numbers", "spam_reports")
+    return marts.export_payload(_directory(spark, sf_dir), marts.blocked_digits(reports, adapters.label_suppressions(numbers)))
+
+
+@_query("blocked_digits", f"WITH {_FLAGS}, {_SUPPRESSED}, {ladder_sql('phone_normalized', 'spam_reports')}, {_BLOCKED} SELECT digits FROM blocked")
 def blocked_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbers, reports = _t(spark, sf_dir, "phone_numbers", "spam_reports")
-    return marts.blocked_digits(reports, adapters.label_suppressions(numbers), least=3)
+    return marts.in_number_order(marts.blocked_digits(reports, adapters.label_suppressions(numbers)))
 
 
 # -- call log -----------------------------------------------------------------------------------------------------
@@ -348,9 +373,9 @@ def call_log_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(
     "unknown_number_priority",
-    f"""WITH u AS (SELECT coalesce(phone_normalized, phone_raw) AS phone, sum(call_count) AS total_calls, count(DISTINCT call_date) AS days, max(call_date) AS last_call FROM personal_call_logs c
-  WHERE NOT EXISTS (SELECT 1 FROM phone_numbers n JOIN phone_identities i ON i.phone_number_id = n.id WHERE n.phone_e164 = c.phone_normalized) GROUP BY 1)
-SELECT phone, CAST(total_calls AS BIGINT) AS total_calls, days, last_call, CAST(least(100, least(total_calls * 5, 50)
+    f"""WITH u AS (SELECT coalesce(phone_normalized, phone_raw) AS phone, phone_normalized, arg_max(phone_raw, (imported_at, id)) AS phone_raw, sum(call_count) AS total_calls, count(DISTINCT call_date) AS days, max(call_date) AS last_call
+  FROM personal_call_logs c WHERE NOT EXISTS (SELECT 1 FROM phone_numbers n JOIN phone_identities i ON i.phone_number_id = n.id WHERE n.phone_e164 = c.phone_normalized AND i.status <> 'REJECTED') GROUP BY 1, 2)
+SELECT phone, phone_normalized, phone_raw, CAST(total_calls AS BIGINT) AS total_calls, days, last_call, CAST(least(100, least(total_calls * 5, 50)
   + greatest(0, 30 - greatest(0, date_diff('day', last_call, CAST('{marts.AS_OF}' AS DATE)))) + least(days * 3, 20)) AS INTEGER) AS priority FROM u""",
 )
 def unknown_number_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,97 +418,30 @@ def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 _H = ", ".join(f"count(*) FILTER (WHERE first_seen_at > TIMESTAMP '{marts.AS_OF}' - INTERVAL '{h}' HOUR) AS last_{h}h" for h in HORIZON_HOURS)
 
 
-@_query("data_growth_horizons", f"WITH {_PRODUCTION} SELECT count(*) AS total, {_H}, count(*) FILTER (WHERE first_seen_at > TIMESTAMP '{marts.AS_OF}' - INTERVAL '30' DAY) AS last_30d FROM prod")
-def data_growth_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    numbers, identities = _t(spark, sf_dir, "phone_numbers", "phone_identities")
-    return marts.growth_horizons(marts.production_numbers(numbers, identities, _evidence(spark, sf_dir)), marts.AS_OF)
-
-
-@_query("data_growth_hourly", f"SELECT date_trunc('hour', first_seen_at) AS hour, count(*) AS new_numbers FROM phone_numbers WHERE first_seen_at > TIMESTAMP '{marts.AS_OF}' - INTERVAL '720' HOUR GROUP BY 1")
-def data_growth_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.growth_hourly(table(spark, sf_dir, "phone_numbers"), marts.AS_OF, 720)
-
-
-# -- jobs and metrics ---------------------------------------------------------------------------------------------
-
-
-@_query("job_status_histogram", f"WITH {_JOBS} SELECT " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s.lower()}" for s in JOB_STATUSES) + ", count(*) FILTER (WHERE status IN ('PENDING', 'RUNNING', 'RETRY')) AS active, max(started_at) AS last_started_at FROM jobs")
-def job_status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.job_histogram(adapters.crawl_jobs(table(spark, sf_dir, "orders")))
-
-
-_J = f"TIMESTAMP '{marts.AS_OF_JOBS}'"
-
-
-@_query(
-    "jobs_summary",
-    f"WITH {_JOBS} SELECT " + ", ".join(f"count(*) FILTER (WHERE status = 'SUCCESS' AND finished_at > {_J} - INTERVAL '{h}' HOUR) AS succeeded_{h}h" for h in (1, 6, 24))
-    + f", count(*) FILTER (WHERE status = 'FAILED' AND finished_at > {_J} - INTERVAL '24' HOUR) AS failed_24h, coalesce(avg(date_diff('second', started_at, finished_at)) FILTER (WHERE status = 'SUCCESS' AND finished_at > {_J} - INTERVAL '24' HOUR), 0) AS average_seconds FROM jobs",
-)
-def jobs_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.jobs_summary(adapters.crawl_jobs(table(spark, sf_dir, "orders")), marts.AS_OF_JOBS)
-
-
-@_query(
-    "queue_health",
-    f"""WITH {_JOBS}, q AS (SELECT count(*) AS pending, min(scheduled_at) AS oldest, coalesce(date_diff('minute', min(scheduled_at), {_J}), 0) AS age_minutes FROM jobs WHERE status = 'PENDING')
-SELECT *, CASE WHEN pending >= 30 OR age_minutes >= 180 THEN 'CRITICAL' WHEN pending >= 10 OR age_minutes >= 60 THEN 'WARNING' ELSE 'HEALTHY' END AS health FROM q""",
-)
-def queue_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.queue_health(adapters.crawl_jobs(table(spark, sf_dir, "orders")), marts.AS_OF_JOBS)
-
+_SINCE = "2025-06-28 00:00:00"
+_GROWTH = f"count(*) AS total, {_H}, count(*) FILTER (WHERE first_seen_at > TIMESTAMP '{_SINCE}') AS since_observation"
 
-@_query("queue_claim_order", f"WITH {_JOBS} SELECT job_key, priority, scheduled_at FROM jobs WHERE status IN ('PENDING', 'RETRY') AND scheduled_at <= {_J} ORDER BY priority DESC, scheduled_at, job_key LIMIT 50")
-def queue_claim_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.claim_order(adapters.crawl_jobs(table(spark, sf_dir, "orders")), marts.AS_OF_JOBS, 50)
-
-
-@_query(
-    "queue_fail_transition",
-    f"""WITH {_JOBS} SELECT job_key, attempt_count + 1 AS attempt_count, CASE WHEN attempt_count + 1 >= max_attempts THEN 'FAILED' ELSE 'RETRY' END AS status,
-CASE WHEN attempt_count + 1 < max_attempts THEN CAST(30 * power(2, attempt_count) AS INTEGER) END AS backoff_seconds FROM jobs WHERE status = 'RUNNING'""",
-)
-def queue_fail_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.failed_transition(adapters.crawl_jobs(table(spark, sf_dir, "orders")))
-
-
-@_query("queue_stale_recovery", f"WITH {_JOBS} SELECT job_key, 'RETRY' AS status, attempt_count FROM jobs WHERE status = 'RUNNING' AND started_at < {_J} - INTERVAL '30' MINUTE")
-def queue_stale_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.stale_jobs(adapters.crawl_jobs(table(spark, sf_dir, "orders")), marts.AS_OF_JOBS)
-
-
-@_query("active_job_dedupe", f"WITH {_JOBS} SELECT DISTINCT c_custkey AS target_key FROM customer WHERE c_custkey NOT IN (SELECT target_key FROM jobs WHERE status IN ('PENDING', 'RUNNING', 'RETRY'))")
-def active_job_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("target_key"))
-    return marts.new_jobs(wanted, adapters.crawl_jobs(table(spark, sf_dir, "orders")), "target_key")
 
+def _production(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers, identities = _t(spark, sf_dir, "phone_numbers", "phone_identities")
+    return marts.production_numbers(numbers, identities, _evidence(spark, sf_dir))
 
-@_query("schedule_due_targets", f"SELECT id, source_id, priority, next_crawl_at FROM crawl_targets WHERE status = 'active' AND next_crawl_at <= TIMESTAMP '{marts.AS_OF}' ORDER BY priority DESC, next_crawl_at, id LIMIT 100")
-def schedule_due_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.due_targets(table(spark, sf_dir, "crawl_targets"), marts.AS_OF, 100)
 
+@_query("data_growth_horizons", f"WITH {_PRODUCTION} SELECT {_GROWTH} FROM prod")
+def data_growth_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.growth_horizons(_production(spark, sf_dir), marts.AS_OF, _SINCE)
 
-@_query(
-    "source_next_schedule",
-    """SELECT id, d AS days, next_scheduled_at + to_days(d) AS next_scheduled_at FROM (SELECT *, CASE crawl_frequency WHEN 'DAILY' THEN 1 WHEN 'WEEKLY' THEN 7 WHEN 'MONTHLY' THEN 30 ELSE 7 END AS d FROM data_sources)
-WHERE is_active AND crawl_frequency <> 'MANUAL' AND next_scheduled_at IS NOT NULL""",
-)
-def source_next_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.next_schedule(table(spark, sf_dir, "data_sources"))
 
+def _hourly(name: str, hours: int) -> None:
+    sql = f"WITH {_PRODUCTION} SELECT date_trunc('hour', first_seen_at) AS hour, count(*) AS new_numbers FROM prod WHERE first_seen_at > TIMESTAMP '{marts.AS_OF}' - INTERVAL '{hours}' HOUR GROUP BY 1"
 
-@_query("system_metrics_latest", f"WITH {_METRICS} SELECT * FROM metrics ORDER BY recorded_at DESC, event_id DESC LIMIT 1")
-def system_metrics_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.latest_metric(adapters.system_metrics(table(spark, sf_dir, "events")))
+    @_query(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return marts.growth_hourly(_production(spark, sf_dir), marts.AS_OF, hours)
 
 
-@_query(
-    "system_metrics_window",
-    f"""WITH {_METRICS} SELECT event_id, recorded_at, cpu_percent, CASE WHEN cpu_percent >= 80 THEN 'HIGH' WHEN cpu_percent >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM metrics
-WHERE recorded_at > TIMESTAMP '{marts.AS_OF_METRICS}' - INTERVAL '24' HOUR AND recorded_at <= TIMESTAMP '{marts.AS_OF_METRICS}'""",
-)
-def system_metrics_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.metric_window(adapters.system_metrics(table(spark, sf_dir, "events")), marts.AS_OF_METRICS, 24)
+_hourly("data_growth_hourly", 24)
+_hourly("data_growth_hourly_72h", 72)
 
 
 # -- acquisition --------------------------------------------------------------------------------------------------
@@ -524,7 +482,7 @@ def raw_document_insert_if_changed(spark: SparkSession, sf_dir: str) -> DataFram
 @_query("unprocessed_documents", "SELECT id, source_id FROM raw_documents d WHERE NOT EXISTS (SELECT 1 FROM phone_observations o WHERE o.raw_document_id = d.id)")
 def unprocessed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, seen = _t(spark, sf_dir, "raw_documents", "phone_observations")
-    return docs.select("id", "source_id").join(seen.select(F.col("raw_document_id").alias("id")), "id", "left_anti")
+    return ingest.unextracted(docs.select("id", "source_id"), seen)
 
 
 _HTML = SQL["extract_html_candidates"]
@@ -539,28 +497,13 @@ def crawl_pipeline_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(
     "dataset_rows_to_observations",
     f"""WITH {ladder_sql('phone_raw', 'personal_call_logs')}
-SELECT phone_raw, normalized AS phone_normalized, type AS phone_type, 'calls: ' || call_count AS context_text, count(*) AS times
+SELECT trim(phone_raw) AS phone_raw, normalized AS phone_normalized, type AS phone_type, 'calls: ' || call_count AS context_text, count(*) AS times, count(*) AS documents
 FROM personal_call_logs JOIN ladder ON raw = phone_raw WHERE trim(phone_raw) <> '' GROUP BY 1, 2, 3, 4""",
 )
 def dataset_rows_to_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "personal_call_logs").select(F.col("phone_raw").alias("SĐT"), F.col("call_count").cast("string").alias("calls"))
     found = ingest.dataset_observations(rows, "calls")
-    return found.groupBy("phone_raw", "phone_normalized", "phone_type", "context_text").agg(F.count("*").alias("times"))
-
-
-
-@_query(
-    "job_list",
-    f"WITH {_JOBS} SELECT job_key, job_type, status, name AS source_name, scheduled_at FROM jobs LEFT JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS no FROM data_sources) ON no = source_no WHERE status = 'FAILED' ORDER BY scheduled_at DESC, job_key LIMIT 50",
-)
-def job_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = adapters.crawl_jobs(table(spark, sf_dir, "orders"))
-    return marts.job_list(jobs, table(spark, sf_dir, "data_sources"), 50, status="FAILED")
-
-
-@_query("running_jobs", f"WITH {_JOBS} SELECT job_key, job_type, date_diff('second', started_at, {_J}) AS elapsed_seconds FROM jobs WHERE status = 'RUNNING' AND started_at <= {_J}")
-def running_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.running_jobs(adapters.crawl_jobs(table(spark, sf_dir, "orders")), marts.AS_OF_JOBS)
+    return found.groupBy("phone_raw", "phone_normalized", "phone_type", "context_text").agg(F.count("*").alias("times"), F.count_distinct("content_hash").alias("documents"))
 
 
 @_query("observation_window", f"SELECT CAST(date_sub('second', t, n) AS BIGINT) AS elapsed_seconds, 259200 AS target_seconds, CAST(greatest(0, 259200 - date_sub('second', t, n)) AS BIGINT) AS remaining_seconds FROM (SELECT min(first_seen_at) AS t, TIMESTAMP '{marts.AS_OF}' AS n FROM phone_numbers)")
@@ -569,25 +512,52 @@ def observation_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.observation_window(start, marts.AS_OF, 72)
 
 
-@_query("suppressed_numbers", f"SELECT phone_normalized FROM ({adapters.SUPPRESSED_SQL}) ORDER BY 1")
+@_query("suppressed_numbers", f"SELECT phone_normalized, reason, created_at FROM ({adapters.SUPPRESSED_SQL}) ORDER BY created_at DESC, 1")
 def suppressed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.label_suppressions(table(spark, sf_dir, "phone_numbers"))
+    return writes.suppressions_newest_first(adapters.label_suppressions(table(spark, sf_dir, "phone_numbers")))
 
 
-@_query(
-    "call_log_import",
-    f"""WITH {_BEST}, {ladder_sql('phone_raw', 'personal_call_logs')}
-SELECT c.id, l.normalized AS phone_normalized, greatest(coalesce(c.call_count, 1), 1) AS call_count, b.phone_e164 IS NOT NULL AS known, b.display_name AS identity_name
-FROM personal_call_logs c JOIN ladder l ON l.raw IS NOT DISTINCT FROM c.phone_raw LEFT JOIN best b ON b.phone_e164 = l.normalized""",
-)
+_IMPORT = f"""{_BEST}, {ladder_sql('phone_raw', 'personal_call_logs')},
+found AS (SELECT c.id, c.phone_raw, l.normalized AS phone_normalized, l.valid, CASE WHEN c.call_count > 0 THEN c.call_count ELSE 1 END AS call_count, b.phone_e164 IS NOT NULL AS known, b.display_name AS identity_name
+FROM personal_call_logs c JOIN ladder l ON l.raw IS NOT DISTINCT FROM c.phone_raw LEFT JOIN best b ON b.phone_e164 = l.normalized)"""
+
+
+@_query("call_log_import", f"WITH {_IMPORT} SELECT * FROM found")
 def call_log_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, numbers, identities = _t(spark, sf_dir, "personal_call_logs", "phone_numbers", "phone_identities")
     return marts.call_import(calls, numbers, identities)
 
 
+@_query("call_import_counts", f"WITH {_IMPORT} SELECT count(*) AS entries, count(*) FILTER (WHERE known) AS known, count(*) FILTER (WHERE NOT known) AS unknown, count(*) FILTER (WHERE valid) AS valid, count(*) FILTER (WHERE NOT valid) AS skipped FROM found")
+def call_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.import_counts(call_log_import(spark, sf_dir))
+
+
+@_query(
+    "spam_summary",
+    f"""WITH {_FLAGS}, parts AS (SELECT phone_normalized, string_agg(category || '=' || n, ';' ORDER BY category) AS breakdown FROM (SELECT phone_normalized, category, count(*) AS n FROM fr WHERE category IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT f.*, breakdown FROM flags f LEFT JOIN parts USING (phone_normalized)""",
+)
+def spam_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = marts.spam_summaries(table(spark, sf_dir, "spam_reports"))
+    said = F.transform(F.array_sort(F.map_entries("breakdown")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return found.withColumn("breakdown", F.array_join(said, ";"))
+
+
+@_query(
+    "spam_of_one_number",
+    """WITH r AS (SELECT * FROM spam_reports WHERE phone_normalized = (SELECT min(phone_normalized) FROM spam_reports)) SELECT category, reports, report_count, reporter_count FROM (SELECT category, count(*) AS reports FROM r GROUP BY 1),
+(SELECT count(*) AS report_count, count(DISTINCT coalesce(reporter_ref, id)) AS reporter_count FROM r)""",
+)
+def spam_of_one_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reports = table(spark, sf_dir, "spam_reports")
+    first = reports.agg(F.min("phone_normalized")).head()[0]
+    return marts.spam_of_one(reports, first)
+
+
 @_query(
     "robots_sitemaps",
-    """WITH r AS (SELECT id, base_url, CASE WHEN robots_checked THEN 'User-agent: *' || chr(10) || 'SITEMAP:  ' || base_url || '/a.xml' || chr(10) || 'sitemap: ' || base_url || '/b.xml' END AS robots FROM data_sources),
+    r"""WITH r AS (SELECT id, base_url, CASE WHEN robots_checked THEN 'User-agent: *' || chr(10) || 'SITEMAP:  ' || base_url || '/a.xml' || chr(10) || 'sitemap: ' || base_url || '/b.xml' END AS robots FROM data_sources),
 s AS (SELECT id, base_url, regexp_extract_all(coalesce(robots, ''), '(?im)^sitemap:\s*(\S+)', 1) AS named FROM r)
 SELECT DISTINCT base_url, unnest(CASE WHEN len(named) > 0 THEN named ELSE [regexp_replace(base_url, '/+$', '') || '/sitemap.xml', regexp_replace(base_url, '/+$', '') || '/sitemap_index.xml',
   regexp_replace(base_url, '/+$', '') || '/sitemap-index.xml', regexp_replace(base_url, '/+$', '') || '/sitemapindex.xml'] END) AS sitemap FROM s""",
@@ -598,26 +568,64 @@ def robots_sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemaps.starting_points(sites)
 
 
-@_query(
-    "discovery_report",
-    f"""WITH f AS (SELECT DISTINCT s.base_url, t.url FROM crawl_targets t JOIN data_sources s ON s.id = t.source_id), u AS (SELECT base_url, {_SCORE} AS score FROM f)
-SELECT base_url, count(*) AS urls_discovered, count(*) FILTER (WHERE score >= 80) AS urls_high_priority, least(count(*) FILTER (WHERE score >= 1), 500) AS urls_queued, 0 AS errors, 'SUCCESS' AS status FROM u GROUP BY 1""",
-)
-def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FOUND = """(SELECT s.base_url, CASE WHEN t.crawl_status = 'FAILED' OR s.source_type = 'OTHER' THEN NULL ELSE t.url END AS url, CASE WHEN t.crawl_status = 'FAILED' OR s.source_type = 'OTHER' THEN t.url || ': unreadable' END AS error
+FROM crawl_targets t JOIN data_sources s ON s.id = t.source_id)"""
+_REPORT = f"""f AS {_FOUND}, u AS (SELECT DISTINCT base_url, url, {_SCORE} AS score FROM f WHERE url IS NOT NULL),
+w AS (SELECT base_url, count(*) AS errors FROM f WHERE error IS NOT NULL GROUP BY 1),
+g AS (SELECT base_url, count(*) AS urls_discovered, count(*) FILTER (WHERE score >= 80) AS urls_high_priority, least(count(*) FILTER (WHERE score >= 1), 500) AS urls_queued FROM u GROUP BY 1),
+report AS (SELECT coalesce(g.base_url, w.base_url) AS base_url, coalesce(urls_discovered, 0) AS urls_discovered, coalesce(urls_high_priority, 0) AS urls_high_priority, coalesce(urls_queued, 0) AS urls_queued, coalesce(errors, 0) AS errors,
+  CASE WHEN errors IS NULL THEN 'SUCCESS' WHEN urls_discovered > 0 THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM g FULL OUTER JOIN w ON g.base_url = w.base_url)"""
+
+
+def found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(base_url, url, error): stored targets as if their sites' sitemaps had been read, those that failed as faults."""
     targets, sources = _t(spark, sf_dir, "crawl_targets", "data_sources")
-    found = targets.join(sources.select(F.col("id").alias("source_id"), "base_url"), "source_id").select("base_url", "url", F.lit(None).cast("string").alias("error"))
-    return ingest.discovery(found)
+    rows = targets.join(sources.select(F.col("id").alias("source_id"), "base_url", "source_type"), "source_id")
+    bad = F.coalesce((F.col("crawl_status") == "FAILED") | (F.col("source_type") == "OTHER"), F.lit(False))
+    return rows.select("base_url", F.when(~bad, F.col("url")).alias("url"), F.when(bad, F.concat("url", F.lit(": unreadable"))).alias("error"))
+
+
+@_query("discovery_report", f"WITH {_REPORT} SELECT * FROM report")
+def discovery_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.discovery(found_pages(spark, sf_dir))
+
+
+@_query("discovery_queue", f"WITH {_REPORT} SELECT base_url, url, score AS priority, CAST(row_number() OVER (PARTITION BY base_url ORDER BY score DESC, url) AS INTEGER) AS rank FROM u WHERE score >= 1 QUALIFY rank <= 10")
+def discovery_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best addresses of each site."""
+    return ingest.queued_urls(found_pages(spark, sf_dir), 10)
 
 
 @_query(
     "cpu_percent_delta",
     """WITH c AS (SELECT user_id AS host, ts AS recorded_at, event_id, sum(CAST(floor(value) AS BIGINT)) OVER w AS idle, sum(CAST(floor(value) AS BIGINT) + event_id % 100) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT *, idle - lag(idle) OVER v AS di, total - lag(total) OVER v AS dt FROM c WINDOW v AS (PARTITION BY host ORDER BY recorded_at, event_id))
-SELECT event_id, CASE WHEN dt IS NULL THEN NULL WHEN dt > 0 THEN CAST(floor(round((1 - di / dt) * 100, 2)) AS BIGINT) ELSE 0 END AS whole_percent FROM d""",
+SELECT event_id, CASE WHEN dt IS NULL THEN NULL WHEN dt > 0 THEN CAST(round((1 - di / dt) * 100, 2) * 100 AS BIGINT) ELSE 0 END AS hundredths FROM d""",
 )
 def cpu_percent_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     idle = F.floor("value").cast("bigint")
     samples = events.select(F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("recorded_at"), "event_id", F.sum(idle).over(w).alias("idle"), F.sum(idle + F.col("event_id") % 100).over(w).alias("total"))
-    return procfs.cpu_percent_between(samples).select("event_id", F.floor("cpu_percent").alias("whole_percent"))
+    return procfs.cpu_percent_between(samples).select("event_id", F.round(F.col("cpu_percent") * 100).cast("bigint").alias("hundredths"))
+
+
+@_query(
+    "host_snapshots",
+    """WITH c AS (SELECT user_id AS host, ts, event_id, sum(CAST(floor(value) AS BIGINT)) OVER w AS idle, sum(CAST(floor(value) AS BIGINT) + event_id % 100) OVER w AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, idle - lag(idle) OVER v AS di, total - lag(total) OVER v AS dt FROM c WINDOW v AS (PARTITION BY host ORDER BY ts, event_id))
+SELECT host, event_id, CAST(CASE WHEN dt IS NULL THEN NULL WHEN dt > 0 THEN round((1 - di / dt) * 100, 2) * 100 ELSE 0 END AS BIGINT) AS hundredths, CAST(event_id % 400 AS DOUBLE) AS load_1, 1.5::DOUBLE AS load_5, 2.0::DOUBLE AS load_15,
+  8388608 * 1024::BIGINT AS memory_total_bytes, CASE WHEN event_id % 2 = 0 THEN (event_id + 7) * 1024 ELSE 5 * 1024 END::BIGINT AS memory_available_bytes, 1000::BIGINT AS disk_total_bytes, event_id % 1000 AS disk_available_bytes FROM d""",
+)
+def host_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host metrics out of text as /proc writes it, made of the events' numbers; every other host tells no available memory."""
+    events = table(spark, sf_dir, "events")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    idle, busy = F.sum(F.floor("value").cast("bigint")).over(w), F.sum(F.col("event_id") % 100).over(w)
+    samples = events.select(
+        F.col("user_id").alias("host"), F.struct("ts", "event_id").alias("recorded_at"), F.format_string("cpu  %d 0 0 %d 0\ncpu0 1 1 1 1\n", busy, idle).alias("stat"), F.format_string("%d.00 1.50 2.00 1/99 7", F.col("event_id") % 400).alias("loadavg"),
+        F.concat(F.lit("MemTotal:       8388608 kB\nMemFree:   5 kB\n"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("MemAvailable: "), (F.col("event_id") + 7).cast("string"), F.lit(" kB\n"))).otherwise("")).alias("meminfo"),
+        F.lit(1000).cast("bigint").alias("disk_total_bytes"), (F.col("event_id") % 1000).alias("disk_available_bytes"),
+    )
+    out = procfs.snapshots(samples).withColumns({"event_id": F.col("recorded_at.event_id"), "hundredths": F.round(F.col("cpu_percent") * 100).cast("bigint")})
+    return out.drop("recorded_at", "cpu_percent")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as idf
 from ..functions.binding import with_once
+from ..functions.display import load_band, used_percent
 from ..functions.phone import digits_only, normalized
+from ..operators.merge import merge
 from ..operators.top import greatest_per, top
-from ..rules import ACTIVE_STATUSES, FREQUENCY_DAYS, HORIZON_HOURS, JOB_STATUSES, OFFICIAL_TYPES
+from ..rules import ACTIVE_STATUSES, FREQUENCY_DAYS, HORIZON_HOURS, JOB_STATUSES, OFFICIAL_TYPES, RULES, WINDOW_HOURS
 
 AS_OF = "2025-07-01 00:00:00"
 AS_OF_JOBS = "1999-01-01 00:00:00"
@@ -45,11 +47,35 @@ def number_rollup(observations: DataFrame) -> DataFrame:
     )
 
 
+def identities_after_run(numbers: DataFrame, identities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Stored identities after a run of the rules: each claim is put in, or renews the stored row of its number, name and rule.
+
+    A category stays unless a new one is found; names, type, status and first sighting never change.
+    """
+    stored = numbers.select(F.col("id").alias("phone_number_id"), F.col("phone_e164").alias("phone_normalized")).join(identities, "phone_number_id")
+    stored = stored.withColumn("name_key", F.col("normalized_name")).withColumn("confidence", F.col("confidence").cast("double")).withColumn("evidence_count", F.col("evidence_count").cast("bigint"))
+    found = claims(evidence, numbers).withColumns({"claim_source": F.lit(RULES), "status": F.lit("CANDIDATE"), "confidence": F.col("score").cast("double")})
+    return merge(stored, found, ["phone_normalized", "name_key", "claim_source"], {
+        "display_name": "first", "identity_type": "first", "status": "first", "first_seen_at": "first", "category": "last",
+        "confidence": "last", "evidence_count": "last", "last_seen_at": "last",
+    })
+
+
+def trusted_identities(numbers: DataFrame, identities: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Identities of mobile and landline numbers that aren't rejected and whose own evidence stands in a trusted source.
+
+    A sighting is evidence of the claim that the rules make of it, so another identity of the same number gains nothing by it.
+    """
+    callable_ = numbers.where(F.col("phone_type").isin("MOBILE", "LANDLINE")).select(F.col("phone_e164").alias("phone_normalized"))
+    proof = guesses(evidence.where("trust_level = 'HIGH' AND NOT source_name LIKE 'Fixture%'")).select("phone_normalized", "name_key", F.lit(RULES).alias("claim_source"))
+    rows = identities_after_run(numbers, identities, evidence).where("status <> 'REJECTED'")
+    return rows.join(callable_, "phone_normalized", "left_semi").join(proof, ["phone_normalized", "name_key", "claim_source"], "left_semi")
+
+
 def production_numbers(numbers: DataFrame, identities: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Mobile and landline numbers with an identity that isn't rejected and a sighting in a trusted source."""
-    seen = evidence.where("trust_level = 'HIGH' AND NOT source_name LIKE 'Fixture%'").select(F.col("phone_normalized").alias("phone_e164"))
-    named = identities.where("status <> 'REJECTED'").select(F.col("phone_number_id").alias("id"))
-    return numbers.where(F.col("phone_type").isin("MOBILE", "LANDLINE")).join(named, "id", "left_semi").join(seen, "phone_e164", "left_semi")
+    """Numbers with a trusted identity."""
+    trusted = trusted_identities(numbers, identities, evidence).select(F.col("phone_normalized").alias("phone_e164"))
+    return numbers.join(trusted, "phone_e164", "left_semi")
 
 
 # -- claims -------------------------------------------------------------------------------------------------------
@@ -103,12 +129,16 @@ def best_identities(numbers: DataFrame, identities: DataFrame) -> DataFrame:
 
 
 def spam_flags(reports: DataFrame) -> DataFrame:
-    """Reports, distinct reporters, risk and most reported category of every reported number."""
-    rows = reports.where("phone_normalized IS NOT NULL").withColumn("reporter", F.coalesce("reporter_ref", "id"))
-    totals = rows.groupBy("phone_normalized").agg(F.count("*").alias("report_count"), F.count_distinct("reporter").alias("reporter_count"))
-    by = rows.groupBy("phone_normalized", "category").agg(F.count("*").alias("n"))
-    leading = by.groupBy("phone_normalized").agg(F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("top_category"))
-    return totals.join(leading, "phone_normalized").withColumn("risk", idf.spam_risk(F.col("reporter_count")))
+    """Reports, distinct reporters, risk and most reported category of every reported number; the reports are read once.
+
+    Reports are counted by number, category and reporter first, so a number with very many of them is spread over its reporters.
+    """
+    rows = reports.where("phone_normalized IS NOT NULL").groupBy("phone_normalized", "category", F.coalesce("reporter_ref", "id").alias("reporter")).agg(F.count("*").alias("n"))
+    once = rows.groupBy("phone_normalized", "reporter").agg(F.collect_list(F.struct("category", "n")).alias("c"))  # a reporter's categories are few
+    parts = once.select("phone_normalized", F.posexplode("c").alias("k", "c")).select("phone_normalized", "c.category", "c.n", (F.col("k") == 0).cast("int").alias("first"))
+    by = parts.groupBy("phone_normalized", "category").agg(F.sum("n").alias("n"), F.sum("first").alias("reporters"))
+    out = by.groupBy("phone_normalized").agg(F.sum("n").alias("report_count"), F.sum("reporters").alias("reporter_count"), F.min_by("category", F.struct(-F.col("n"), F.col("category"))).alias("top_category"))
+    return out.withColumn("risk", idf.spam_risk(F.col("reporter_count")))
 
 
 def spam_breakdown(reports: DataFrame) -> DataFrame:
@@ -116,9 +146,10 @@ def spam_breakdown(reports: DataFrame) -> DataFrame:
 
 
 def call_directory(numbers: DataFrame, identities: DataFrame, evidence: DataFrame, reports: DataFrame, suppressed: DataFrame) -> DataFrame:
-    """The caller directory: the label of every trusted or reported number that isn't suppressed."""
-    best = best_identities(production_numbers(numbers, identities, evidence), identities)
-    best = best.select(F.col("phone_e164").alias("phone_normalized"), idf.unwrapped_label(F.col("display_name")).alias("name"))
+    """The caller directory: the label of every number with a trusted identity or a report that isn't suppressed."""
+    strongest = [F.col("confidence").desc(), F.when(F.col("status") == "CONFIRMED", 0).otherwise(1), F.col("evidence_count").desc(), F.col("name_key")]
+    best = greatest_per(trusted_identities(numbers, identities, evidence), ["phone_normalized"], strongest)
+    best = best.select("phone_normalized", idf.unwrapped_label(F.col("display_name")).alias("name"))
     kind = normalized(F.col("phone_normalized"))["type"]
     flags = spam_flags(reports).where(kind.isin("MOBILE", "LANDLINE"))
     both = best.join(flags, "phone_normalized", "full_outer").join(suppressed.select("phone_normalized"), "phone_normalized", "left_anti")
@@ -130,6 +161,22 @@ def call_directory(numbers: DataFrame, identities: DataFrame, evidence: DataFram
     return both.select(F.regexp_replace("phone_normalized", r"^\+", "").alias("digits"), label.alias("label"))
 
 
+def in_number_order(entries: DataFrame) -> DataFrame:
+    """Directory entries or blocked numbers in ascending numeric order, as a device takes them."""
+    return entries.orderBy(F.col("digits").cast("decimal(20,0)"))
+
+
+def export_payload(directory: DataFrame, blocked: DataFrame) -> DataFrame:
+    """What a device fetches, row by row in the order it takes them: entries to label, numbers to block, and how many entries."""
+    n = directory.agg(F.count("*").alias("count"))
+    rows = directory.select(F.lit("entries").alias("part"), "digits", "label").unionByName(blocked.select(F.lit("blocked_digits").alias("part"), "digits", F.lit(None).cast("string").alias("label")))
+    return rows.join(F.broadcast(n)).orderBy("part", F.col("digits").cast("decimal(20,0)"))  # one row of a count
+
+
+def by_label(directory: DataFrame) -> DataFrame:
+    return directory.orderBy("label", F.col("digits").cast("decimal(20,0)"))
+
+
 def blocked_digits(reports: DataFrame, suppressed: DataFrame, enabled: bool = True, least: int = 10) -> DataFrame:
     kind = normalized(F.col("phone_normalized"))["type"]
     rows = spam_flags(reports).where((F.col("reporter_count") >= least) & (F.col("top_category") == "SCAM") & kind.isin("MOBILE", "LANDLINE") & F.lit(enabled))
@@ -151,13 +198,16 @@ def call_summary(calls: DataFrame, numbers: DataFrame, identities: DataFrame, si
 
 
 def unknown_numbers(calls: DataFrame, numbers: DataFrame, identities: DataFrame, as_of: str) -> DataFrame:
-    """Called numbers without any identity, and how urgent it is to find one."""
-    known = numbers.select(F.col("id").alias("phone_number_id"), F.col("phone_e164").alias("phone_normalized")).join(identities.select("phone_number_id"), "phone_number_id", "left_semi")
+    """Called numbers without an identity, rejected ones not counted, most urgent first; an unusable number has none."""
+    claimed = identities.where("status <> 'REJECTED'").select("phone_number_id")
+    known = numbers.select(F.col("id").alias("phone_number_id"), F.col("phone_e164").alias("phone_normalized")).join(claimed, "phone_number_id", "left_semi")
     rows = calls.join(known.select("phone_normalized"), "phone_normalized", "left_anti")
-    per = rows.groupBy(F.coalesce("phone_normalized", "phone_raw").alias("phone")).agg(F.sum("call_count").alias("total_calls"), F.count_distinct("call_date").alias("days"), F.max("call_date").alias("last_call"))
+    per = rows.groupBy(F.coalesce("phone_normalized", "phone_raw").alias("phone"), "phone_normalized").agg(
+        F.max_by("phone_raw", F.struct("imported_at", "id")).alias("phone_raw"), F.sum("call_count").alias("total_calls"), F.count_distinct("call_date").alias("days"), F.max("call_date").alias("last_call")
+    )
     since = F.greatest(F.lit(0), F.datediff(F.lit(as_of).cast("date"), F.col("last_call")))
     points = F.least(F.col("total_calls") * 5, F.lit(50)) + F.greatest(F.lit(0), 30 - since) + F.least(F.col("days") * 3, F.lit(20))
-    return per.withColumn("priority", F.least(F.lit(100), points).cast("int"))
+    return per.withColumn("priority", F.least(F.lit(100), points).cast("int")).orderBy(F.col("priority").desc(), F.col("total_calls").desc(), "phone")
 
 
 # -- statistics ---------------------------------------------------------------------------------------------------
@@ -188,9 +238,11 @@ def top_sources(evidence: DataFrame, n: int = 5) -> DataFrame:
     return top(evidence.groupBy("source_name").agg(F.count("*").alias("observations")), [F.col("observations").desc(), F.col("source_name")], n)
 
 
-def growth_horizons(numbers: DataFrame, as_of: str) -> DataFrame:
+def growth_horizons(numbers: DataFrame, as_of: str, observed_since: str) -> DataFrame:
+    """How many numbers there are, and how many came within each horizon and since the observation began; one scan."""
     at = moment(as_of)
-    return numbers.agg(F.count("*").alias("total"), *[F.count_if(F.col("first_seen_at") > before(at, f"'{h}' HOUR")).alias(f"last_{h}h") for h in HORIZON_HOURS], F.count_if(F.col("first_seen_at") > before(at, "'30' DAY")).alias("last_30d"))
+    recent = [F.count_if(F.col("first_seen_at") > before(at, f"'{h}' HOUR")).alias(f"last_{h}h") for h in HORIZON_HOURS]
+    return numbers.agg(F.count("*").alias("total"), *recent, F.count_if(F.col("first_seen_at") > moment(observed_since)).alias("since_observation"))
 
 
 def growth_hourly(numbers: DataFrame, as_of: str, hours: int) -> DataFrame:
@@ -201,64 +253,56 @@ def growth_hourly(numbers: DataFrame, as_of: str, hours: int) -> DataFrame:
 # -- jobs and metrics ---------------------------------------------------------------------------------------------
 
 
-def job_histogram(jobs: DataFrame) -> DataFrame:
-    return jobs.agg(*[F.count_if(F.col("status") == s).alias(s.lower()) for s in JOB_STATUSES], F.count_if(F.col("status").isin(*ACTIVE_STATUSES)).alias("active"), F.max("started_at").alias("last_started_at"))
+def ended(jobs: DataFrame, status: str, as_of: str, hours: int) -> Column:
+    """How many jobs ended in ``status`` within so many hours."""
+    return F.count_if((F.col("status") == status) & (F.col("finished_at") > before(moment(as_of), f"'{hours}' HOUR")))
+
+
+def job_histogram(jobs: DataFrame, as_of: str) -> DataFrame:
+    """Jobs by status, the active ones, how those of the last day ended, and when one last began."""
+    return jobs.agg(
+        *[F.count_if(F.col("status") == s).alias(s.lower()) for s in JOB_STATUSES], F.count_if(F.col("status").isin(*ACTIVE_STATUSES)).alias("active"),
+        ended(jobs, "SUCCESS", as_of, 24).alias("completed_24h"), ended(jobs, "FAILED", as_of, 24).alias("failed_24h"), F.max("started_at").alias("last_started_at"),
+    )
 
 
 def jobs_summary(jobs: DataFrame, as_of: str) -> DataFrame:
-    at = moment(as_of)
-    done = F.col("status") == "SUCCESS"
-    took = F.timestamp_diff("SECOND", F.col("started_at"), F.col("finished_at"))
-    recent = F.col("finished_at") > before(at, "'24' HOUR")
+    """Totals by status, what ended lately, and how long the successes of the last day took on average, to a tenth."""
+    recent = (F.col("status") == "SUCCESS") & (F.col("finished_at") > before(moment(as_of), "'24' HOUR"))
+    took = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e6
+    states = {"pending": "PENDING", "running": "RUNNING", "completed": "SUCCESS", "failed": "FAILED"}
     return jobs.agg(
-        *[F.count_if(done & (F.col("finished_at") > before(at, f"'{h}' HOUR"))).alias(f"succeeded_{h}h") for h in (1, 6, 24)],
-        F.count_if((F.col("status") == "FAILED") & recent).alias("failed_24h"), F.coalesce(F.avg(F.when(done & recent, took)), F.lit(0.0)).alias("average_seconds"),
+        *[F.count_if(F.col("status") == s).alias(n) for n, s in states.items()], *[ended(jobs, "SUCCESS", as_of, h).alias(f"completed_{h}h") for h in (1, 6, 24)],
+        *[ended(jobs, "FAILED", as_of, h).alias(f"failed_{h}h") for h in (1, 24)], F.round(F.coalesce(F.avg(F.when(recent, took)), F.lit(0.0)), 1).alias("average_seconds"),
     )
 
 
 def queue_health(jobs: DataFrame, as_of: str) -> DataFrame:
-    waiting = jobs.where("status = 'PENDING'").agg(F.count("*").alias("pending"), F.min("scheduled_at").alias("oldest"))
-    age = F.coalesce(F.timestamp_diff("MINUTE", F.col("oldest"), moment(as_of)), F.lit(0))
-    out = waiting.withColumn("age_minutes", age)
-    state = F.when((F.col("pending") >= 30) | (F.col("age_minutes") >= 180), "CRITICAL").when((F.col("pending") >= 10) | (F.col("age_minutes") >= 60), "WARNING").otherwise("HEALTHY")
+    """What waits, since when, what runs and failed, and the state of the queue by its length and the age of its oldest job."""
+    waits = F.col("status") == "PENDING"
+    out = jobs.agg(F.count_if(waits).alias("pending"), F.count_if(F.col("status") == "RUNNING").alias("running"), F.min(F.when(waits, F.col("scheduled_at"))).alias("oldest"), ended(jobs, "FAILED", as_of, 24).alias("failed_24h"))
+    out = out.withColumn("oldest_age_seconds", F.timestamp_diff("SECOND", F.col("oldest"), moment(as_of))).drop("oldest")
+    minutes = F.coalesce(F.col("oldest_age_seconds") / 60, F.lit(0.0))
+    state = F.when((F.col("pending") >= 30) | (minutes >= 180), "CRITICAL").when((F.col("pending") >= 10) | (minutes >= 60), "WARNING").otherwise("HEALTHY")
     return out.withColumn("health", state)
 
 
-def claim_order(jobs: DataFrame, as_of: str, n: int) -> DataFrame:
-    """The next jobs to be taken: due ones by priority, then age."""
-    due = jobs.where(F.col("status").isin("PENDING", "RETRY") & (F.col("scheduled_at") <= moment(as_of)))
-    return top(due.select("job_key", "priority", "scheduled_at"), [F.col("priority").desc(), F.col("scheduled_at"), F.col("job_key")], n)
-
-
-def failed_transition(jobs: DataFrame) -> DataFrame:
-    """What becomes of running jobs that fail now: retried later, or given up."""
-    tries = F.col("attempt_count") + 1
-    over = tries >= F.col("max_attempts")
-    wait = (F.lit(30) * F.pow(F.lit(2), tries - 1)).cast("int")
-    return jobs.where("status = 'RUNNING'").select("job_key", tries.alias("attempt_count"), F.when(over, "FAILED").otherwise("RETRY").alias("status"), F.when(~over, wait).alias("backoff_seconds"))
-
-
-def stale_jobs(jobs: DataFrame, as_of: str, minutes: int = 30) -> DataFrame:
-    return jobs.where((F.col("status") == "RUNNING") & (F.col("started_at") < before(moment(as_of), f"'{minutes}' MINUTE"))).select("job_key", F.lit("RETRY").alias("status"), "attempt_count")
-
-
-def new_jobs(wanted: DataFrame, jobs: DataFrame, key: str) -> DataFrame:
-    """Wanted targets without an active job, one row each."""
-    return wanted.select(key).distinct().join(jobs.where(F.col("status").isin(*ACTIVE_STATUSES)).select(key), key, "left_anti")
-
-
 def due_targets(targets: DataFrame, as_of: str, n: int) -> DataFrame:
     due = targets.where((F.col("status") == "active") & (F.col("next_crawl_at") <= moment(as_of)))
     return top(due.select("id", "source_id", "priority", "next_crawl_at"), [F.col("priority").desc(), F.col("next_crawl_at"), F.col("id")], n)
 
 
-def next_schedule(sources: DataFrame) -> DataFrame:
-    """When each scheduled source is due again after its last schedule."""
+def due_sources(sources: DataFrame, as_of: str) -> DataFrame:
+    """Active sources on a schedule whose time has come."""
+    return sources.where(F.col("is_active") & (F.col("crawl_frequency") != "MANUAL") & (F.col("next_scheduled_at") <= moment(as_of)))
+
+
+def next_schedule(sources: DataFrame, as_of: str) -> DataFrame:
+    """When each due source is due again, counted from now: what was long overdue does not stay so."""
     days = F.lit(7)
     for word, n in FREQUENCY_DAYS.items():
         days = F.when(F.col("crawl_frequency") == word, n).otherwise(days)
-    rows = sources.where("is_active AND crawl_frequency <> 'MANUAL' AND next_scheduled_at IS NOT NULL")
-    return rows.select("id", days.alias("days"), F.timestamp_add("DAY", days, F.col("next_scheduled_at")).alias("next_scheduled_at"))
+    return due_sources(sources, as_of).select("id", days.alias("days"), F.timestamp_add("DAY", days, moment(as_of)).alias("next_scheduled_at"))
 
 
 def latest_metric(metrics: DataFrame) -> DataFrame:
@@ -266,10 +310,12 @@ def latest_metric(metrics: DataFrame) -> DataFrame:
     return metrics.agg(row.alias("r")).select("r.*")
 
 
-def metric_window(metrics: DataFrame, as_of: str, hours: int) -> DataFrame:
-    at = moment(as_of)
+def metric_history(metrics: DataFrame, as_of: str, window: str) -> DataFrame:
+    """The snapshots of the last 6, 24 or 72 hours, any other window counting as 24, oldest first, with the share of memory in use."""
+    at, hours = moment(as_of), WINDOW_HOURS.get(window, 24)
     rows = metrics.where((F.col("recorded_at") > before(at, f"'{hours}' HOUR")) & (F.col("recorded_at") <= at))
-    return rows.select("event_id", "recorded_at", "cpu_percent", F.when(F.col("cpu_percent") >= 80, "HIGH").when(F.col("cpu_percent") >= 50, "MEDIUM").otherwise("LOW").alias("band"))
+    used = used_percent(F.col("memory_total_bytes"), F.col("memory_available_bytes"))
+    return rows.select("event_id", "recorded_at", "cpu_percent", load_band(F.col("cpu_percent")).alias("band"), used.alias("memory_used_percent")).orderBy("recorded_at", "event_id")
 
 
 def search_numbers(numbers: DataFrame, query: str, n: int = 20) -> DataFrame:
@@ -277,27 +323,52 @@ def search_numbers(numbers: DataFrame, query: str, n: int = 20) -> DataFrame:
     return top(numbers.where(F.col("national_number").contains(wanted)).select("phone_e164", "national_number", "phone_type"), [F.col("phone_e164")], n)
 
 
-def lookup(numbers: DataFrame, evidence: DataFrame, reports: DataFrame) -> DataFrame:
-    """Statistics of every number: sightings, sources, spam."""
-    seen = evidence.groupBy(F.col("phone_normalized").alias("phone_e164")).agg(F.count("*").alias("sightings"), F.count_distinct("source_id").alias("source_count"))
-    flags = spam_flags(reports).withColumnRenamed("phone_normalized", "phone_e164").select("phone_e164", "report_count", "reporter_count", "risk", "top_category")
-    out = numbers.select("phone_e164", "phone_type", "observation_count").join(seen, "phone_e164", "left").join(flags, "phone_e164", "left")
-    return out.na.fill(0, ["sightings", "source_count", "report_count", "reporter_count"]).na.fill({"risk": "NONE"})
+def lookup(asked: DataFrame, numbers: DataFrame, identities: DataFrame, evidence: DataFrame, reports: DataFrame) -> DataFrame:
+    """What is known of each number asked for (raw_input): its reading, statistics, identities and reports.
 
+    There are three shapes: what is no number has nothing; a number never stored has its reports alone; a stored one has all,
+    its identities of whatever status by confidence.  A number's identities are few, being unique by name and rule.
+    """
+    n = normalized(F.col("raw_input"))
+    rows = with_once(asked.select("raw_input").distinct(), "_n", n).select("raw_input", "_n.normalized", F.col("_n.type").alias("read_type"), "_n.valid")
+    seen = evidence.groupBy(F.col("phone_normalized").alias("normalized")).agg(F.count_distinct("source_id").alias("source_count"))
+    order = F.struct(-F.col("confidence").cast("double"), "normalized_name", "id")
+    said = F.struct(order.alias("o"), F.col("display_name").alias("name"), F.col("identity_type").alias("type"), "category", F.col("confidence").cast("double").alias("confidence"), "evidence_count", "status")
+    named = identities.groupBy("phone_number_id").agg(F.transform(F.array_sort(F.collect_list(said)), lambda x: x.dropFields("o")).alias("identities"))
+    stored = numbers.select(F.col("id").alias("phone_number_id"), F.col("phone_e164").alias("normalized"), "phone_type", "observation_count", "first_seen_at", "last_seen_at")
+    stored = stored.join(named, "phone_number_id", "left").join(seen, "normalized", "left").withColumn("stored", F.lit(True)).drop("phone_number_id")
+    flags = spam_flags(reports).select(F.col("phone_normalized").alias("normalized"), "report_count", "reporter_count", "risk", "top_category")
+    out = rows.join(stored, "normalized", "left").join(flags, "normalized", "left")
+    out = out.withColumn("type", F.coalesce("phone_type", "read_type")).withColumn("identities", F.coalesce("identities", F.array().cast(stored.schema["identities"].dataType)))
+    out = out.withColumn("shape", F.when(F.col("normalized").isNull(), "INVALID").when(F.col("stored"), "SEEN").otherwise("NEVER_SEEN"))
+    out = out.na.fill(0, ["observation_count", "source_count", "report_count", "reporter_count"]).na.fill({"risk": "NONE"})
+    return out.select("raw_input", "normalized", "type", "valid", "shape", "observation_count", "source_count", "first_seen_at", "last_seen_at", "identities", "report_count", "reporter_count", "risk", "top_category")
 
-def job_list(jobs: DataFrame, sources: DataFrame, n: int, status: str | None = None, job_type: str | None = None) -> DataFrame:
+
+JOB_FIELDS = ("id", "job_type", "source_id", "source_name", "crawl_target_id", "priority", "status", "attempt_count", "max_attempts", "scheduled_at", "started_at", "finished_at", "error_message", "created_at")
+
+
+def _with_source(jobs: DataFrame, sources: DataFrame) -> DataFrame:
+    return jobs.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source_name")), "source_id", "left")
+
+
+def job_list(jobs: DataFrame, sources: DataFrame, n: int = 50, status: str | None = None, job_type: str | None = None) -> DataFrame:
     """The newest jobs, filtered as asked, each with its source's name."""
     for column, wanted in (("status", status), ("job_type", job_type)):
         if wanted is not None:
             jobs = jobs.where(F.col(column) == wanted)
-    newest = top(jobs, [F.col("scheduled_at").desc(), F.col("job_key")], n)
-    named = sources.select(F.col("name").alias("source_name"), (F.row_number().over(Window.orderBy("name")) - 1).alias("source_no"))  # a registry of sources is small
-    return newest.join(named, "source_no", "left").select("job_key", "job_type", "status", "source_name", "scheduled_at")
+    newest = [F.col("created_at").desc(), F.col("id")]
+    return _with_source(top(jobs, newest, n), sources).select(*JOB_FIELDS).orderBy(*newest)
 
 
-def running_jobs(jobs: DataFrame, as_of: str) -> DataFrame:
-    at = moment(as_of)
-    return jobs.where((F.col("status") == "RUNNING") & (F.col("started_at") <= at)).select("job_key", "job_type", F.timestamp_diff("SECOND", F.col("started_at"), at).alias("elapsed_seconds"))
+def job_by_id(jobs: DataFrame, sources: DataFrame, wanted: str) -> DataFrame:
+    return _with_source(jobs.where(F.col("id") == wanted), sources).select(*JOB_FIELDS)
+
+
+def running_jobs(jobs: DataFrame, sources: DataFrame, as_of: str) -> DataFrame:
+    """Running jobs, the longest first, and for how many whole seconds; unknown where the start is."""
+    rows = _with_source(jobs.where("status = 'RUNNING'"), sources)
+    return rows.select("id", "job_type", "source_name", "started_at", F.timestamp_diff("SECOND", F.col("started_at"), moment(as_of)).alias("duration_seconds"), "attempt_count", "max_attempts").orderBy(F.col("started_at").asc_nulls_last(), "id")
 
 
 def observation_window(start: DataFrame, as_of: str, hours: int) -> DataFrame:
@@ -310,5 +381,64 @@ def observation_window(start: DataFrame, as_of: str, hours: int) -> DataFrame:
 def call_import(calls: DataFrame, numbers: DataFrame, identities: DataFrame) -> DataFrame:
     """What importing a call log finds out about each entry."""
     best = best_identities(numbers, identities).select(F.col("phone_e164").alias("phone_normalized"), F.col("display_name").alias("identity_name"), F.lit(True).alias("known"))
-    rows = calls.select("id", normalized(F.col("phone_raw"))["normalized"].alias("phone_normalized"), F.greatest(F.coalesce("call_count", F.lit(1)), F.lit(1)).alias("call_count"))
+    n = normalized(F.col("phone_raw"))
+    rows = calls.select("id", "phone_raw", n["normalized"].alias("phone_normalized"), n["valid"].alias("valid"), F.when(F.col("call_count") > 0, F.col("call_count")).otherwise(1).alias("call_count"))
     return rows.join(best, "phone_normalized", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def import_counts(results: DataFrame) -> DataFrame:
+    """How the entries of an import fared."""
+    return results.agg(F.count("*").alias("entries"), F.count_if("known").alias("known"), F.count_if(~F.col("known")).alias("unknown"), F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("skipped"))
+
+
+def spam_summaries(reports: DataFrame) -> DataFrame:
+    """Every reported number's flags and its breakdown as a map of category to reports: the totals are joined to the categories."""
+    by = spam_breakdown(reports).where("category IS NOT NULL")
+    parts = by.groupBy("phone_normalized").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("category", "report_count")))).alias("breakdown"))  # at most one entry a category
+    return spam_flags(reports).join(parts, "phone_normalized", "left")
+
+
+def spam_of_one(reports: DataFrame, number: str) -> DataFrame:
+    """The categories reported for one number, each beside that number's totals (one row)."""
+    rows = reports.where(F.col("phone_normalized") == number)
+    totals = rows.agg(F.count("*").alias("report_count"), F.count_distinct(F.coalesce("reporter_ref", "id")).alias("reporter_count"))
+    return rows.groupBy("category").agg(F.count("*").alias("reports")).crossJoin(totals)
+
+
+def acquisition_stats(sources: DataFrame, targets: DataFrame, jobs: DataFrame, discoveries: DataFrame, documents: DataFrame, observations: DataFrame, numbers: DataFrame) -> DataFrame:
+    """One row on crawling, discovery, yield and quality; one pass over each table."""
+    crawl = F.col("job_type").isin("CRAWL_URL", "CRAWL_SOURCE", "RECRAWL")
+    took = F.timestamp_diff("MICROSECOND", F.col("started_at"), F.col("finished_at")) / 1e3
+    counters = ("sitemaps_found", "urls_discovered", "urls_high_priority", "urls_queued")
+    rows = [
+        sources.agg(F.count("*").alias("total_sources"), F.count_if("is_active").alias("active_sources")),
+        targets.agg(F.count("*").alias("total_crawl_targets"), F.count_if(F.col("crawl_status") == "PENDING").alias("pending_targets")),
+        jobs.agg(
+            F.count_if(crawl & (F.col("status") == "SUCCESS")).alias("successful_crawls"), F.count_if(crawl & (F.col("status") == "FAILED")).alias("failed_crawls"),
+            F.round(F.coalesce(F.avg(took), F.lit(0.0))).cast("bigint").alias("average_crawl_duration_ms"),
+        ),
+        discoveries.agg(F.count_distinct("domain").alias("domains_discovered"), *[F.coalesce(F.sum(c), F.lit(0)).alias("sitemaps_discovered" if c == "sitemaps_found" else c) for c in counters]),
+        documents.agg(F.count("*").alias("raw_documents"), F.count_distinct("content_hash").alias("contents")),
+        observations.agg(F.count("*").alias("phone_observations"), F.count("phone_normalized").alias("usable")),
+        numbers.agg(F.count("*").alias("unique_phone_numbers")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.crossJoin(r)  # single rows
+
+    def share(part: Column, whole: str, digits: int) -> Column:
+        return F.round(F.when(F.col(whole) > 0, part / F.col(whole)).otherwise(0.0), digits)
+
+    out = out.withColumn("phones_per_document", share(F.col("phone_observations"), "raw_documents", 2))
+    out = out.withColumn("duplicate_content_ratio", share(F.col("raw_documents") - F.col("contents"), "raw_documents", 4))
+    out = out.withColumn("invalid_phone_ratio", share(F.col("phone_observations") - F.col("usable"), "phone_observations", 4))
+    return out.withColumn("normalization_success_rate", share(F.col("usable"), "phone_observations", 4)).drop("contents", "usable")
+
+
+def monitoring_summary(observation: DataFrame, growth: DataFrame, jobs: DataFrame, queue: DataFrame, system: DataFrame) -> DataFrame:
+    """The five reports as one row of structs, ``system`` null where nothing was measured yet."""
+    out = None
+    for name, part in (("observation", observation), ("data", growth), ("jobs", jobs), ("queue", queue), ("system", system)):
+        row = part.agg(F.first(F.struct(*part.columns)).alias(name))  # each part is at most one row
+        out = row if out is None else out.crossJoin(row)
+    return out

@@ -48,4 +48,10 @@ ACTIVE_STATUSES = ("PENDING", "RUNNING", "RETRY")
 FREQUENCY_DAYS = {"DAILY": 1, "WEEKLY": 7, "MONTHLY": 30}
 HORIZON_HOURS = (1, 3, 6, 9, 12, 24)
 CONTEXT_CHARS = 80
+RULES, USER_CONFIRMED = "rule_based_aggregation_v1", "user_confirmed_v1"
+WINDOW_HOURS = {"6h": 6, "24h": 24, "72h": 72}
+JOB_TYPES = ("CRAWL_URL", "CRAWL_SOURCE", "RECRAWL", "DISCOVER_DOMAIN", "DISCOVER_SITEMAP", "INGEST_DATASET", "NORMALIZE")
+MAX_ACTIVE_JOBS, MAX_JOBS_PER_PASS = 5, 10
+STALE_MINUTES, BACKOFF_SECONDS, MAX_ATTEMPTS = 30, 30, 5
+JOB_PRIORITY, DISCOVERY_PRIORITY = 100, 150
 # --- end of fixed values ---

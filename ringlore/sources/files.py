@@ -83,7 +83,7 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     if head is None or not any(head["cells"]):
         raise ValueError(f"{path} is empty")
     names = head["cells"]
-    return rows.where("n > 0").orderBy("n").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)])
+    return rows.where("n > 0").select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(c) for i, c in enumerate(names)])
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {".csv": read_csv, ".json": read_json, ".xlsx": read_xlsx}

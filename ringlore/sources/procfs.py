@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +34,21 @@ def memory(meminfo: Column) -> Column:
     return F.struct((kb("MemTotal") * 1024).alias("total_bytes"), (F.coalesce(kb("MemAvailable"), kb("MemFree")) * 1024).alias("available_bytes"))
 
 
+def disk(spark: SparkSession, path: str = "/") -> DataFrame:
+    """(disk_total_bytes, disk_available_bytes) of the file system that holds ``path`` on the driver's host: what is left to all users."""
+    s = os.statvfs(path)
+    return spark.createDataFrame([(s.f_blocks * s.f_frsize, s.f_bavail * s.f_frsize)], "disk_total_bytes bigint, disk_available_bytes bigint")
+
+
+def snapshots(samples: DataFrame) -> DataFrame:
+    """Rows for the table of host metrics out of captured text (host, recorded_at, stat, loadavg, meminfo, disk_total_bytes, disk_available_bytes)."""
+    read = samples.select("*", cpu_times(F.col("stat")).alias("c"), load_averages(F.col("loadavg")).alias("l"), memory(F.col("meminfo")).alias("m"))
+    rows = cpu_percent_between(read.select("*", "c.idle", "c.total"))
+    return rows.select(
+        "host", "recorded_at", "cpu_percent", "l.load_1", "l.load_5", "l.load_15", F.col("m.total_bytes").alias("memory_total_bytes"), F.col("m.available_bytes").alias("memory_available_bytes"), "disk_total_bytes", "disk_available_bytes"
+    )
+
+
 def cpu_percent_between(samples: DataFrame, at: str = "recorded_at", host: str = "host") -> DataFrame:
     """``samples`` (host, recorded_at, idle, total) with ``cpu_percent`` since the host's sample before; null for the first."""
     w = Window.partitionBy(host).orderBy(at)

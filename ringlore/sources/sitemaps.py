@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import io
+import re
+import zlib
 from collections.abc import Iterator
 from urllib.robotparser import RobotFileParser
 from xml.etree import ElementTree
@@ -14,24 +17,35 @@ from pyspark.sql import functions as F
 from ..rules import SITEMAP_PATHS
 
 DEPTH = 3
+_PACKED, _LOCAL = b"\x1f\x8b", re.compile(r"^\{.*\}")
 PARSED = "struct<urls:array<string>,nested:array<string>,error:string>"
 
 
+#: The roots that are read, and which list their addresses belong to.
+_LISTS = {"urlset": "urls", "sitemapindex": "nested"}
+
+
 def parse_sitemap(body: bytes | None) -> dict:
-    """The addresses of a sitemap, or the sitemaps of an index, gzipped or not; what is wrong with it is a value."""
+    """The addresses of a sitemap, or the sitemaps of an index, packed or not, read event by event; a fault is a value."""
+    out: dict = {"urls": [], "nested": [], "error": None}
     if body is None:
-        return {"urls": [], "nested": [], "error": "missing"}
+        return out | {"error": "missing"}
+    stream = io.BytesIO(body)
+    into: list[str] | None = None
     try:
-        root = ElementTree.fromstring(gzip.decompress(body) if body[:2] == b"\x1f\x8b" else body)
-    except (ElementTree.ParseError, OSError, EOFError) as e:
-        return {"urls": [], "nested": [], "error": f"invalid XML: {e}"}
-    kind = root.tag.rpartition("}")[2]
-    found = [x.text.strip() for x in root.iter() if x.tag.rpartition("}")[2] == "loc" and x.text and x.text.strip()]
-    if kind == "urlset":
-        return {"urls": found, "nested": [], "error": None}
-    if kind == "sitemapindex":
-        return {"urls": [], "nested": found, "error": None}
-    return {"urls": [], "nested": [], "error": f"unknown root: {kind}"}
+        for event, node in ElementTree.iterparse(gzip.open(stream) if body.startswith(_PACKED) else stream, events=("start", "end")):
+            name = _LOCAL.sub("", node.tag)
+            if into is None:
+                if name not in _LISTS:
+                    return out | {"error": f"a sitemap cannot begin with <{name}>"}
+                into = out[_LISTS[name]]
+            elif event == "end":
+                if name == "loc" and (said := (node.text or "").strip()):
+                    into.append(said)
+                node.clear()
+    except (ElementTree.ParseError, OSError, EOFError, zlib.error) as fault:
+        return {"urls": [], "nested": [], "error": f"unreadable: {fault}"}
+    return out
 
 
 def parsed(body: Column) -> Column:
@@ -55,21 +69,24 @@ def starting_points(sites: DataFrame) -> DataFrame:
 
 
 def resolve(start: DataFrame, pages: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(base_url, sitemap, url, error): every address reached from ``start`` over fetched ``pages`` (url, body).
+    """(base_url, sitemap, url, error, place): every address reached from ``start`` over fetched ``pages`` (url, body), once a site.
 
-    Each round joins the sitemaps found so far with the fetched pages; a sitemap is read once for each site.
+    Each round joins the sitemaps found so far with the fetched pages; a sitemap is read once for each site.  ``place``
+    orders a site's addresses as they were met: by round, by sitemap, by line; an address met again keeps its first place.
     """
     fetched = pages.select(F.col("url").alias("sitemap"), parsed(F.col("body")).alias("p"))
     seen = front = start.select("base_url", "sitemap").distinct()
     out = None
-    for _ in range(depth + 1):
+    for k in range(depth + 1):
         read = front.join(fetched, "sitemap", "left")
-        rows = read.select("base_url", "sitemap", F.explode_outer("p.urls").alias("url"), F.coalesce("p.error", F.when(F.col("p").isNull(), F.lit("missing"))).alias("error"))
-        rows = rows.where("url IS NOT NULL OR error IS NOT NULL")
+        rows = read.select("base_url", "sitemap", F.posexplode_outer("p.urls").alias("line", "url"), F.coalesce("p.error", F.when(F.col("p").isNull(), F.lit("missing"))).alias("error"))
+        rows = rows.where("url IS NOT NULL OR error IS NOT NULL").withColumn("place", F.struct(F.lit(k).alias("round"), "sitemap", F.coalesce("line", F.lit(-1)).alias("line"))).drop("line")
         out = rows if out is None else out.unionByName(rows)
         front = read.select("base_url", F.explode("p.nested").alias("sitemap")).distinct().join(seen, ["base_url", "sitemap"], "left_anti")
         seen = seen.unionByName(front)
-    return out.distinct()
+    first = out.where("url IS NOT NULL").groupBy("base_url", "url").agg(F.min_by("sitemap", "place").alias("sitemap"), F.min("place").alias("place"))
+    faults = out.where("error IS NOT NULL").select("base_url", F.lit(None).cast("string").alias("url"), "sitemap", "error", "place")
+    return first.withColumn("error", F.lit(None).cast("string")).unionByName(faults.select("base_url", "url", "sitemap", "place", "error"))
 
 
 def allowed(status: int | None, body: str | None, agent: str, url: str) -> bool:

@@ -9,8 +9,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ringlore.functions import urls
 from ringlore.plans import ingest
-from ringlore.sources import files, procfs, sitemaps, web
+from ringlore.sources import collectors, files, procfs, sitemaps, web
 
 URLSET = b'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> https://a.vn/lien-he </loc></url><url><loc>https://a.vn/blog</loc></url></urlset>'
 INDEX = b"<sitemapindex><sitemap><loc>https://a.vn/s1.xml</loc></sitemap><sitemap><loc>https://a.vn/index.xml</loc></sitemap></sitemapindex>"
@@ -58,7 +59,8 @@ def test_bad_files(spark, tmp_path):
 def test_sitemaps(spark):
     assert sitemaps.parse_sitemap(URLSET)["urls"] == ["https://a.vn/lien-he", "https://a.vn/blog"]
     assert sitemaps.parse_sitemap(gzip.compress(URLSET))["urls"] == sitemaps.parse_sitemap(URLSET)["urls"]
-    assert sitemaps.parse_sitemap(b"<oops")["error"].startswith("invalid XML") and sitemaps.parse_sitemap(b"<feed/>")["error"] == "unknown root: feed"
+    assert sitemaps.parse_sitemap(b"<oops")["error"].startswith("unreadable") and "<feed>" in sitemaps.parse_sitemap(b"<feed/>")["error"]
+    assert sitemaps.parse_sitemap(b"<urlset><url><loc>a</loc></url>") == {"urls": [], "nested": [], "error": sitemaps.parse_sitemap(b"<urlset><url><loc>a</loc></url>")["error"]} and sitemaps.parse_sitemap(gzip.compress(URLSET)[:30])["error"]
     assert sitemaps.parse_sitemap(b"<urlset/>") == {"urls": [], "nested": [], "error": None}
     sites = spark.createDataFrame([("https://a.vn", "User-agent: *\nSitemap: https://a.vn/index.xml\n"), ("https://b.vn/", None)], "base_url string, robots string")
     start = sitemaps.starting_points(sites)
@@ -71,6 +73,36 @@ def test_sitemaps(spark):
     assert ingest.discovery(sitemaps.resolve(start.where("base_url = 'https://b.vn/'"), pages)).head()["status"] == "FAILED"
 
 
+def test_addresses_keep_the_order_in_which_they_were_met(spark):
+    first = b"<urlset><url><loc>https://a.vn/z</loc></url><url><loc>https://a.vn/b</loc></url><url><loc>https://a.vn/z</loc></url></urlset>"
+    start = spark.createDataFrame([("https://a.vn", "m1"), ("https://a.vn", "m2")], "base_url string, sitemap string")
+    pages = spark.createDataFrame([("m1", bytearray(first)), ("m2", bytearray(b"<urlset><url><loc>https://a.vn/a</loc></url><url><loc>https://a.vn/b</loc></url></urlset>"))], "url string, body binary")
+    assert [r["url"].rpartition("/")[2] for r in sitemaps.resolve(start, pages).orderBy("place").collect()] == ["z", "b", "a"]
+    queued = ingest.queued_urls(sitemaps.resolve(start, pages)).orderBy("rank").collect()
+    assert [r["url"].rpartition("/")[2] for r in queued] == ["z", "b", "a"]  # equal scores: as they were met
+
+
+def test_headers(spark):
+    heads = ["Số điện thoại", "Tên", " SDT ", "HOTLINE", "Điện-thoại", "phone number", "ĐTDĐ", "địa chỉ"]
+    assert urls.phone_columns(spark, heads) == ["Số điện thoại", " SDT ", "HOTLINE", "Điện-thoại", "phone number"]
+    got = spark.createDataFrame([("Số ĐIỆN thoại (di động)",), ("__Ưu tiên%1",), ("",)], "h string").select(urls.identifier(F.col("h"))).collect()
+    assert [r[0] for r in got] == ["so_dien_thoai_di_dong", "uu_tien_1", ""]
+
+
+def test_collectors(spark):
+    site = {"https://a.vn/index.xml": INDEX.decode(), "https://a.vn/s1.xml": URLSET.decode(), "https://a.vn/lien-he": "<title>Liên hệ</title><p>Gọi 0912 345 678</p>"}
+    shelf = spark.createDataFrame([(u, b, "text/html", 200) for u, b in site.items()], "url string, body string, content_type string, http_status int")
+    http = collectors.HttpCollector(lambda targets: targets.select("url").join(shelf, "url"))
+    sites = spark.createDataFrame([("https://a.vn", "Sitemap: https://a.vn/index.xml")], "base_url string, robots string")
+    found = http.discover_urls(sites).where("url IS NOT NULL")
+    assert {r["url"] for r in found.collect()} == {"https://a.vn/lien-he", "https://a.vn/blog"}
+    pages = http.fetch(found.select("url"))
+    assert [r["phone_raw"] for r in http.parse(pages).collect()] == ["0912 345 678"] and http.extract_metadata(pages).head()["title"] == "Liên hệ"
+    assert isinstance(collectors.collector("official"), collectors.HttpCollector)
+    with pytest.raises(ValueError):
+        collectors.collector("ftp")
+
+
 def test_robots(spark):
     rules = "User-agent: *\nDisallow: /private\n"
     assert sitemaps.allowed(200, rules, "bot", "https://a.vn/x") and not sitemaps.allowed(200, rules, "bot", "https://a.vn/private/x")
@@ -86,6 +118,7 @@ def test_host_metrics(spark):
     assert [r["cpu_percent"] for r in procfs.cpu_percent_between(df).orderBy("recorded_at").collect()] == [None, 29.24, 0.0]
     m = spark.createDataFrame([("MemTotal:  100 kB\nMemFree: 20 kB\nMemAvailable: 60 kB\n", "0.5 1.25 2.0 1/2 3"), ("MemTotal: 100 kB\nMemFree: 20 kB\n", "0 0 0")], "m string, l string")
     got = m.select(procfs.memory(F.col("m")).alias("m"), procfs.load_averages(F.col("l")).alias("l")).collect()
+    assert procfs.disk(spark).head()["disk_total_bytes"] > 0
     assert [(r["m"]["total_bytes"], r["m"]["available_bytes"]) for r in got] == [(102400, 61440), (102400, 20480)] and got[0]["l"]["load_5"] == 1.25
 
 

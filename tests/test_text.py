@@ -63,6 +63,7 @@ def test_addresses(spark):
     assert [r[0] for r in d] == ["www.a.vn", "a.vn"]
 
 
-def test_columns():
-    assert [urls.column_name(x) for x in ("Điện thoại", "SĐT", "Số điện thoại")] == ["dien_thoai", "sdt", "so_dien_thoai"]
-    assert urls.phone_columns(["company_name", "phone", "address"]) == ["phone"] and urls.phone_columns(["Mobile", "HOTLINE", "x"]) == ["Mobile", "HOTLINE"] and urls.phone_columns(["name"]) == []
+def test_columns(spark):
+    rows = spark.createDataFrame([(x,) for x in ("Điện thoại", "SĐT", "Số điện thoại")], "h string").select(urls.identifier(F.col("h")))
+    assert [r[0] for r in rows.collect()] == ["dien_thoai", "sdt", "so_dien_thoai"]
+    assert urls.phone_columns(spark, ["company_name", "phone", "address"]) == ["phone"] and urls.phone_columns(spark, ["Mobile", "HOTLINE", "x"]) == ["Mobile", "HOTLINE"] and urls.phone_columns(spark, ["name"]) == []
