@@ -73,8 +73,8 @@ def with_criteria(df: DataFrame, trust: DataFrame) -> DataFrame:
 
 
 def name_key(name: Column) -> Column:
-    """What a name reads as: letter case, blanks and look-alike characters set aside."""
-    return F.regexp_replace(skeleton_column(name), r"\s+", "")
+    """What a name reads as: letter case, kinds and runs of blanks and look-alike characters set aside; words stay apart."""
+    return F.trim(F.regexp_replace(skeleton_column(name), r"\s+", " "))
 
 
 def choose(records: list[dict], bundles: Sequence[Bundle] = BUNDLES, dependencies: Sequence[tuple[tuple[str, ...], str]] = DEPENDENCIES, levels: dict[str, Sequence] | None = None) -> list[int]:

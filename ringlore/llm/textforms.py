@@ -1,8 +1,9 @@
 """Problem 3: visually identical text with different characters.
 
 Method: script-aware repair.  Characters come to one form first (wide forms, blanks, invisible characters, accents);
-then each token's dominant script is found, and look-alike letters of another script are replaced only inside
-mixed-script tokens, and only when the result is a word of the corpus vocabulary.
+then the dominant script of each token of mixed script is found by counting its letters, and those of other scripts that
+look alike are replaced, towards the dominant script first, then towards Latin, and only when the result is a word of the
+corpus vocabulary.
 
 Defined results: null stays null, empty stays empty; emoji keep their joiners and selectors; words wholly of another
 script, typographic quotes and dashes stay; repeated rows come out alike; extra columns are untouched.
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prefixed, python_udf
+from .common import bounded_broadcast, checkpointed, prefixed, python_udf
 
 #: Letters of other scripts that look like Latin ones, in the order of the Latin letter.
 LOOK_ALIKES = {
@@ -31,6 +32,12 @@ LOOK_ALIKES = {
 #: Latin letters of other languages that look like Vietnamese or English ones.
 FOREIGN_LATIN = {"Ð": "Đ", "ð": "đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ȷ": "j", "ſ": "s", "ᴏ": "o"}
 _ALIKE = str.maketrans(LOOK_ALIKES | FOREIGN_LATIN)
+#: The scripts towards which a token may be repaired, and each one's look-alikes of Latin letters (the first of several).
+_TOWARDS: dict[str, dict[int, str]] = {"CYRILLIC": {}, "GREEK": {}}
+for _other, _latin in LOOK_ALIKES.items():
+    for _name, _table in _TOWARDS.items():
+        if unicodedata.name(_other).startswith(_name):
+            _table.setdefault(ord(_latin), _other)
 
 #: Precomposed letters of Vietnamese beyond ASCII, both cases.
 VIETNAMESE = "".join(
@@ -100,8 +107,15 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "?").partition(" ")[0]
 
 
-def mixed_words(text: str) -> list[tuple[str, str]]:
-    """Words of ``text`` (in char_form) with letters of a second script or language, and their candidates for repair."""
+def towards(word: str, script: str) -> str:
+    """``word`` with every look-alike letter of another script in ``script``, marks staying on their letters."""
+    table = _ALIKE if script == "LATIN" else _TOWARDS.get(script, {})
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(table))
+
+
+def mixed_words(text: str) -> list[tuple[str, list[str]]]:
+    """Words of ``text`` (in char_form) with letters of a second script or language, and their candidates for repair: towards
+    the script of most of their letters (Latin among equals), then towards Latin."""
     found = []
     for m in _WORD.finditer(text):
         word = m[0]
@@ -116,24 +130,26 @@ def mixed_words(text: str) -> list[tuple[str, str]]:
                 s = _script(c)
                 scripts[s] = scripts.get(s, 0) + 1
         if len(scripts) > 1 and "LATIN" in scripts or foreign:
-            repaired = unicodedata.normalize("NFC", word.translate(_ALIKE))
-            if all(_script(c) == "LATIN" for c in repaired if c.isalpha()):
-                found.append((word, repaired))
+            dominant = max(scripts, key=lambda s: (scripts[s], s == "LATIN"))
+            tried = {script: towards(word, script) for script in (dominant, "LATIN")}
+            good = [r for script, r in tried.items() if all(_script(c) == script for c in r if c.isalpha())]
+            if good:
+                found.append((word, good))
     return found
 
 
 def skeleton(text: str) -> str:
     """What a reader sees, for keys: char_form with every look-alike letter replaced, in lower case."""
-    return unicodedata.normalize("NFC", char_form(text).translate(_ALIKE)).lower()
+    return towards(char_form(text), "LATIN").lower()
 
 
-FORM = "struct<form:string,words:array<struct<word:string,repaired:string>>>"
+FORM = "struct<form:string,words:array<struct<word:string,repaired:array<string>>>>"
 
 
 def _form_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         forms = [None if t is None else char_form(t) for t in texts]
-        words = [[] if f is None else [{"word": w, "repaired": r} for w, r in dict.fromkeys(mixed_words(f))] for f in forms]
+        words = [[] if f is None else [{"word": w, "repaired": r} for w, r in dict(mixed_words(f)).items()] for f in forms]
         yield pd.DataFrame({"form": forms, "words": words})
 
 
@@ -154,11 +170,19 @@ def skeleton_column(text: Column) -> Column:
     return F.when(~text.rlike(SUSPECT), F.lower(text)).otherwise(python_udf(batches, "string")(text))
 
 
-def vocabulary(df: DataFrame, text: str) -> DataFrame:
-    """Distinct words, in lower case, of all texts.  Broken, wide or mixed words hold no word of the plain alphabet's form."""
-    letters = ranges(VIETNAMESE.lower())
-    words = F.split(F.lower(F.col(text)), rf"[^a-z{letters}\p{{L}}\p{{M}}\p{{Cf}}]+")
-    return df.select(F.explode(words).alias("word")).distinct().where(F.col("word").rlike(f"^[a-z{letters}]+$"))
+def _irregular_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([(f := char_form(t)) != t or bool(mixed_words(f)) for t in texts], dtype=bool)
+
+
+def vocabulary(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """The words (column ``word``, in lower case) of ``asked`` that stand as whole words of one script somewhere in the texts.
+
+    Words are looked up while texts are split, so what is shuffled is only what was asked for.
+    """
+    words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{Cf}]+")
+    asked = checkpointed(asked.select("word").distinct())
+    return df.select(F.explode(words).alias("word")).join(bounded_broadcast(asked, asked.count(), 64), "word", "left_semi").distinct()
 
 
 def unified(df: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -181,19 +205,21 @@ def unified(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def irregular(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The keys, once each, of texts that the repair changes or that hold words of mixed script outside the vocabulary."""
-    rows = df.select(*keys, text).where(F.col(text).rlike(SUSPECT))
-    return unified_suspects(df, rows, keys, text).where((F.col("form") != F.col(text)) | (F.col("odd_words") > 0)).select(*keys).distinct()
+    """The keys, once each, of texts that come to another form or hold words of mixed script, repaired or not.
+
+    A word that the vocabulary repairs is of mixed script already, so the vocabulary cannot change which rows these are.
+    """
+    rows = df.select(*keys, text).where(F.col(text).rlike(SUSPECT)).withColumn("_odd", python_udf(_irregular_batches, "boolean")(F.col(text)))
+    return rows.where("_odd").select(*keys).distinct()
 
 
 def unified_suspects(df: DataFrame, rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     """As ``unified``, for the rows with a suspect character alone; the vocabulary is that of all of ``df``."""
     formed = rows.dropDuplicates(keys).withColumn("_f", python_udf(_form_batches, FORM)(F.col(text)))
-    formed = formed.select(*keys, text, F.col("_f.form").alias("form"), F.col("_f.words").alias("words"))
-    asked = formed.where(F.size("words") > 0).select(F.explode("words").alias("w")).select("w.word", "w.repaired").distinct()
-    known = asked.withColumn("lower", F.lower("repaired")).join(vocabulary(df, text).select(F.col("word").alias("lower")), "lower", "left_semi").select("word", "repaired")
-    repairs = (
-        formed.select(*keys, F.explode("words").alias("w")).select(*keys, F.col("w.word").alias("word"))
-        .join(known, "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "repaired")).alias("repairs"))
-    )
+    formed = checkpointed(formed.select(*keys, text, F.col("_f.form").alias("form"), F.col("_f.words").alias("words")))
+    met = formed.select(*keys, F.explode("words").alias("w")).select(*keys, "w.word", "w.repaired")
+    tried = met.select("word", F.posexplode("repaired").alias("turn", "repaired")).distinct().withColumn("lower", F.lower("repaired"))
+    good = tried.join(vocabulary(df, text, tried.select(F.col("lower").alias("word"))).withColumnRenamed("word", "lower"), "lower", "left_semi")
+    known = good.groupBy("word").agg(F.min_by("repaired", "turn").alias("repaired"))
+    repairs = met.select(*keys, "word").join(known, "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "repaired")).alias("repairs"))
     return formed.join(repairs, keys, "left").select(*keys, text, python_udf(_replace_batches, "string")("form", "repairs").alias("form"), F.size("words").alias("odd_words"))

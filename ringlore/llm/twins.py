@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .textforms import FOREIGN_LATIN, LOOK_ALIKES
-
-_ALIKE = LOOK_ALIKES | FOREIGN_LATIN
+#: Letters of other alphabets and languages that stand for a Latin one, in two lines of equal length.
+_FROM = "авсԁеһіјкӏморԛѕтуѵԝхп" "АВСЕНІЈКМОРЅТУХ" "αεικνορτυχη" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ" "ὸόὰάὲέὶίὺύ" "ÐðƉɖıɑɡȷ"
+_TO = "abcdehijklmopqstyvwxn" "ABCEHIJKMOPSTYX" "aeikvoptuxn" "ABEZHIKMNOPTYX" "òóàáèéìíùú" "ĐđĐđiagj"
 _WIDE, _ASCII = "".join(chr(0xFF01 + i) for i in range(94)), "".join(chr(0x21 + i) for i in range(94)).replace("'", "''")
 _HIDDEN = r"\x{00AD}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}"
 _BLANKS = r"\x{00A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}"
@@ -12,8 +12,8 @@ _EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]"
 _INLINE = "a|b|i|u|em|strong|span|font|small|big|sup|sub|blink|marquee|mark|tt|code"
 
 _KEY = (
-    f"regexp_replace(lower(nfc_normalize(translate(translate(regexp_replace(normalized_name, '[{_HIDDEN}]', '', 'g'), '{_WIDE}', '{_ASCII}'), "
-    f"'{''.join(_ALIKE)}', '{''.join(_ALIKE.values())}'))), '[\\s{_BLANKS}]+', '', 'g')"
+    f"trim(regexp_replace(lower(nfc_normalize(translate(translate(regexp_replace(normalized_name, '[{_HIDDEN}]', '', 'g'), '{_WIDE}', '{_ASCII}'), "
+    f"'{_FROM}', '{_TO}'))), '[\\s{_BLANKS}]+', ' ', 'g'))"
 )
 P2 = f"""
 WITH r AS (SELECT phone_number_id, id, {_KEY} AS k, CASE status WHEN 'CONFIRMED' THEN 3 WHEN 'CANDIDATE' THEN 2 WHEN 'REJECTED' THEN 1 ELSE 0 END AS a,
@@ -27,7 +27,7 @@ SELECT phone_number_id, min(id) AS survivor_id FROM r JOIN m USING (phone_number
 
 def _odd(text: str) -> str:
     bare = rf"regexp_replace({text}, '[{_HIDDEN}\x{{0300}}-\x{{036F}}]', '', 'g')"
-    return rf"""(regexp_matches(regexp_replace({text}, '({_EMOJI}\x{{FE0F}}?\x{{200D}})+', '', 'g'), '[\t{_HIDDEN}\x{{FF01}}-\x{{FFEE}}{_BLANKS}{''.join(FOREIGN_LATIN)}]')
+    return rf"""(regexp_matches(regexp_replace({text}, '({_EMOJI}\x{{FE0F}}?\x{{200D}})+', '', 'g'), '[\t{_HIDDEN}\x{{FF01}}-\x{{FFEE}}{_BLANKS}ÐðƉɖıɑɡȷſᴏ]')
  OR nfc_normalize({text}) <> {text} OR regexp_matches({bare}, '\p{{Latin}}[\p{{Cyrillic}}\p{{Greek}}]|[\p{{Cyrillic}}\p{{Greek}}]\p{{Latin}}'))"""
 
 

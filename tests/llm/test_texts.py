@@ -72,6 +72,17 @@ def test_repair_needs_the_vocabulary(spark):
     assert textforms.irregular(df.limit(0), ["id"], "t").count() == 0
 
 
+def test_repair_goes_towards_the_script_of_most_letters(spark):
+    df = spark.createDataFrame([(1, "Москвa và Москва"), (2, "tоа nhà, toa tàu"), (3, "họс bài, học trò"), (4, "Μυστήριo"), (5, "hὸa"), (6, "hòa bình")], "id int, t string")
+    got = {r["id"]: r["form"] for r in textforms.unified(df, ["id"], "t").collect()}
+    assert got == {1: "Москва và Москва", 2: "toa nhà, toa tàu", 3: "học bài, học trò", 4: "Μυστήριo", 5: "hòa", 6: "hòa bình"}  # 4: no such word of the corpus
+    assert {r["id"] for r in textforms.irregular(df, ["id"], "t").collect()} == {1, 2, 3, 4, 5}
+
+
+def test_names_read_alike():
+    assert textforms.skeleton("ΗὸΑ") == textforms.skeleton("hòa") and textforms.skeleton("kha\u0301nh") == "khánh"
+
+
 SAME = [
     ("Công ty TNHH Mạch Nhung Dân Hoài", "Mach Nhung Dan Hoai Co., Ltd"), ("Trịnh Nhiên Cúc An", "NHIÊN CÚC AN TRỊNH"), ("Hợp tác xã Lam Ly Mến Huệ", "H.tác xã Lam-Ly-Mến-Huệ"), ("Ngân hàng TMCP Hùng Hàm Tín Nga", "Hùng Hàm T. Nga"),
     ("Chị Nguyễn An An An", "Nguyễn An AnAn"), ("Phòng khám Di Phước Nam Kiên", "P. khám Di Pphước Nam Kiên"), ("Trung tâm Thọ Diên Hạnh Trí", "trung tâm thọdiên hạnh trí"), ("Mr Tố Thiệu Tài", "Trịnh Tố Thiệu Tài"), ("Tài Trịnh Tố Tiệu", "Trịnh Tố Thiệu Tài"),
