@@ -25,11 +25,9 @@ from pyspark.sql import functions as F
 from .common import python_udf
 from .pages import Leaf, Page, read_page
 from .pii import fold
-from .textforms import UPPER
 
 MODEL = Path(__file__).with_name("boiler_model.json")
 _WORDS = re.compile(r"[^\W\d_]+|©")
-_NAMES = re.compile(rf"(?<=[^\W_] )[{UPPER}]\w*(?: [{UPPER}]\w*)*")
 _DATE_END = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}( \d{1,2}[:h]\d{2})?$")
 _BULLET = re.compile(r"^[*•\-–] ")
 
@@ -38,10 +36,6 @@ def load_model(path: str | Path = MODEL) -> dict:
     return json.loads(Path(path).read_text())
 
 
-#: Lines of more words are judged by their form alone: such a line is a paragraph, whatever its words.
-LONG = 24
-
-
 def _ending(text: str) -> str:
     last = text[-1]
     return "stop" if last in ".?!…" else "date" if last.isdigit() and _DATE_END.search(text) else "open"
@@ -60,7 +54,7 @@ def form_features(page: Page) -> list[list[str]]:
     for i, leaf in enumerate(leaves):
         text, tags, end = leaf.text, leaf.tags, ends[i]
         n = text.count(" ") + 1
-        out = ["n0" if n < 4 else "n4" if n < 9 else "n9" if n < 16 else "n16" if n <= LONG else "n25", end]
+        out = ["n0" if n < 4 else "n4" if n < 9 else "n9" if n < 16 else "n16" if n < 25 else "n25", end]
         if end == "stop" and n > 5:
             out.append("sentence")
         for t in tags:
@@ -76,7 +70,7 @@ def form_features(page: Page) -> list[list[str]]:
         out.append(_BEFORE[ends[i + 1] if i + 1 < len(leaves) else "none", i + 1 < len(leaves) and leaves[i + 1].node == leaf.node])
         if not page.markup:
             out.append("plain")
-        if site and n <= LONG:
+        if site:
             low = text.lower()
             if site in low or plain_site in low:
                 out.append("site")
@@ -89,9 +83,7 @@ _NAMED = {t: f"<{t}" for t in ("title", "p", "li", "b", "small", "em", "i", "spa
 
 
 def word_features(text: str) -> set[str]:
-    """The words and word pairs of a line, names masked, and the marks that part it; nothing for a paragraph."""
-    if text.count(" ") >= LONG:
-        return set()
+    """The words and word pairs of a line, whatever its length, names as one word, and the marks that part it."""
     out = set()
     if " > " in text:
         out.add("path")
@@ -101,7 +93,12 @@ def word_features(text: str) -> set[str]:
         out.add("dashes")
     if _BULLET.match(text):
         out.add("bullet")
-    words = [w if w == "Name" else w.lower() for w in _WORDS.findall(_NAMES.sub(" Name ", text))]
+    words: list[str] = []
+    for w in _WORDS.findall(text):
+        if not words or not w[0].isupper():
+            words.append(w.lower())
+        elif words[-1] != "Name":
+            words.append("Name")
     out.update(words)
     out.update(map(" ".join, zip(words, words[1:])))
     return out
@@ -203,3 +200,18 @@ def with_article(df: DataFrame, text: str, out: str = "article_lines", status: s
     if status:
         source = F.when(F.coalesce(F.col(f"`{status}`"), F.lit(200)) < 400, source)
     return df.withColumn(out, F.coalesce(article_lines(source), F.array().cast("array<int>")))
+
+
+def with_body(df: DataFrame, text: str, out: str = "article", status: str | None = None, model: dict | None = None) -> DataFrame:
+    """``df`` and the string column ``out``: what a reader sees of the page's article, line by line; empty where there is none."""
+    model = model or load_model()
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, float] = {}
+        for texts in batches:
+            yield pd.Series(["\n".join(leaf.text for leaf in article_leaves(t, model, known)) for t in texts])
+
+    source = F.col(f"`{text}`")
+    if status:
+        source = F.when(F.coalesce(F.col(f"`{status}`"), F.lit(200)) < 400, source)
+    return df.withColumn(out, F.coalesce(python_udf(run, "string")(source), F.lit("")))

@@ -1,90 +1,100 @@
-"""Makes boiler_labels.json: ``python -m ringlore.llm.label_pages SF_DIR``.
+"""Labels for training the article model.
 
-The labels are those of a rule, not of people marking page after page: FURNITURE was written down while reading lines of the
-test tables, and every other line that ends like a sentence, or is the page's heading, counts as the article's.
+Labels come from repetition, not from what lines say.  A page's furniture stands beside many articles, an article's lines
+beside no other: a line that is shaped like a sentence counts as the article's unless its text stands, on the same site, beside
+REPEATED articles or more, or names the site and stands, but for the name, on REPEATED sites.  Pages that show one article again (fetched once more, or with small changes) are told apart
+by their longest line that is nobody else's.  The line that repeats the title, or in plain text the first line of its own above
+the first sentence, is the heading.  Counts cover all pages under SF_DIR; of each site that shows LEAST articles, since repetition says
+nothing of a smaller one, a bounded sample of pages is kept as labels.
 """
 
 from __future__ import annotations
 
-import json
 import random
-import re
-import sys
-from collections import defaultdict
-
-import pyarrow.parquet as pq
+from collections import Counter, defaultdict
 
 from .pages import Page, read_page
 from .pii import fold
-from .train_boiler import LABELS
-
-#: Labelled pages of each source at most.
-EACH, SEED = 36, 7
-#: What a line of furniture says, folded.
-FURNITURE = (
-    r"cookie", r"theo doi de trang chay", r"luu tep nho", r"keeps small files", r"we use trackers", r"quyen rieng tu cua ban", r"nguoi viet:",
-    r"^writer:", r"cap nhat lan cuoi", r"last changed", r"giay phep trang tin", r"licence no", r"lien ket: ", r"^links: ", r"so luot truy cap",
-    r"visits counted", r"ghi ro nguon", r"as the source when you reuse", r"van phong [^.]*: tang", r"office: floor", r"ban quyen thuoc",
-    r"published by the owner", r"thiet ke boi", r"dieu khoan su dung", r"terms of use", r"ban bien tap .* thuc hien", r"^by the .* desk",
-    r"chiu trach nhiem noi dung", r"responsible for content", r"chuyen de:", r"^topic:", r"moi hinh thuc sao chep", r"no copying", r"in trang nay",
-    r"print this page", r"ban thay bai viet nay huu ich", r"did this", r"useful\?", r"giu moi quyen", r"all rights kept", r"de chan cuoc goi rac",
-    r"to stop junk calls", r"bam quan tam", r"follow .* for a daily alert", r"noi dung do .* tong hop", r"collected by .* for reference",
-    r"kenh de khong bo lo", r"subscribe so that", r"chuyen muc .* cua", r"part of the .* series", r"gui binh luan", r"^thich - ", r"^like - ",
-    r"chia se bai nay", r"share this story", r"moi trung hop ve ten", r"any likeness", r"nguon: tong hop", r"source: our local",
-    r"khong bao gio hoi ma", r"never asks? ", r"nghi le, tra loi cham", r"is on holiday, answers", r"thong bao: .* doi so duong",
-    r"has a new hotline", r"bao tri he thong", r"maintenance on", r"tri an ban doc", r"binh luan \(\d+\)", r"comments \(\d+\)", r"^- - - ",
-    r"^xem them:", r"^see also:", r"tham do y kien", r"poll: do you", r"rss - ", r"thich - binh", r"nhan ban tin", r"letter: enter your mail",
-    r"thanks its readers", r"thank", r"notice: ",
-)
-_FURNITURE = re.compile("|".join(FURNITURE))
-GONE = ("trang ban tim khong con o day.", "the page you asked for is gone.")
-
-
-def label(page: Page) -> list[bool]:
-    """For each leaf whether the rule counts it as the article's."""
+
+#: Labelled pages of each source at most; from how many articles on a line is furniture; words that a sentence needs.
+EACH, SEED, REPEATED, WORDS, LEAST = 80, 7, 3, 5, 30
+
+
+def is_sentence(text: str) -> bool:
+    return text[-1] in ".?!…" and text.count(" ") + 1 >= WORDS
+
+
+def article_of(page: Page) -> str:
+    """What stands for a page's article: its longest line, digits set aside."""
+    longest = max((leaf.text for leaf in page.leaves), key=len, default="")
+    return "".join("0" if c.isdigit() else c for c in longest)
+
+
+def site_names(pages: dict[str, Page], sites: dict[str, str]) -> dict[str, str]:
+    """What each site calls itself: the most common end of its titles."""
+    ends: dict[str, Counter] = defaultdict(Counter)
+    for i, page in pages.items():
+        if " | " in page.title:
+            ends[sites[i]][page.title.rpartition(" | ")[2].strip().lower()] += 1
+    return {site: c.most_common(1)[0][0] for site, c in ends.items()}
+
+
+class Repetition:
+    """How often lines stand beside different articles of their site, and how many sites say them of themselves."""
+
+    def __init__(self, pages: dict[str, Page], sites: dict[str, str]) -> None:
+        self.names = site_names(pages, sites)
+        beside: dict[tuple[str, str], set[str]] = defaultdict(set)
+        said: dict[str, set[str]] = defaultdict(set)
+        articles: dict[str, set[str]] = defaultdict(set)
+        for i, page in pages.items():
+            site, article = sites[i], article_of(page)
+            articles[site].add(article)
+            for text in {leaf.text for leaf in page.leaves}:
+                beside[site, text].add(article)
+                if shape := self.shape(site, text):
+                    said[shape].add(site)
+        self.beside, self.said, self.articles = ({k: len(v) for k, v in x.items()} for x in (beside, said, articles))
+
+    def shape(self, site: str, text: str) -> str:
+        """The line without the name of its site; empty where it does not name it."""
+        name, low = self.names.get(site, ""), text.lower()
+        for said in (name, fold(name)):
+            if said and said in low:
+                return low.replace(said, "*")
+        return ""
+
+    def furniture(self, site: str, text: str) -> bool:
+        return self.beside.get((site, text), 0) >= REPEATED or self.said.get(self.shape(site, text), 0) >= REPEATED
+
+
+def label(page: Page, site: str, repeated: Repetition) -> list[bool]:
+    """For each leaf whether it counts as the article's."""
+
     heading = page.title.rpartition(" | ")[0] or page.title
-    out = []
-    for leaf in page.leaves:
-        text = re.sub(r"^[*\-•] ", "", leaf.text)
-        if "title" in leaf.tags or _FURNITURE.search(fold(text)) or " > " in text or " | " in text:
-            out.append(False)
-        else:
-            out.append(page.markup and leaf.text == heading or text[-1] in ".?!" and len(text.split()) > 4)
-    if not page.markup and True in out:  # a heading in plain text: shaped like one, before the first sentence of its section
-        first = out.index(True)
-        for k in range(first - 1, -1, -1):
-            leaf = page.leaves[k]
-            if leaf.node != page.leaves[first].node:
-                break
-            out[k] = ": " in leaf.text and not _FURNITURE.search(fold(leaf.text)) and " > " not in leaf.text
-    sentence = any(o and leaf.text[-1] in ".?!" for o, leaf in zip(out, page.leaves))
-    return out if sentence and not any(fold(leaf.text) in GONE for leaf in page.leaves) else [False] * len(out)
-
-
-def ranges(lines: set[int]) -> str:
-    """``"12-14,16"`` for line numbers."""
-    runs: list[list[int]] = []
-    for x in sorted(lines):
-        if runs and runs[-1][1] == x - 1:
-            runs[-1][1] = x
-        else:
-            runs.append([x, x])
-    return ",".join(f"{a}-{b}" if a != b else str(a) for a, b in runs)
-
-
-def main(sf_dir: str) -> None:
-    t = pq.read_table(f"{sf_dir}/raw_documents.parquet", columns=["id", "source_id", "raw_content"]).to_pydict()
-    random.seed(SEED)
-    by = defaultdict(list)
-    for row in sorted(zip(t["id"], t["source_id"], t["raw_content"])):
-        by[row[1]].append(row)
-    labels = {}
-    for rows in by.values():
-        for i, _, text in random.sample(rows, min(len(rows), EACH)):
-            page = read_page(text)
-            labels[i] = ranges({leaf.line for leaf, good in zip(page.leaves, label(page)) if good})
-    LABELS.write_text(json.dumps(labels, indent=0))
-
-
-if __name__ == "__main__":
-    main(sys.argv[1])
+    out = ["title" not in leaf.tags and (is_sentence(leaf.text) and not repeated.furniture(site, leaf.text) or bool(heading) and leaf.text == heading) for leaf in page.leaves]
+    first = next((k for k, leaf in enumerate(page.leaves) if out[k] and is_sentence(leaf.text)), -1)
+    if first < 0:
+        return [False] * len(out)
+    if not page.markup:
+        above = [k for k in range(first) if page.leaves[k].node == page.leaves[first].node]
+        own = [k for k in above if not repeated.furniture(site, page.leaves[k].text) and " > " not in page.leaves[k].text and not page.leaves[k].text[-1].isdigit()]
+        for k in own[:1]:
+            out[k] = True
+    return out
+
+
+def labelled(rows: list[tuple[str, str, str, int]]) -> dict[str, set[int]]:
+    """The article's lines of the pages of (id, site, text, status) whose sites show enough; pages of an error status have none."""
+    pages, sites = {i: read_page(text or "") for i, _, text, _ in rows}, {i: site for i, site, _, _ in rows}
+    repeated = Repetition(pages, sites)
+    good = [(i, site, status) for i, site, _, status in rows if repeated.articles[site] >= LEAST]
+    return {i: {leaf.line for leaf, own in zip(pages[i].leaves, label(pages[i], site, repeated)) if own} if (status or 200) < 400 else set() for i, site, status in good}
+
+
+def sample(truth: dict[str, set[int]], sites: dict[str, str]) -> list[str]:
+    """The pages of a bounded sample, EACH of a site at most."""
+    rng, by = random.Random(SEED), defaultdict(list)
+    for i in sorted(truth):
+        by[sites[i]].append(i)
+    return [i for site in sorted(by) for i in rng.sample(by[site], min(len(by[site]), EACH))]

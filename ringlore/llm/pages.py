@@ -1,6 +1,7 @@
 """Reading whole pages: the tree of a page's block elements and, line by line, what a reader sees of it.
 
-Plain text has no elements; its sections, parted by blank lines and ruled lines, stand for them.
+Plain text has no elements; its sections, parted by blank lines and ruled lines, stand for them.  Character references are
+read there too, as the pages' own programs write them.
 """
 
 from __future__ import annotations
@@ -71,7 +72,7 @@ def _read_plain(text: str) -> Page:
             names.append("section")
             parents.append(0)
             node, fresh = len(names) - 1, False
-        leaves.append(Leaf(n, node, " ".join(line.split()), frozenset()))
+        leaves.append(Leaf(n, node, " ".join((unescape(line) if "&" in line else line).split()), frozenset()))
     return Page(names, parents, leaves, "", False)
 
 
@@ -176,7 +177,7 @@ def _read_markup(text: str) -> Page:
 def visible_lines(text: str) -> list[tuple[int, str]]:
     """(line number from 1, what a reader sees of it) for the lines with a letter or digit; the head's title counts as seen."""
     if not is_markup(text):
-        return [(n, " ".join(line.split())) for n, line in enumerate(text.split("\n"), 1) if _WORDY.search(line)]
+        return [(n, " ".join((unescape(line) if "&" in line else line).split())) for n, line in enumerate(text.split("\n"), 1) if _WORDY.search(line)]
     out: list[tuple[int, str]] = []
     for leaf in _read_markup(text).leaves:
         if out and out[-1][0] == leaf.line:

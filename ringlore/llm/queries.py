@@ -76,6 +76,24 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_lines(table(spark, sf_dir, "raw_documents"), "id", "source_id", "raw_content").withColumnRenamed("record", "raw_document_id")
 
 
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without the lines that repeat within its source."""
+    docs = table(spark, sf_dir, "raw_documents").select("id", "source_id", "raw_content")
+    lines = repeats.repeated_lines(docs, "id", "source_id", "raw_content")
+    return repeats.without_lines(docs.drop("source_id"), "id", "raw_content", lines).select(F.col("id").alias("raw_document_id"), F.col("raw_content").alias("text"))
+
+
+def p6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The templates of each source, such as notices with a date in them."""
+    return repeats.templates(table(spark, sf_dir, "raw_documents"), "id", "source_id", "raw_content").withColumnRenamed("source", "source_id")
+
+
+def p5_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main body of every page, one line of the article a line."""
+    docs = table(spark, sf_dir, "raw_documents").select("id", "raw_content", "http_status")
+    return boiler.with_body(docs, "raw_content", status="http_status").select(F.col("id").alias("raw_document_id"), F.col("article").alias("text"))
+
+
 def _article_words(model: dict) -> Callable[[str], list[str]]:
     word, known = neardup._WORD, {}
 
@@ -132,5 +150,5 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_scrubbed, p2_found, p2_survivors, p3_found, p3_unified_contexts, p4_found, p4_entities, p5_found, p6_found, p7_found, p7_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_scrubbed, p2_found, p2_survivors, p3_found, p3_unified_contexts, p4_found, p4_entities, p5_found, p5_articles, p6_found, p6_cleaned, p6_templates, p7_found, p7_groups, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_composition)
 }

@@ -1,7 +1,7 @@
 """Trains the potentials of boiler.py: ``python -m ringlore.llm.train_boiler SF_DIR``.
 
-boiler_labels.json names the labelled pages (at most PAGES rows of raw_documents under SF_DIR) and the lines of each that are
-its article.  Two thirds of the sites train; the pages of the others are held out and its accuracy is printed.
+label_pages.py labels the pages of raw_documents under SF_DIR, of which at most PAGES are fitted.  Two thirds of the sites train; the
+pages of the others are held out and its accuracy is printed.
 """
 
 from __future__ import annotations
@@ -9,27 +9,16 @@ from __future__ import annotations
 import json
 import sys
 from collections import Counter
-from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
 
-from . import boiler
+from . import boiler, label_pages
 from .pages import Page, read_page
 
-LABELS = Path(__file__).with_name("boiler_labels.json")
 #: Bounds of the training: labelled pages, words kept, sites that must show a word, passes, and the weight of the penalty
 #: on large weights.
-PAGES, WORDS, SITES, PASSES, PENALTY, STEP = 900, 1200, 1, 500, 2e-5, 0.03
-
-
-def _ranges(text: str) -> set[int]:
-    """Line numbers out of ``"12-14,16"``."""
-    out: set[int] = set()
-    for part in filter(None, text.split(",")):
-        a, _, b = part.partition("-")
-        out.update(range(int(a), int(b or a) + 1))
-    return out
+PAGES, WORDS, SITES, PASSES, PENALTY, STEP = 2000, 2500, 1, 700, 1e-5, 0.04
 
 
 def _fit(rows: list[set[str]], y: np.ndarray, names: list[str]) -> tuple[np.ndarray, float]:
@@ -94,11 +83,12 @@ FORM = frozenset("n0 n4 n9 n16 n25 stop date open sentence link heading trailed
 
 
 def main(sf_dir: str) -> None:
-    labels = json.loads(LABELS.read_text())
-    t = pq.read_table(f"{sf_dir}/raw_documents.parquet", columns=["id", "source_id", "raw_content"]).to_pydict()
-    text, site = dict(zip(t["id"], t["raw_content"])), dict(zip(t["id"], t["source_id"]))
-    ids = sorted(i for i in labels if i in text)[:PAGES]
-    pages, truth = [read_page(text[i]) for i in ids], [_ranges(labels[i]) for i in ids]
+    t = pq.read_table(f"{sf_dir}/raw_documents.parquet", columns=["id", "source_id", "raw_content", "http_status"]).to_pydict()
+    rows = sorted(zip(t["id"], t["source_id"], t["raw_content"], t["http_status"]))
+    text, site = {i: x or "" for i, _, x, _ in rows}, {i: s for i, s, _, _ in rows}
+    labels = label_pages.labelled(rows)
+    ids = label_pages.sample(labels, site)[:PAGES]
+    pages, truth = [read_page(text[i]) for i in ids], [labels[i] for i in ids]
     order = {x: n for n, x in enumerate(sorted(set(site.values())))}
     fit = [k for k in range(len(ids)) if order[site[ids[k]]] % 3]
     model = train([pages[k] for k in fit], [truth[k] for k in fit], [site[ids[k]] for k in fit])

@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from ringlore.llm import boiler, graph, neardup, pages, queries, repeats
+from ringlore.llm import boiler, graph, label_pages, neardup, pages, queries, repeats
 
 HTML = """<!DOCTYPE html>
 <head><title>Bản vá ở bến An: vá lỗi | Báo X</title><script>var a = "<p>nope</p>";
@@ -63,10 +63,90 @@ def test_article_column(spark):
     assert boiler.with_article(df.limit(0), "raw").count() == 0
 
 
-def test_held_out_articles(spark, sf_dir):
-    """Article lines on pages of the smallest tables, which lent no labels: sentences outside the furniture's words."""
+def test_article_queries(spark, sf_dir):
     found = queries.p5_found(spark, sf_dir)
     assert found.count() == found.distinct().count() > 300
+    texts = queries.p5_articles(spark, sf_dir)
+    assert sum(len(r["text"].split("\n")) for r in texts.collect() if r["text"]) >= found.count()
+
+
+#: Pages written for this test by hand, none of them after a page of the test tables, and the lines of their articles.
+OTHER_PAGES = [('''<html><head><title>River floods close two bridges | Valley Courier</title></head><body>
+<nav><ul><li><a href="/">Home</a></li><li><a href="/s">Sport</a></li><li><a href="/w">Weather</a></li></ul></nav>
+<div class="banner"><p>This site stores cookies on your device to improve your visit. Accept or reject them.</p></div>
+<article>
+<h1>River floods close two bridges</h1>
+<p class="by">By Martha Quill</p>
+<p>Heavy rain over the weekend pushed the river above its banks on Sunday evening.</p>
+<p>The county closed both bridges shortly before midnight, and drivers were sent along the northern road.</p>
+<ul><li>Engineers will inspect the piers once the water has gone down.</li>
+<li>Buses keep running on the eastern bank of the river.</li></ul>
+<p>No one was hurt, according to the fire brigade.</p>
+</article>
+<aside><h3>Read next</h3><a href="/a">School opens new library</a><a href="/b">Market hall to be rebuilt</a></aside>
+<footer><p>Copyright Valley Courier. All rights reserved.</p><p>Contact - Imprint - Privacy</p></footer>
+</body></html>''',{5, 7, 8, 9, 10, 11}),
+('''<html><head><title>Cách trồng rau trên sân thượng | Vườn Nhà</title></head><body>
+<div class="menu"><a href="#">Trang chủ</a> <a href="#">Cây cảnh</a> <a href="#">Liên hệ</a></div>
+<div class="main">
+<h2>Cách trồng rau trên sân thượng</h2>
+<p>Đăng bởi Hoàng Lan, 12/03/2024</p>
+<p>Nhiều gia đình ở thành phố tận dụng sân thượng để trồng rau sạch cho bữa ăn hằng ngày.</p>
+<p>Đất nên trộn với phân hữu cơ và xơ dừa để giữ ẩm lâu hơn.</p>
+<p>Sau ba tuần, rau cải có thể thu hoạch lứa đầu tiên.</p>
+</div>
+<div class="side"><p>Bài cùng chuyên mục</p><p>Chọn chậu cho cây ăn quả</p></div>
+<div class="foot"><p>© Vườn Nhà. Ghi rõ nguồn khi sử dụng lại.</p></div>
+</body></html>''',{4, 6, 7, 8}),
+('''<html><head><title>How we moved the database | Dev Notes</title></head><body>
+<header><a href="/">Dev Notes</a> <a href="/archive">Archive</a></header>
+<main><h1>How we moved the database</h1>
+<p>Last month we moved our main database to a new server without stopping the service.</p>
+<p>First we copied the old tables at night, then we replayed the log of changes until both sides were equal.</p>
+<p>The switch itself took nine seconds.</p></main>
+<section><h4>Share</h4><p>Share this post with your friends and subscribe to the newsletter.</p></section>
+<footer>Powered by a small script. Terms of use.</footer></body></html>''',{3, 4, 5, 6}),
+('''Home > News > City council votes on parking
+
+City council votes on parking
+The council voted on Tuesday to raise parking fees in the old town from next year.
+Residents will still be able to buy a yearly permit at half the price.
+A spokesman said that the money would go into new bicycle lanes.
+
+----
+Related: Bus fares stay the same
+Follow us for more local news
+====
+All content belongs to the City Gazette. Reproduction only with permission.''',{3, 4, 5, 6})]
+
+
+def test_pages_of_other_hands():
+    model, good, wrong = boiler.load_model(), 0, 0
+    for text, article in OTHER_PAGES:
+        found = set(boiler._lines(text, model))
+        good += len(found & article)
+        wrong += len(found ^ article)
+    assert good / (good + wrong) >= 0.9
+
+
+def test_long_lines_are_judged_by_their_words_too():
+    model = boiler.load_model()
+    page = pages.read_page("<div><p>Đăng ký kênh để không bỏ lỡ tin mới " + "và nhận thêm tin " * 12 + "</p></div>")
+    known = boiler.page_unary(page, model, {})
+    plain = boiler.page_unary(pages.read_page("<div><p>" + "xyz " * 60 + "</p></div>"), model, {})
+    assert known != plain and len(boiler.word_features("một " * 30)) == 2
+
+
+def test_labels_come_from_repetition():
+    def site(k, name, article):
+        return f"<title>Tin {k} | {name}</title>\n<p>Đăng ký nhận thư của {name} mỗi ngày nhé bạn.</p>\n<h1>Tin {k}</h1>\n<p>{article}</p>\n<p>Mục này do tòa soạn giữ bản quyền lâu dài.</p>"
+
+    rows = [(f"{name}{k}", name, site(k, name, f"Câu chuyện riêng thứ {k} kể về một người ở làng {'xa' * k}."), 200) for name in ("Báo A", "Báo B", "Báo C") for k in range(40)]
+    rows.append(("gone", "Báo A", site(99, "Báo A", "Trang này không còn ở đây nữa đâu bạn."), 404))
+    got = label_pages.labelled(rows)
+    assert got["gone"] == set() and {i: v for i, v in got.items() if i != "gone"} == {i: {3, 4} for i in got if i != "gone"}
+    assert label_pages.labelled(rows[:10]) == {}  # a small site tells nothing
+    assert len(label_pages.sample(got, {i: s for i, s, _, _ in rows})) == 121
 
 
 def _brute_repeats(docs, least, share):
@@ -88,13 +168,28 @@ def test_repeats_against_brute_force(spark):
     df = spark.createDataFrame([(*d, 7) for d in docs], "id string, source string, raw string, doc int")
     got = sorted((r["record"], r["line_no"]) for r in repeats.repeated_lines(df, "id", "source", "raw").collect())
     assert got == _brute_repeats(docs, 5, 0.2)
-    loose = repeats.repeated_lines(df, "id", "source", "raw", exact=False)
-    assert loose.count() >= len(got)
     clean = repeats.without_lines(df.where("id = 'd1'"), "id", "raw", repeats.repeated_lines(df, "id", "source", "raw")).head()["raw"]
     assert "câu riêng số 1 ở đây" in clean and clean.count("\n") < 4
     assert repeats.repeated_lines(df.limit(0), "id", "source", "raw").count() == 0
 
 
+def test_templates_have_slots(spark):
+    docs = [(f"d{i}", "s", f"Cập nhật lúc {i}h{i % 60:02d} ngày {i % 28 + 1}/3\nMời bạn đọc {('An', 'Ba', 'Chi')[i % 3]} gửi thư\nĐoạn văn {'xyz'[i % 3] * (i + 1)} kể chuyện riêng") for i in range(30)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "id string, source string, raw string, template string")
+    got = {r["template"]: r["docs"] for r in repeats.templates(df, "id", "source", "raw").collect()}
+    assert got == {"Cập nhật lúc * ngày *": 30, "Mời bạn đọc * gửi thư": 30, "Đoạn văn * kể chuyện riêng": 30}
+    gone = repeats.template_lines(df, "id", "source", "raw")
+    assert {r["line_no"] for r in gone.where("template = 'Cập nhật lúc * ngày *'").collect()} == {1}
+    clean = repeats.without_lines(df, "id", "raw", gone.where("line_no = 1")).collect()
+    assert all("Cập nhật" not in r["raw"] and "Mời bạn" in r["raw"] and r["template"] == "x" for r in clean)
+    assert repeats.repeated_lines(df, "id", "source", "raw").count() == 30  # exact texts: each name's line stands in ten documents, a third
+    assert repeats.templates(df.limit(0), "id", "source", "raw").count() == 0
+
+
+def test_references_are_read_in_plain_text():
+    assert pages.visible_lines("&copy; Báo X\nA &amp; B") == [(1, "© Báo X"), (2, "A & B")]
+
+
 def _texts(rng, n):
     words = [f"từ{i}" for i in range(3000)]
     out = {}
