@@ -174,14 +174,14 @@ def test_repeats_against_brute_force(spark):
 
 
 def test_templates_have_slots(spark):
-    docs = [(f"d{i}", "s", f"Cập nhật lúc {i}h{i % 60:02d} ngày {i % 28 + 1}/3\nMời bạn đọc {('An', 'Ba', 'Chi')[i % 3]} gửi thư\nĐoạn văn {'xyz'[i % 3] * (i + 1)} kể chuyện riêng") for i in range(30)]
+    docs = [(f"d{i}", "s", f"Cập nhật lúc {i}h{i % 60:02d} ngày {i % 28 + 1}/3\nMời quý vị bạn {('An', 'Ba', 'Chi')[i % 3]} gửi thư\nĐoạn văn này của {'xyz'[i % 3] * (i + 1)} kể riêng") for i in range(30)]
     df = spark.createDataFrame([(*d, "x") for d in docs], "id string, source string, raw string, template string")
     got = {r["template"]: r["docs"] for r in repeats.templates(df, "id", "source", "raw").collect()}
-    assert got == {"Cập nhật lúc * ngày *": 30, "Mời bạn đọc * gửi thư": 30, "Đoạn văn * kể chuyện riêng": 30}
+    assert got == {"Cập nhật lúc * ngày *": 30, "Mời quý vị bạn * gửi thư": 30, "Đoạn văn này của * kể riêng": 30}
     gone = repeats.template_lines(df, "id", "source", "raw")
     assert {r["line_no"] for r in gone.where("template = 'Cập nhật lúc * ngày *'").collect()} == {1}
     clean = repeats.without_lines(df, "id", "raw", gone.where("line_no = 1")).collect()
-    assert all("Cập nhật" not in r["raw"] and "Mời bạn" in r["raw"] and r["template"] == "x" for r in clean)
+    assert all("Cập nhật" not in r["raw"] and "Mời quý" in r["raw"] and r["template"] == "x" for r in clean)
     assert repeats.repeated_lines(df, "id", "source", "raw").count() == 30  # exact texts: each name's line stands in ten documents, a third
     assert repeats.templates(df.limit(0), "id", "source", "raw").count() == 0
 
