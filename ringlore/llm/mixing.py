@@ -2,8 +2,8 @@
 
 Method: hash-threshold histograms.  Tokens are summed by source and bucket of a hash of the record; the budgets of all
 sources are found as nested thresholds in these sums; only the bucket in which a threshold falls is refined, by further
-bits of the hash; then a record is taken by comparing its hash with its source's thresholds, without sorting.  If the record
-at a threshold is too long for what is left of a small budget, it is passed over and the search goes on behind it.
+bits of the hash; then a record is taken by comparing its hash with its source's thresholds, without sorting.  The record at a
+threshold is too long for what is left; the search goes on behind it among the records that still fit, until none does.
 
 The blend is as large as the scarcest source allows: with A tokens in a source, a share s and at most m repeats, its size is
 the least A * m / s.  Each source is used whole as often as its budget holds it, and once more in part.
@@ -25,13 +25,12 @@ from .tokens import TOKENIZER, token_count
 
 #: Bits of the hash in each round of refinement: a round's histogram has at most 2 ** BITS rows a source.
 BITS, ROUNDS = 12, 5
-#: A budget counts as met within this part of it; records passed over at most.
-NEAR, PASSES = 0.005, 12
 
 
 @dataclass
 class Share:
-    """A source's target, what it has, and what it gives: ``whole`` times all of it and the hashes in ``spans`` once more."""
+    """A source's target, what it has, and what it gives: ``whole`` times all of it, and once more the records whose hash is in
+    one of ``spans`` (first hash, end, most tokens)."""
 
     source: str
     target: float
@@ -39,7 +38,7 @@ class Share:
     available: int
     budget: float = 0.0
     whole: int = 0
-    spans: list[tuple[int, int]] = field(default_factory=list)
+    spans: list[tuple[int, int, int]] = field(default_factory=list)
 
 
 def budgets(targets: list[tuple[str, float, int]], available: dict[str, int]) -> list[Share]:
@@ -55,25 +54,29 @@ def budgets(targets: list[tuple[str, float, int]], available: dict[str, int]) ->
 
 
 def find_thresholds(rows: DataFrame, shares: list[Share]) -> None:
-    """Sets each share's spans of hashes, numbers of 60 bits, that hold together at most the rest of its budget."""
+    """Sets each share's spans of hashes, numbers of 60 bits, that hold together at most the rest of its budget, and to which
+    no record behind them can be added.
+
+    What a pass leaves is less than the record that stopped it, and the next pass only looks at what is no longer than that.
+    """
     rest = {x.source: x.budget - x.whole * x.available for x in shares if x.available and x.whole < x.max_repeats}
     low = {s: 0 for s, r in rest.items() if r >= 1}
     by = {x.source: x for x in shares}
-    for _ in range(PASSES):
-        if not low:
-            return
+    while low:
+        most = {s: int(rest[s]) for s in low}
         ends = _descend(rows, low, rest)
-        for s, (end, behind) in ends.items():
+        for s, (end, _) in ends.items():
             if end > low[s]:
-                by[s].spans.append((low[s], end))
-        low = {s: behind for s, (_, behind) in ends.items() if behind < 1 << 60 and rest[s] > max(1, NEAR * by[s].budget)}
+                by[s].spans.append((low[s], end, most[s]))
+        low = {s: behind for s, (_, behind) in ends.items() if behind < 1 << 60 and rest[s] >= 1}
 
 
 def _descend(rows: DataFrame, low: dict[str, int], rest: dict[str, float]) -> dict[str, tuple[int, int]]:
-    """For each source the end of the hashes from ``low`` on that ``rest`` holds, and the first hash behind the record there."""
+    """For each source the end of the hashes from ``low`` on that ``rest`` holds, and the first hash behind the record there;
+    records that are longer than ``rest`` are left out from the start."""
     above = F.lit(False)
     for s, a in low.items():
-        above = above | ((F.col("source") == s) & (F.col("h") >= F.lit(a)))
+        above = above | ((F.col("source") == s) & (F.col("h") >= F.lit(a)) & (F.col("n") <= F.lit(int(rest[s]))))
     at, ends = dict.fromkeys(low, 0), {}
     for k in range(ROUNDS):
         shift = 60 - BITS * (k + 1)
@@ -116,9 +119,9 @@ def mixed(rows: DataFrame, targets: list[tuple[str, float, int]]) -> tuple[DataF
     shares = budgets(targets, available)
     find_thresholds(rows, shares)
     spark = rows.sparkSession
-    rule = spark.createDataFrame([(x.source, x.whole, x.spans) for x in shares] or [("", 0, [])], "source string, whole int, spans array<struct<a:bigint,b:bigint>>")
-    out = rows.join(bounded_broadcast(rule, len(shares), 64 + 16 * PASSES), "source")
-    out = out.withColumn("repeats", F.col("whole") + F.exists("spans", lambda x: (F.col("h") >= x["a"]) & (F.col("h") < x["b"])).cast("int")).where("repeats > 0")
+    rule = spark.createDataFrame([(x.source, x.whole, x.spans) for x in shares] or [("", 0, [])], "source string, whole int, spans array<struct<a:bigint,b:bigint,most:bigint>>")
+    out = rows.join(bounded_broadcast(rule, len(shares), 64 + 24 * max((len(x.spans) for x in shares), default=0)), "source")
+    out = out.withColumn("repeats", F.col("whole") + F.exists("spans", lambda x: (F.col("h") >= x["a"]) & (F.col("h") < x["b"]) & (F.col("n") <= x["most"])).cast("int")).where("repeats > 0")
     return out.select("id", "source", F.col("n").alias("n_tokens"), "repeats"), shares
 
 

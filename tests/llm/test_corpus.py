@@ -104,6 +104,19 @@ def test_mix(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
 
 
+def test_no_record_is_left_that_still_fits(spark):
+    rng = random.Random(8)
+    rows = [(i, "b", rng.choice((900, 700, 400, 90, 35, 12, 5, 3, 2))) for i in range(400)] + [(1000 + i, "a", 997) for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, source string, n long").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 4))
+    blend, shares = mixing.mixed(df, [("a", 0.5, 1), ("b", 0.5, 1)])
+    taken = {r["id"]: r["n_tokens"] for r in blend.where("source = 'b'").collect()}
+    left = 5 * 997 - sum(taken.values())
+    assert 0 <= left < min(n for i, s, n in rows if s == "b" and i not in taken)
+    few = spark.createDataFrame([(i, "b", 50 + i % 40) for i in range(3000)] + [(5000, "a", 300)], "id long, source string, n long").withColumn("h", F.shiftrightunsigned(F.xxhash64("id"), 4))
+    got = mixing.mixed(few, [("a", 0.5, 1), ("b", 0.5, 1)])[0].where("source = 'b'").agg(F.sum("n_tokens")).head()[0]
+    assert 250 < got <= 300
+
+
 def test_mix_edges(spark):
     _, df = _mix_rows(spark)
     blend, shares = mixing.mixed(df, [("absent", 0.5, 2), ("mid", 0.5, 1)])
