@@ -1,9 +1,9 @@
 """Problem 1: personal information inside free text.
 
-Method: anchor expansion.  One Aho-Corasick automaton over the accent-folded text finds anchors (at-signs, digits,
-identifier cues, address cues, family names, organization cues); from each anchor a deterministic local parser expands
-to the item's boundaries and validates it.  Overlaps are resolved by priority and position, and every surviving item is
-replaced by a typed placeholder.
+Method: anchor expansion.  One Aho-Corasick automaton over the accent-folded text finds anchors (at-signs, schemes, digits,
+openers of addresses, identifier cues, family names, person and organization cues); at each anchor, and nowhere else, a
+deterministic local parser expands to the item's boundaries and validates it.  Overlaps are resolved by priority and position,
+and every surviving item is replaced by a typed placeholder.
 
 Defined results: a null text gives null text and no items; empty text stays empty; texts are processed whole; items are
 counted per occurrence, so repeats count each time; repeated rows are processed alike; extra columns are untouched.
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import python_udf
+from .textforms import UPPER
 
 TYPES = ("EMAIL", "PHONE", "ID_NUMBER", "ADDRESS", "NAME")
 
@@ -48,9 +49,14 @@ ORG_CUES = (
 PLACE_CUES = ("duong", "pho", "d.", "chung cu", "toa nha", "toa", "phuong", "p.", "quan", "q.", "xa", "x.", "thi tran", "tt.", "ap", "thon", "xom", "khu", "ngo", "hem", "ngach", "kiet", "huyen", "tinh", "thanh pho", "tp.", "tower", "building")
 #: Capitalized words that open a place as they stand; other capitalized words that fold to a cue are names.
 PLACE_WORDS = ("Đường", "Phố", "Phường", "Quận", "Xã", "Ngõ", "Hẻm", "Chung", "Tòa", "Toà", "Ấp", "Thôn", "Khu", "Thị", "Trường")
-ID_CUES = ("can cuoc", "cccd", "cmnd", "cmtnd", "chung minh", "dinh danh", "ho chieu", "passport", "id number", "id card", "id no", "giay to", "xac minh so")
+#: What a person does of whom a name at the start of a phrase tells.
+DOES = re.compile(r"\s+(?:called|calls|said|says|wrote|writes|asked|asks|phoned|phones|complained|complains|reported|reports|answered)\b")
+ID_CUES = ("ssn", "social security", "can cuoc", "cccd", "cmnd", "cmtnd", "chung minh", "dinh danh", "ho chieu", "passport", "id number", "id card", "id no", "giay to", "xac minh so")
 NOT_ID_CUES = ("tai khoan", "stk", "account", "acct", "ma so thue", "mst", "tax code", "otp", "ma otp", "code", "don", "order", "hoa don", "invoice", "van don", "parcel", "ma", "the")
 ACCOUNT_CUES = ("tai khoan", "stk", "account", "ma so thue", "mst", "tax code")
+#: What an address may begin with, beside a number.
+ADDRESS_CUES = ("nha so", "so", "ngo", "hem", "ngach", "kiet", "k", "can ho", "phong", "can", "flat", "apartment", "apt", "unit", "room")
+SCHEMES = ("mailto:", "tel:", "sms:", "callto:")
 EMAIL_CUES = ("@", "[at]", "(at)", "{at}", " at ", " a cong ", " a còng ")
 
 #: Lower-case words that end a name typed in lower case.
@@ -74,6 +80,8 @@ _PHONE = re.compile(
 )
 _ID12 = re.compile(r"(?<![\w#@./+\-])0(?:[ .\-]?\d){11}(?![\d@]|[-.]\d)")
 _ID9 = re.compile(r"(?<![\w#@./+\-])\d{3}([ .\-]?)\d{3}\1\d{3}(?![\d@/]|[-.,]\d| ?(?:d\b|dong\b|trieu\b|tr\d|vnd|k\b))")
+_NORTH = re.compile(r"(?<![\w#@./+\-])(?:\+?1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-.])\d{3}[-.]\d{4}(?![\w@]|[-_.]\d)")
+_SSN = re.compile(r"(?<![\w#@./+\-])\d{3}-\d\d-\d{4}(?![\w@]|[-_.]\d)")
 _PASSPORT = re.compile(r"(?<![\w#@])[a-z]( ?)\d{7}(?!\w)")
 _LOCAL_PART = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOT = r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| cham | dot | \. )"
@@ -121,7 +129,7 @@ def automaton() -> ahocorasick.Automaton:
     global _AUTOMATON
     if _AUTOMATON is None:
         a, said = ahocorasick.Automaton(), {}
-        for kind, words in (("email", EMAIL_CUES), ("digit", "0123456789"), ("person", PERSON_CUES), ("org", ORG_CUES), ("place", PLACE_CUES), ("id", ID_CUES), ("notid", NOT_ID_CUES), ("family", FAMILY), ("flat", ("flat", "apartment", "can ho"))):
+        for kind, words in (("email", EMAIL_CUES), ("digit", "0123456789"), ("person", PERSON_CUES), ("org", ORG_CUES), ("place", PLACE_CUES), ("id", ID_CUES), ("notid", NOT_ID_CUES), ("family", FAMILY), ("address", ADDRESS_CUES), ("scheme", SCHEMES)):
             for w in words:
                 said.setdefault(fold(w), set()).add(kind)
         for w, kinds in said.items():
@@ -169,7 +177,7 @@ def _organizations(text: str, low: str, cues: list[tuple[int, int]]) -> list[tup
             continue
         pos, lower, last = end, 0, end
         while m := _TOKEN.search(text, pos):
-            if (pos > end and text[pos : m.start()] not in (" ", "-", "\u00a0") or text[pos : m.start()].strip(" .-")) or m.end() - start > 120:
+            if pos > end and text[pos : m.start()] not in (" ", "-", "\u00a0") or text[pos : m.start()].strip(" .-"):
                 break
             if _capital(m[0]):
                 lower, last = 0, m.end()
@@ -198,27 +206,29 @@ def find_items(note: str) -> tuple[str, list[tuple[int, int, str]]]:
             items.append((a, b, kind))
             taken[a:b] = b"\x01" * (b - a)
 
-    for a, b in hits.get("email", ()):
+    for a, b in sorted(hits.get("email", ()), key=lambda h: (low[h[0]] != "@", h)):  # a sign before a word for it
         if m := _email(low, a, b - a):
             take(*m, "EMAIL")
-    digits = hits.get("digit", ())
-    if digits or "flat" in hits:
-        for rx in _ADDRESS:
-            for m in rx.finditer(low):
-                if not any(taken[m.start() : m.end()]):
-                    take(*_trim_address(text, m), "ADDRESS")
-    if digits:
+    runs = [a for a, _ in hits.get("digit", ()) if a == 0 or low[a - 1] not in "0123456789"]
+    if runs or "address" in hits:
+        opened = [a for a, b in hits.get("address", ()) if (a == 0 or not low[a - 1].isalnum()) and (b >= len(low) or not low[b].isalpha())]
+        for a, m in _parsed(_ADDRESS, low, sorted({*runs, *opened})):
+            if not any(taken[m.start() : m.end()]):
+                take(*_trim_address(text, m), "ADDRESS")
+    if runs:
         id_cues, not_id, account = (_Cues(low, c) for c in (hits.get("id", ()), hits.get("notid", ()), [x for x in hits.get("notid", ()) if low[x[0] : x[1]] in ACCOUNT_CUES]))
-        for m in _ID12.finditer(low):
+        schemes = {b for _, b in hits.get("scheme", ())}
+        for _, m in _parsed((_ID12,), low, runs):
             if not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
                 take(*m.span(), "ID_NUMBER")
-        for m in _PHONE.finditer(low):
+        for _, m in _parsed((_PHONE, _NORTH), low, sorted({a - k for a in runs for k in range(3) if a >= k and all(c in "+(o" for c in low[a - k : a])} | schemes)):
             if account.near(m.start(), 3) < 0:
                 take(*m.span(), "PHONE")
-        for m in _ID9.finditer(low):
-            if not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
-                take(*m.span(), "ID_NUMBER")
-        for m in _PASSPORT.finditer(low):
+        for rx in (_ID9, _SSN):
+            for _, m in _parsed((rx,), low, runs):
+                if (rx is _ID9 or id_cues.near(m.start(), 24) >= 0) and not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
+                    take(*m.span(), "ID_NUMBER")
+        for _, m in _parsed((_PASSPORT,), low, [a - k for a in runs for k in (1, 2) if a >= k]):
             if (id_cues.near(m.start(), 12) >= 0 or not m[1] and text[m.start()].isupper()) and not_id.near(m.start(), 2) < 0:
                 take(*m.span(), "ID_NUMBER")
     if "family" in hits or "person" in hits:
@@ -229,6 +239,16 @@ def find_items(note: str) -> tuple[str, list[tuple[int, int, str]]]:
     return text, sorted(items)
 
 
+def _parsed(parsers: tuple[re.Pattern, ...] | list[re.Pattern], low: str, anchors: list[int]) -> Iterator[tuple[int, re.Match]]:
+    """What each parser reads at the anchors, in reading order, none beginning within what the same parser has read."""
+    for rx in parsers:
+        end = 0
+        for a in anchors:
+            if a >= end and (m := rx.match(low, a)):
+                end = m.end()
+                yield a, m
+
+
 class _Cues:
     """Whole words of one kind, to be found by where they end."""
 
@@ -256,13 +276,19 @@ def _opens_place(text: str, low: str, a: int, b: int) -> bool:
         return said in PLACE_WORDS
     if not said.isascii() and said not in PLACE_SPELLINGS:
         return False
-    return not _CUED.search(low, max(0, a - 60), a)
+    back = a
+    for _ in range(_CUED_WORDS):
+        back = low.rfind(" ", 0, max(0, back - 1)) + 1
+        if not back:
+            break
+    return not _CUED.search(low, back, a)
 
 
 #: Place words as they are spelt; a word that folds to one of them but is spelt otherwise is a name.
 PLACE_SPELLINGS = frozenset("đường phố phường quận xã ấp thôn xóm khu ngõ hẻm ngách kiệt huyện tỉnh tòa toà trường".split())
 #: Words that open a place only before a number.
 NUMBERED = frozenset(("ngo", "hem", "ngach", "kiet"))
+_CUED_WORDS = 6  # the longest cue and the words that may stand behind it
 _CUED = re.compile(r"(?:ho ten|ten|cua|goi lai cho|nguoi (?:nhan|bao):?|ghi|xung la|chau|gap|hen|hoac|ke toan|thu quy|to|said|as) (?:[a-z]+ ){0,3}$")
 
 
@@ -270,6 +296,10 @@ def _trim_address(text: str, m: re.Match) -> tuple[int, int]:
     """The match without lower-case words that trail the last capitalized name."""
     start, end = m.span()
     words = list(_TOKEN.finditer(text, start, end))
+    if words and words[-1].end() == end and _capital(words[-1][0]):  # a name of more words than the parser asks for
+        while (w := _TOKEN.match(text, end + 1)) and text[end] == " " and _capital(w[0]) and not words[-1][0].isupper():
+            words.append(w)
+            end = w.end()
     while len(words) > 1 and not _capital(words[-1][0]) and any(_capital(w[0]) for w in words) and fold(words[-1][0]) not in ("street", "road", "lane", "avenue", "ward", "tower", "building", "district", "quarter", "town", "alley"):
         words.pop()
     return start, (words[-1].end() if words else end)
@@ -280,7 +310,18 @@ _NO_PERSON = re.compile(r"\s*(?:street|road|lane|avenue|tower|building|ward|dist
 _OPENS = re.compile(r"(?:^|[,;.:/(\n]|- |– )\s*$")
 
 
+def _of_organization(low: str, cues: list[tuple[int, int]] | tuple, at: int) -> bool:
+    """Whether an organization is named in the phrase before ``at``, whose name may still go on there, or a place just before it."""
+    if low[low.rfind(" ", 0, at - 1) + 1 : at - 1] in PLACE_CUES:
+        return True
+    phrase = max((low.rfind(c, 0, at) for c in ".,;:\n"), default=-1)
+    return any(phrase < a and b <= at for a, b in cues)
+
+
 _TITLES = frozenset("mr mrs ms miss dr".split())
+_SPELT_TITLES = frozenset("Ông Bà Anh Chị Cô Chú Bác".split())
+#: Two to four capitalized words in a row.
+_RUN = re.compile(rf"(?<![\w'])[{UPPER}][^\W\d_{UPPER}]+(?: [{UPPER}][^\W\d_{UPPER}]+){{1,3}}")
 
 
 def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], taken: bytearray) -> list[tuple[int, int, str]]:
@@ -300,8 +341,11 @@ def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], taken: b
             continue
         while text[a].isupper() and (m := _BEFORE.search(text, max(0, a - 20), a)) and m[1][0].isupper():  # a family name may stand last
             a = m.start(1)
-        if a not in starts and _OPENS.search(low, max(0, a - 3), a):
+        if a not in starts and (_OPENS.search(low, max(0, a - 3), a) or text[a].isupper() and a > 1 and low[a - 1] == " " and text[a - 2].islower() and not _of_organization(low, hits.get("org", ()), a)):
             starts[a] = False
+    for m in _RUN.finditer(text):  # whoever does something at the start of a phrase
+        if m.start() not in starts and DOES.match(low, m.end()) and _OPENS.search(low, max(0, m.start() - 3), m.start()):
+            starts[m.start()] = True
     for start in sorted(starts):
         first = _TOKEN.match(text, start)
         if not first or taken[start]:
@@ -315,7 +359,7 @@ def _names(text: str, low: str, hits: dict[str, list[tuple[int, int]]], taken: b
                 break
             words.append(m)
             pos = m.end()
-        while words and fold(words[0][0]) in _TITLES and len(words) < 4:
+        while words and (fold(words[0][0]) in _TITLES and len(words) < 4 or len(words) > 2 and words[0][0] in _SPELT_TITLES):
             words.pop(0)
         folded = [fold(w[0]) for w in words]
         if not 2 <= len(words) <= 5 or any(taken[words[0].start() : words[-1].end()]) or _NO_PERSON.match(low, words[-1].end()):

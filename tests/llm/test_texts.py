@@ -22,6 +22,12 @@ NOTES = [
     ("My neighbour Danh Tao Ha at 289 Vuon Dieu Street, Quoc Ky ward got the same call", ["NAME", "ADDRESS"]),
     ("vn.oanh @ hopthu.example, lap1960 a cong nhantin cham example", ["EMAIL", "EMAIL"]),
     ("0912345678 và 0912.345.678", ["PHONE", "PHONE"]),
+    ("Contact me at mary.johnson@example.com please, or look at an.tran@viettel.vn", ["EMAIL", "EMAIL"]),
+    ("John Smith called about 555-123-4567; Sarah Connor said so", ["NAME", "PHONE", "NAME"]),
+    ("SSN 123-45-6789, part no 123-45-6789x, mailto:a.b@c.com, tel:0912345678", ["ID_NUMBER", "EMAIL", "PHONE"]),
+    ("gửi cho Phạm Minh Đức, Hôm qua Trần Văn Bảy đến, ở đường Nguyễn Trãi", ["NAME", "NAME"]),
+    ("số 12 đường Cách Mạng Tháng Tám Mới Xưa", ["ADDRESS"]),
+    ("gọi " + "Công ty Cổ phần " + "An Phú " * 30 + "Trần Long", []),
 ]
 
 
@@ -38,6 +44,12 @@ def test_items(note, kinds):
     assert "".join([*rebuilt, plain[at:]]) == text
 
 
+def test_what_is_left_stays_readable():
+    assert pii.scrub("Contact me at mary.johnson@example.com please")[0] == "Contact me at [EMAIL] please"
+    assert pii.scrub("Anh Hùng Vương gọi")[0] == "Anh [NAME] gọi"
+    assert pii.scrub("số 12 đường Cách Mạng Tháng Tám Mới Xưa")[0] == "[ADDRESS]"
+
+
 def test_scrub_edges(spark):
     long = "x " * 200_000 + "gọi 0912345678"
     df = spark.createDataFrame([(1, None, "a"), (2, "", "a"), (3, long, "b"), (3, long, "b")], "id int, note string, items string")
