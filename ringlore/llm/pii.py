@@ -79,6 +79,8 @@ _PHONE = re.compile(
     rf"(?<![\w#@./+])(?:\(\+?84\)|\+84|84|{_ZERO}){_SEP}(?:\(0\){_SEP})?(?:[35789](?:{_SEP}{_D}){{8}}|2(?:{_SEP}{_D}){{9}})(?![\w@]|[-_.]\d)"
 )
 _ID12 = re.compile(r"(?<![\w#@./+\-])0(?:[ .\-]?\d){11}(?![\d@]|[-.]\d)")
+#: Codes of provinces run from 1 to this; an identity number begins with one.
+PROVINCES = 96
 _ID9 = re.compile(r"(?<![\w#@./+\-])\d{3}([ .\-]?)\d{3}\1\d{3}(?![\d@/]|[-.,]\d| ?(?:d\b|dong\b|trieu\b|tr\d|vnd|k\b))")
 _NORTH = re.compile(r"(?<![\w#@./+\-])(?:\+?1[ .-])?(?:\([2-9]\d\d\) ?|[2-9]\d\d[-.])\d{3}[-.]\d{4}(?![\w@]|[-_.]\d)")
 _SSN = re.compile(r"(?<![\w#@./+\-])\d{3}-\d\d-\d{4}(?![\w@]|[-_.]\d)")
@@ -219,7 +221,7 @@ def find_items(note: str) -> tuple[str, list[tuple[int, int, str]]]:
         id_cues, not_id, account = (_Cues(low, c) for c in (hits.get("id", ()), hits.get("notid", ()), [x for x in hits.get("notid", ()) if low[x[0] : x[1]] in ACCOUNT_CUES]))
         schemes = {b for _, b in hits.get("scheme", ())}
         for _, m in _parsed((_ID12,), low, runs):
-            if not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
+            if 1 <= int(re.sub(r"\D", "", m[0])[:3]) <= PROVINCES and not_id.near(m.start(), 3) <= id_cues.near(m.start(), 24):
                 take(*m.span(), "ID_NUMBER")
         for _, m in _parsed((_PHONE, _NORTH), low, sorted({a - k for a in runs for k in range(3) if a >= k and all(c in "+(o" for c in low[a - k : a])} | schemes)):
             if account.near(m.start(), 3) < 0:

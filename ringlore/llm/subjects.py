@@ -1,10 +1,11 @@
 """Problem 10: subject area of each document.
 
-Method: curated, weighted terms of each subject are matched by one multi-pattern automaton.  Terms are phrases of the
-subject's vocabulary with weights by purity and rarity (train_subjects.py); where matches overlap the longest stands.  A
-sentence's score for a subject is the sum of its terms' weights, normalized by the length of the sentence; it treats the
-subject with the highest score if that exceeds the calibrated threshold.  A document has every subject that at least a
-share of its treating sentences treat.
+Method: curated, weighted terms of each subject (subject_lexicon.txt, and those that labelled examples and the corpus add to
+them, see train_subjects.py) are matched by one multi-pattern automaton; where matches overlap the longest stands.  A term
+weighs its purity times its rarity, the share of all documents that hold it being counted over the whole table.  A
+sentence's score for a subject is the sum of its terms' weights, normalized by the length of the sentence; it treats every
+subject whose calibrated threshold its score exceeds and that is not far behind the best.  A document has every subject that
+at least a share of its treating sentences treat.
 
 Defined results: null and empty texts have no subject; texts are read whole; equal rows come out alike; languages may mix
 within a text; extra columns are untouched.
@@ -13,6 +14,7 @@ within a text; extra columns are untouched.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,16 +22,17 @@ from pathlib import Path
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_udf
-
+from .common import checkpointed, python_udf
 from .pii import fold
 
 MODEL = Path(__file__).with_name("subject_terms.json")
-#: Least share of the treating sentences.
-SHARE = 0.25
+#: Least share of the treating sentences, and of the best score for a second subject in one sentence.
+SHARE, RIVAL = 0.25, 0.65
+#: Documents that the training corpus's shares count for beside the table's own, and the share at which a term weighs its purity.
+PRIOR, RARE = 1000, 1e-4
 
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _SPACE = re.compile(r"[^\w]+", re.UNICODE)
@@ -48,60 +51,114 @@ def plain(sentence: str) -> str:
     return f" {_SPACE.sub(' ', fold(sentence)).strip()} "
 
 
+def rarity(share: float) -> float:
+    """1 for a term of one document in ten thousand, less for commoner ones, more for rarer ones."""
+    return math.log(share) / math.log(RARE)
+
+
 class Matcher:
-    """The automaton over all terms, and the scoring of sentences with it."""
+    """The automaton over all terms, and the scoring of sentences by the terms found in them.
+
+    ``model``: subjects, a threshold for each, and terms (term, index of its subject, purity, share of the training documents).
+    """
 
     def __init__(self, model: dict) -> None:
-        self.names = model["subjects"]
-        self.least = model["threshold"]
+        self.names, self.least, self.terms = model["subjects"], model["thresholds"], model["terms"]
         self.automaton = ahocorasick.Automaton()
-        for k, name in enumerate(self.names):
-            for term, weight in model["terms"][name].items():
-                self.automaton.add_word(f" {term} ", (len(term) + 2, k, weight))
+        for k, (term, *_) in enumerate(self.terms):
+            self.automaton.add_word(f" {term} ", (len(term) + 2, k))
         if len(self.automaton):
             self.automaton.make_automaton()
+        self.weigh(0, {})
 
-    def score(self, sentence: str) -> tuple[int, float]:
-        """The subject with the highest score and that score; -1 and 0 without a term."""
+    def weigh(self, documents: int, held: dict[int, int]) -> None:
+        """Sets the terms' weights by the documents of the table at hand and how many of them hold each term."""
+        self.weights = [purity * rarity((held.get(k, 0) + PRIOR * share) / (documents + PRIOR)) for k, (_, _, purity, share) in enumerate(self.terms)]
+
+    def found(self, sentence: str) -> tuple[int, list[int]]:
+        """How many words the sentence has, and the indices of its terms, the longest standing where they overlap."""
         line = plain(sentence)
-        hits = sorted(((last - n + 1, last, k, w) for last, (n, k, w) in self.automaton.iter(line)), key=lambda h: (h[0] - h[1], h[0])) if len(self.automaton) else ()
-        if not hits:
-            return -1, 0.0
-        taken = bytearray(len(line))
-        score: Counter = Counter()
-        for a, b, k, w in hits:  # the longest first; the blanks at the ends may be shared
-            if not any(taken[a + 1 : b]):
-                taken[a + 1 : b] = b"\x01" * (b - a - 1)
-                score[k] += w
-        best, top = min(score.items(), key=lambda s: (-s[1], s[0]))
-        return best, top / (line.count(" ") - 1) ** 0.5
-
-    def subject(self, sentence: str) -> int:
-        """The index of the subject that the sentence treats, or -1."""
-        best, top = self.score(sentence)
-        return best if top >= self.least else -1
-
-    def shares(self, text: str | None) -> dict[int, float]:
-        """Each subject's share of the sentences that treat any."""
-        if not text:
-            return {}
-        found = Counter(k for s in sentences(text) if (k := self.subject(s)) >= 0)
-        n = sum(found.values())
-        return {k: c / n for k, c in found.items()}
-
-
-def subjects_of(text: Column, model: dict | None = None, share: float = SHARE) -> Column:
-    """The subjects of a text, in the order of the model's list."""
+        hits = [(last - n + 1, last, k) for last, (n, k) in self.automaton.iter(line)] if len(self.automaton) else []
+        if len(hits) > 1:
+            hits.sort(key=lambda h: (h[0] - h[1], h[0]))
+            taken, kept = bytearray(len(line)), []
+            for h in hits:  # the blanks at the ends may be shared
+                if not any(taken[h[0] + 1 : h[1]]):
+                    taken[h[0] + 1 : h[1]] = b"\x01" * (h[1] - h[0] - 1)
+                    kept.append(h)
+            hits = kept
+        return line.count(" ") - 1, [k for *_, k in hits]
+
+    def scores(self, words: int, terms: list[int]) -> dict[int, float]:
+        score: dict[int, float] = {}
+        for k in terms:
+            s = self.terms[k][1]
+            score[s] = score.get(s, 0.0) + self.weights[k]
+        return {s: v / words**0.5 for s, v in score.items()}
+
+    def treats(self, words: int, terms: list[int]) -> list[int]:
+        """The indices of the subjects that a sentence treats."""
+        if not terms:
+            return []
+        score = self.scores(words, terms)
+        best = max(score.values())
+        return [s for s, v in score.items() if v >= self.least[s] and v >= RIVAL * best]
+
+    def subjects(self, sentence: str) -> list[str]:
+        return [self.names[s] for s in sorted(self.treats(*self.found(sentence)))]
+
+    def of_document(self, read: list[tuple[int, list[int]]], share: float = SHARE) -> list[str]:
+        """The subjects of a document out of its sentences as ``found``."""
+        counts, n = Counter(), 0
+        for words, terms in read:
+            if got := self.treats(words, terms):
+                n += 1
+                counts.update(got)
+        return [self.names[s] for s, c in sorted(counts.items()) if c >= share * n - 1e-9]
+
+
+FOUND = "struct<words:array<int>,ends:array<int>,terms:array<smallint>>"
+
+
+def _found_batches(batches: Iterator[pd.Series], model: dict) -> Iterator[pd.DataFrame]:
+    m = Matcher(model)
+    for texts in batches:
+        out = []
+        for text in texts:
+            words, ends, terms = [], [], []
+            for s in sentences(text) if text else ():
+                n, got = m.found(s)
+                if got:
+                    words.append(n)
+                    terms += got
+                    ends.append(len(terms))
+            out.append((words, ends, terms))
+        yield pd.DataFrame(out, columns=["words", "ends", "terms"])
+
+
+def with_subjects(df: DataFrame, text: str, out: str = "subjects", model: dict | None = None, share: float = SHARE) -> DataFrame:
+    """``df`` and the array column ``out``: texts are read once, the terms' documents counted, and the sentences scored."""
     model = model or load_model()
+    own = [c for c in df.columns if c != out]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = Matcher(model)
-        for texts in batches:
-            yield pd.Series([[m.names[k] for k, s in sorted(m.shares(t).items()) if s >= share - 1e-9] for t in texts])
-
-    return python_udf(run, "array<string>")(text)
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from _found_batches(batches, model)
 
+    rows = checkpointed(df.select(*[F.col(f"`{c}`") for c in own], python_udf(read, FOUND)(F.col(f"`{text}`")).alias("_found")))
+    held = rows.select(F.explode(F.array_distinct("_found.terms")).alias("k")).groupBy("k").agg(F.count("*").alias("n")).collect()  # at most one row a term
+    documents, counts = rows.count(), {r["k"]: r["n"] for r in held}
 
-def with_subjects(df: DataFrame, text: str, out: str = "subjects") -> DataFrame:
-    """``df`` and the array column ``out``."""
-    return df.withColumn(out, subjects_of(F.col(f"`{text}`")))
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        m = Matcher(model)
+        m.weigh(documents, counts)
+        for found in batches:
+            done = []
+            for words, ends, terms in zip(found["words"], found["ends"], found["terms"]):
+                at, parts = 0, []
+                for n, end in zip(words, ends):
+                    parts.append((int(n), [int(k) for k in terms[at:end]]))
+                    at = end
+                done.append(m.of_document(parts, share))
+            yield pd.Series(done)
+
+    return rows.withColumn(out, python_udf(score, "array<string>")("_found")).drop("_found")
