@@ -50,6 +50,19 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+#: Members of one group that one task pairs with the others.
+PAIRED = 2_000
+
+
+def paired_sides(df: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """The two sides of a join of a group's members with one another on ``group`` and ``_part``: a member of a large group
+    stands in one part on the left and in all on the right, so no task pairs a whole hot group."""
+    parts = df.groupBy(group).agg(F.ceil(F.count("*") / PAIRED).alias("_parts")).where("_parts > 1")
+    rows = df.join(parts, group, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
+    left = rows.withColumn("_part", F.pmod(F.xxhash64(*df.columns), "_parts")).drop("_parts")
+    return left, rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))).drop("_parts")
+
+
 def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, python_udf
+from .common import checkpointed, paired_sides, python_udf
 from .graph import components
 from .pii import fold
 from .textforms import skeleton
@@ -38,8 +38,6 @@ RATIO, BLOCK = 0.8, 40
 COMMON_SHARE, COMMON_LEAST = 0.002, 20
 #: Two fits are equally good within this difference of their ratios.
 EVEN = 0.02
-#: Records of one entity that one task pairs with the others; a larger entity is paired in parts.
-PAIRED = 2_000
 
 #: Kinds of organization and how they are written.
 KINDS = {
@@ -456,8 +454,7 @@ def _entities(df: DataFrame, record: str, name: str, party: str | None, number:
 def variant_pairs(df: DataFrame, record: str, name: str, party: str | None = None, number: str | None = None) -> DataFrame:
     """(identity_a, identity_b), a < b: records of one entity whose names differ as strings; a large entity is paired in parts."""
     e = checkpointed(_entities(df, record, name, party, number))
-    size = e.groupBy("_entity").agg(F.ceil(F.count("*") / PAIRED).alias("_parts")).where("_parts > 1")
-    e = e.join(size, "_entity", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1).cast("bigint")))
-    a = e.select("_entity", F.col("_record").alias("identity_a"), F.col("_name").alias("name_a"), F.pmod(F.xxhash64("_record"), "_parts").alias("_part"))
-    b = e.select("_entity", F.col("_record").alias("identity_b"), F.col("_name").alias("name_b"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1)).alias("_part"))
+    left, right = paired_sides(e, "_entity")
+    a = left.select("_entity", "_part", F.col("_record").alias("identity_a"), F.col("_name").alias("name_a"))
+    b = right.select("_entity", "_part", F.col("_record").alias("identity_b"), F.col("_name").alias("name_b"))
     return a.join(b, ["_entity", "_part"]).where("identity_a < identity_b AND name_a <> name_b").select("identity_a", "identity_b").distinct()
