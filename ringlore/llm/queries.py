@@ -142,7 +142,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").where("text IS NOT NULL")
-    return subjects.with_subjects(docs, "text").select("doc_id", F.explode("subjects").alias("subject"))
+    return subjects.with_subjects(docs, "text", keep=["doc_id"]).select("doc_id", F.explode("subjects").alias("subject"))
 
 
 def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,10 +136,13 @@ def _found_batches(batches: Iterator[pd.Series], model: dict) -> Iterator[pd.Dat
         yield pd.DataFrame(out, columns=["words", "ends", "terms"])
 
 
-def with_subjects(df: DataFrame, text: str, out: str = "subjects", model: dict | None = None, share: float = SHARE) -> DataFrame:
-    """``df`` and the array column ``out``: texts are read once, the terms' documents counted, and the sentences scored."""
+def with_subjects(df: DataFrame, text: str, out: str = "subjects", model: dict | None = None, share: float = SHARE, keep: list[str] | None = None) -> DataFrame:
+    """``df`` and the array column ``out``: texts are read once, the terms' documents counted, and the sentences scored.
+
+    ``keep`` names the columns that are wanted beside ``out``; all of these are written once on the way, so texts may be left out.
+    """
     model = model or load_model()
-    own = [c for c in df.columns if c != out]
+    own = [c for c in (df.columns if keep is None else keep) if c != out]
 
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from _found_batches(batches, model)
