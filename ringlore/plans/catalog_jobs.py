@@ -5,13 +5,13 @@ Jobs, metrics and datasets are those of adapters.py.  A write is shown as the ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import display
 from ..rules import JOB_STATUSES
 from ..session import table
-from . import adapters, catalog, ingest, marts, queue, writes
+from . import adapters, catalog, ingest, marts, pipelines, queue, writes
 from .catalog import _query, _t, ladder_sql
 
 _AT = f"TIMESTAMP '{adapters.NOW_JOBS}'"
@@ -509,3 +509,77 @@ def user_confirmed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("confirmed_national_number", "SELECT phone_e164, regexp_replace(phone_e164, '^\\+84', '0') AS national FROM phone_numbers")
 def confirmed_national_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "phone_numbers").select("phone_e164", catalog.phone.confirmed_national_number(F.col("phone_e164")).alias("national"))
+
+
+# -- collection ---------------------------------------------------------------------------------------------------
+
+_LINK = "'(?i)href=[\"'']tel:([^\"'']+)[\"'']'"
+_TITLE, _DESCRIBED = "'(?is)<title[^>]*>(.*?)</title>'", "'(?i)<meta[^>]*name=[\"'']description[\"''][^>]*content=[\"'']([^\"'']*)[\"'']'"
+
+
+@_query(
+    "html_candidate_order",
+    f"""WITH m AS (SELECT id, 0 AS k, regexp_extract_all(raw_content, {_LINK}, 1) AS found FROM raw_documents UNION ALL SELECT id, 1, regexp_extract_all({catalog._visible_sql('raw_content')}, '{catalog.PHONE_PATTERN}', 0) FROM raw_documents
+UNION ALL SELECT id, 2, regexp_extract_all(trim(regexp_extract(raw_content, {_TITLE}, 1)), '{catalog.PHONE_PATTERN}', 0) FROM raw_documents UNION ALL SELECT id, 3, regexp_extract_all(regexp_extract(raw_content, {_DESCRIBED}, 1), '{catalog.PHONE_PATTERN}', 0) FROM raw_documents),
+e AS (SELECT id, k, unnest(found) AS phone_raw, generate_subscripts(found, 1) AS n FROM m) SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k, n) AS INTEGER) AS place, phone_raw FROM e""",
+)
+def html_candidate_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidates of every page in their order: links, text, title, description."""
+    found = catalog.text.html_candidates(table(spark, sf_dir, "raw_documents").select("id", "raw_content"), "raw_content")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("method_rank", "ordinal"))
+    return found.select("id", place.alias("place"), "phone_raw")
+
+
+@_query("sitemap_resolution", "SELECT DISTINCT s.base_url, trim(t.url) AS url FROM crawl_targets t JOIN data_sources s ON s.id = t.source_id")
+def sitemap_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every target found again out of sitemaps that are written of them: an index for each site, sixteen sitemaps below it, half of them packed."""
+    targets, sources = _t(spark, sf_dir, "crawl_targets", "data_sources")
+    rows = targets.join(sources.select(F.col("id").alias("source_id"), "base_url"), "source_id").withColumn("part", F.substring("id", 1, 1))
+    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    maps = rows.groupBy("base_url", "part").agg(F.array_join(F.collect_list(loc), "").alias("urls"))
+    address = F.concat("base_url", F.lit("/map-"), "part", F.lit(".xml"))
+    leaves = maps.select(address.alias("url"), F.encode(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "urls", F.lit("</urlset>")), "UTF-8").alias("body"))
+    index = maps.groupBy("base_url").agg(F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), address, F.lit("</loc></sitemap>"))), "").alias("maps"))
+    roots = index.select(F.concat("base_url", F.lit("/sitemap.xml")).alias("url"), F.encode(F.concat(F.lit("<sitemapindex>"), "maps", F.lit("</sitemapindex>")), "UTF-8").alias("body"))
+    start = index.select("base_url", F.concat("base_url", F.lit("/sitemap.xml")).alias("sitemap"))
+    return catalog.sitemaps.resolve(start, leaves.unionByName(roots)).where("url IS NOT NULL").select("base_url", "url")
+
+
+_STATUS = "CASE source_type WHEN 'NEWS' THEN 403 WHEN 'OTHER' THEN 503 WHEN 'GOVERNMENT' THEN NULL ELSE 200 END"
+
+
+@_query(
+    "robots_permissions",
+    f"""WITH r AS (SELECT id AS source_id, {_STATUS} AS status FROM data_sources)
+SELECT t.id, CASE WHEN r.status IS NULL OR r.status = 403 THEN false WHEN r.status = 503 THEN true ELSE NOT starts_with(regexp_replace(t.url, '^[a-z]+://[^/]*', ''), '/contact') END AS allowed FROM crawl_targets t JOIN r USING (source_id)""",
+)
+def robots_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which targets may be fetched by answers made for each source: refusals, failures, silence, and rules."""
+    targets, sources = _t(spark, sf_dir, "crawl_targets", "data_sources")
+    answers = sources.select(F.col("id").alias("domain"), F.expr(_STATUS).cast("int").alias("status"), F.lit("User-agent: *\nDisallow: /contact\n").alias("body"))
+    asked = targets.select("id", F.col("source_id").alias("domain"), "url")
+    return catalog.sitemaps.with_permission(asked, answers, "ringlore").select("id", "allowed")
+
+
+@_query("header_identifiers", "SELECT name, trim(regexp_replace(lower(strip_accents(replace(replace(name, 'đ', 'd'), 'Đ', 'D'))), '[^a-z0-9]+', '_', 'g'), '_') AS identifier FROM data_sources")
+def header_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "data_sources").select("name", catalog.urls.identifier(F.col("name")).alias("identifier"))
+
+
+_FETCHED = "f AS (SELECT DISTINCT ON (url) url, raw_content, http_status FROM raw_documents WHERE url IS NOT NULL AND raw_content IS NOT NULL ORDER BY url, created_at DESC, id)"
+
+
+@_query(
+    "crawl_step",
+    f"""WITH {_FETCHED}, l AS (SELECT crawl_target_id, arg_max(content_hash, (created_at, id)) AS h FROM raw_documents WHERE crawl_target_id IS NOT NULL AND created_at < TIMESTAMP '2025-01-01' GROUP BY 1)
+SELECT t.id AS crawl_target_id, sha256(raw_content) AS content_hash, trim(regexp_extract(raw_content, {_TITLE}, 1)) AS title FROM crawl_targets t JOIN f ON f.url = t.url LEFT JOIN l ON l.crawl_target_id = t.id
+WHERE f.http_status < 400 AND sha256(raw_content) IS DISTINCT FROM l.h""",
+)
+def crawl_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that crawling all targets puts in beside those stored before 2025, their latest pages standing for the network."""
+    targets, documents = _t(spark, sf_dir, "crawl_targets", "raw_documents")
+    latest = catalog.marts.greatest_per(documents.where("url IS NOT NULL AND raw_content IS NOT NULL"), ["url"], [F.col("created_at").desc(), F.col("id")])
+    pages = latest.select("url", F.col("url").alias("final_url"), "http_status", "content_type", F.col("raw_content").alias("body"), F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.lit(False).alias("not_modified"), "fetched_at", F.lit(None).cast("string").alias("error"))
+    stored = documents.where(F.col("created_at") < marts.moment("2025-01-01 00:00:00"))
+    out = pipelines.crawled(targets, stored, marts.moment(_WRITTEN), lambda asked: pages.join(asked.select("url").distinct(), "url", "left_semi"))
+    return out["raw_documents"].select("crawl_target_id", "content_hash", "title")
