@@ -67,6 +67,11 @@ def blank_to_null(value: Column) -> Column:
     return F.when(F.trim(value) != "", value)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` and the column ``name``, computed once a row however often it is read."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def python_udf(run, returns: str):
     """A pandas function over batches, marked as not deterministic: the optimizer then keeps one evaluation where it would
     otherwise copy the call into a filter and a projection."""

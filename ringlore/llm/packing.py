@@ -16,7 +16,7 @@ import bisect
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpointed
+from .common import bounded_broadcast, checkpointed, with_once
 from .tokens import TOKENIZER, token_count
 
 #: About how many items of one length are ranked by one task; a more common length is ranked in parts.
@@ -102,9 +102,15 @@ def packed(items: DataFrame, capacity: int) -> DataFrame:
     # at most ``capacity`` rows, one a length
     counts = {r["n_tokens"]: r["c"] for r in rows.groupBy("n_tokens").agg(F.count("*").alias("c")).collect()}
     slots = plan(counts, capacity)
-    planned = spark.createDataFrame(slots, "n_tokens bigint, from_rank bigint, to_rank bigint, first bigint, each bigint")
-    placed = ranked(rows, counts).join(bounded_broadcast(planned, len(slots), 40), "n_tokens").where("rank >= from_rank AND rank < to_rank")
-    return placed.select("id", "piece_no", "start_token", "n_tokens", (F.col("first") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each"))).alias("container"))
+    runs: dict[int, list[tuple[int, int, int, int]]] = {}
+    for n, *run in slots:
+        runs.setdefault(n, []).append(tuple(run))
+    planned = spark.createDataFrame(list(runs.items()), "n_tokens bigint, runs array<struct<from_rank:bigint,to_rank:bigint,first:bigint,each:bigint>>")
+    # a row meets the runs of its length as one array, in which its rank falls into one run
+    placed = ranked(rows, counts).join(bounded_broadcast(planned, len(slots), 40), "n_tokens")
+    at = F.get(F.filter("runs", lambda r: (F.col("rank") >= r["from_rank"]) & (F.col("rank") < r["to_rank"])), F.lit(0))
+    placed = with_once(placed.select("id", "piece_no", "start_token", "n_tokens", "rank", "runs"), "_run", at)
+    return placed.select("id", "piece_no", "start_token", "n_tokens", (F.col("_run.first") + F.floor((F.col("rank") - F.col("_run.from_rank")) / F.col("_run.each"))).alias("container"))
 
 
 def pack(df: DataFrame, record: str, text: str, capacities: list[tuple[str, int]], tokenizer: str = TOKENIZER) -> DataFrame:
