@@ -2,6 +2,7 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ringlore.functions import identity, text, urls
@@ -67,3 +68,14 @@ def test_columns(spark):
     rows = spark.createDataFrame([(x,) for x in ("Điện thoại", "SĐT", "Số điện thoại")], "h string").select(urls.identifier(F.col("h")))
     assert [r[0] for r in rows.collect()] == ["dien_thoai", "sdt", "so_dien_thoai"]
     assert urls.phone_columns(spark, ["company_name", "phone", "address"]) == ["phone"] and urls.phone_columns(spark, ["Mobile", "HOTLINE", "x"]) == ["Mobile", "HOTLINE"] and urls.phone_columns(spark, ["name"]) == []
+
+
+def test_text_by_nodes(spark):
+    html = "<p>Gọi <b>0912 345</b> 678</p><!-- 0900000000 --><script>var a='0911111111';</script><ul><li>Hotline 1900&nbsp;1234</li>\n\n<li>A &eacute; B</li></ul><style>p{}</style>0987654321"
+    df = spark.createDataFrame([(1, html), (2, None), (3, ""), (4, "trần 0912345678")], "id int, raw string")
+    got = {r["id"]: r["t"] for r in df.select("id", text.node_text(F.col("raw")).alias("t")).collect()}
+    assert got == {1: "Gọi \n0912 345\n 678\nHotline 1900\u00a01234\nA é B\n0987654321", 2: None, 3: "", 4: "trần 0912345678"}
+    found = {m: {r["phone_raw"] for r in text.html_candidates(df, "raw", m).where("id = 1").collect()} for m in ("block", "node")}
+    assert "0987654321" in found["node"] & found["block"]
+    with pytest.raises(ValueError):
+        text.html_candidates(df, "raw", "tree")
