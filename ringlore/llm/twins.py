@@ -43,4 +43,10 @@ w AS (SELECT * FROM t WHERE regexp_matches(said, '[\p{{L}}\p{{N}}]')), c AS (SEL
 a AS (SELECT coalesce(source_id, '') AS s, count(*) AS total FROM raw_documents GROUP BY 1)
 SELECT id AS raw_document_id, CAST(n AS INTEGER) AS line_no FROM w JOIN c USING (s, said) JOIN a USING (s) WHERE docs >= 5 AND docs >= 0.2 * total
 """
-SQL = {"p2_found": P2, "p3_found": P3, "p6_found": P6}
+P6_CLEANED = f"""
+WITH found AS ({P6}), lines AS (SELECT id, unnest(string_split(raw_content, chr(10))) AS line, generate_subscripts(string_split(raw_content, chr(10)), 1) AS n FROM raw_documents),
+kept AS (SELECT lines.id, string_agg(line, chr(10) ORDER BY n) AS text FROM lines LEFT JOIN found ON found.raw_document_id = lines.id AND found.line_no = lines.n WHERE found.line_no IS NULL GROUP BY 1),
+touched AS (SELECT DISTINCT raw_document_id AS id FROM found)
+SELECT r.id AS raw_document_id, CASE WHEN touched.id IS NULL THEN r.raw_content ELSE coalesce(kept.text, '') END AS text FROM raw_documents r LEFT JOIN touched ON touched.id = r.id LEFT JOIN kept ON kept.id = r.id
+"""
+SQL = {"p2_found": P2, "p3_found": P3, "p6_found": P6, "p6_cleaned": P6_CLEANED}
