@@ -3,10 +3,11 @@
 Method: script-aware repair.  Characters come to one form first (wide forms, blanks, invisible characters, accents);
 then the dominant script of each token of mixed script is found by counting its letters, and those of other scripts that
 look alike are replaced, towards the dominant script first, then towards Latin, and only when the result is a word of the
-corpus vocabulary.
+corpus vocabulary.  The vocabulary alone tells a Latin word whose letters have all been replaced from a word of another script.
 
 Defined results: null stays null, empty stays empty; emoji keep their joiners and selectors; words wholly of another
-script, typographic quotes and dashes stay; repeated rows come out alike; extra columns are untouched.
+script that read as no word of the corpus, typographic quotes and dashes stay; repeated rows come out alike; extra columns
+are untouched.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ LOOK_ALIKES = {
 #: Latin letters of other languages that look like Vietnamese or English ones.
 FOREIGN_LATIN = {"Ð": "Đ", "ð": "đ", "Ɖ": "Đ", "ɖ": "đ", "ı": "i", "ɑ": "a", "ɡ": "g", "ȷ": "j", "ſ": "s", "ᴏ": "o"}
 _ALIKE = str.maketrans(LOOK_ALIKES | FOREIGN_LATIN)
+#: Look-alikes of the shape of small capitals or of a loose likeness: no word of these and others alone passes for a Latin one.
+LOOSE = frozenset("вкмтпαειηκρτυχ")
 #: The scripts towards which a token may be repaired, and each one's look-alikes of Latin letters (the first of several).
 _TOWARDS: dict[str, dict[int, str]] = {"CYRILLIC": {}, "GREEK": {}}
 for _other, _latin in LOOK_ALIKES.items():
@@ -113,13 +116,20 @@ def towards(word: str, script: str) -> str:
     return unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(table))
 
 
-def mixed_words(text: str) -> list[tuple[str, list[str]]]:
-    """Words of ``text`` (in char_form) with letters of a second script or language, and their candidates for repair: towards
-    the script of most of their letters (Latin among equals), then towards Latin."""
-    found = []
+def odd_words(text: str) -> list[tuple[int, int, list[str], bool]]:
+    """(start, end, candidates for repair, whether of mixed script) of what may be repaired in ``text`` (in char_form).
+
+    A word with letters of a second script or language is tried towards the script of most of its letters (Latin among
+    equals), then towards Latin.  Words without a Latin letter are tried towards Latin if all of their letters are close
+    look-alikes, neighbours of one script together: a word among others of its own script is read as one of that script.
+    """
+    found: list[tuple[int, int, list[str], bool]] = []
+    runs: list[list[int]] = []
+    last = ""
     for m in _WORD.finditer(text):
         word = m[0]
         if word.isascii():
+            last = ""
             continue
         scripts: dict[str, int] = {}
         foreign = False
@@ -129,13 +139,23 @@ def mixed_words(text: str) -> list[tuple[str, list[str]]]:
                     foreign |= c in FOREIGN_LATIN
                 s = _script(c)
                 scripts[s] = scripts.get(s, 0) + 1
-        if len(scripts) > 1 and "LATIN" in scripts or foreign:
+        own = "" if "LATIN" in scripts else " ".join(sorted(scripts))
+        if own and own == last:
+            runs[-1][1] = m.end()
+        elif own:
+            runs.append([m.start(), m.end()])
+        elif len(scripts) > 1 or foreign:
             dominant = max(scripts, key=lambda s: (scripts[s], s == "LATIN"))
             tried = {script: towards(word, script) for script in (dominant, "LATIN")}
             good = [r for script, r in tried.items() if all(_script(c) == script for c in r if c.isalpha())]
             if good:
-                found.append((word, good))
-    return found
+                found.append((m.start(), m.end(), good, True))
+        last = own
+    for start, end in runs:
+        latin = towards(text[start:end], "LATIN")
+        if LOOSE.isdisjoint(unicodedata.normalize("NFD", text[start:end])) and all(_script(c) == "LATIN" for c in latin if c.isalpha()):
+            found.append((start, end, [latin], False))
+    return sorted(found)
 
 
 def skeleton(text: str) -> str:
@@ -143,23 +163,27 @@ def skeleton(text: str) -> str:
     return towards(char_form(text), "LATIN").lower()
 
 
-FORM = "struct<form:string,words:array<struct<word:string,repaired:array<string>>>>"
+FORM = "struct<form:string,words:array<struct<word:string,repaired:array<string>,mixed:boolean>>>"
 
 
 def _form_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         forms = [None if t is None else char_form(t) for t in texts]
-        words = [[] if f is None else [{"word": w, "repaired": r} for w, r in dict(mixed_words(f)).items()] for f in forms]
+        words = [[] if f is None else [{"word": w, "repaired": r, "mixed": x} for w, (r, x) in {f[a:b]: (r, x) for a, b, r, x in odd_words(f)}.items()] for f in forms]
         yield pd.DataFrame({"form": forms, "words": words})
 
 
+def _replaced(form: str, known: dict[str, str]) -> str:
+    out, at = [], 0
+    for a, b, *_ in odd_words(form):
+        out += [form[at:a], known.get(form[a:b], form[a:b])]
+        at = b
+    return "".join([*out, form[at:]])
+
+
 def _replace_batches(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for forms, repairs in batches:
-        out = []
-        for form, rows in zip(forms, repairs):
-            known = {} if rows is None else {r["word"]: r["repaired"] for r in rows}
-            out.append(form if form is None or not known else _WORD.sub(lambda m: known.get(m[0], m[0]), form))
-        yield pd.Series(out)
+        yield pd.Series([form if form is None or rows is None else _replaced(form, {r["word"]: r["repaired"] for r in rows}) for form, rows in zip(forms, repairs)])
 
 
 def skeleton_column(text: Column) -> Column:
@@ -170,9 +194,22 @@ def skeleton_column(text: Column) -> Column:
     return F.when(~text.rlike(SUSPECT), F.lower(text)).otherwise(python_udf(batches, "string")(text))
 
 
-def _irregular_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+ODD = "struct<odd:boolean,words:array<struct<word:string,repaired:array<string>>>>"
+
+
+def _irregular_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.Series([(f := char_form(t)) != t or bool(mixed_words(f)) for t in texts], dtype=bool)
+        odd, words = [], []
+        for t in texts:
+            f = char_form(t)
+            met = odd_words(f)
+            odd.append(f != t or any(mixed for *_, mixed in met))
+            words.append([] if odd[-1] else [{"word": f[a:b], "repaired": r} for a, b, r, _ in met])
+        yield pd.DataFrame({"odd": odd, "words": words})
+
+
+#: What parts the words of the vocabulary.
+_APART = r"[^\p{L}\p{M}\p{Cf}]+"
 
 
 def vocabulary(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
@@ -180,11 +217,21 @@ def vocabulary(df: DataFrame, text: str, asked: DataFrame) -> DataFrame:
 
     Words are looked up while texts are split, so what is shuffled is only what was asked for.
     """
-    words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{M}\p{Cf}]+")
+    words = F.split(F.lower(F.col(text)), _APART)
     asked = checkpointed(asked.select("word").distinct())
     return df.select(F.explode(words).alias("word")).join(bounded_broadcast(asked, asked.count(), 64), "word", "left_semi").distinct()
 
 
+def confirmed(df: DataFrame, text: str, met: DataFrame) -> DataFrame:
+    """(word, repaired): for each met word (or neighbours tried together) the first candidate made of words of the vocabulary."""
+    tried = met.select("word", F.posexplode("repaired").alias("turn", "repaired")).distinct()
+    parts = tried.withColumn("_parts", F.array_distinct(F.filter(F.split(F.lower("repaired"), _APART), lambda p: p != "")))
+    parts = parts.select("*", F.size("_parts").alias("_n"), F.explode("_parts").alias("lower")).drop("_parts")
+    stand = parts.join(vocabulary(df, text, parts.select(F.col("lower").alias("word"))).withColumnRenamed("word", "lower"), "lower", "left_semi")
+    good = stand.groupBy("word", "turn", "repaired", "_n").agg(F.count("*").alias("_known")).where("_known = _n")
+    return good.groupBy("word").agg(F.min_by("repaired", "turn").alias("repaired"))
+
+
 def unified(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``df`` with ``form`` (the text in the one form), ``changed`` and ``odd_words``: how many words of mixed script it holds.
 
@@ -205,12 +252,17 @@ def unified(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 
 
 def irregular(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """The keys, once each, of texts that come to another form or hold words of mixed script, repaired or not.
+    """The keys, once each, of texts that come to another form, hold words of mixed script, repaired or not, or hold words
+    without a Latin letter that read as words of the vocabulary.
 
-    A word that the vocabulary repairs is of mixed script already, so the vocabulary cannot change which rows these are.
+    A word that the vocabulary repairs towards its own script is of mixed script already, so only words of the last kind are looked up.
     """
-    rows = df.select(*keys, text).where(F.col(text).rlike(SUSPECT)).withColumn("_odd", python_udf(_irregular_batches, "boolean")(F.col(text)))
-    return rows.where("_odd").select(*keys).distinct()
+    rows = df.select(*keys, text).where(F.col(text).rlike(SUSPECT)).select(*keys, python_udf(_irregular_batches, ODD)(F.col(text)).alias("_f"))
+    rows = checkpointed(rows.where("_f.odd OR size(_f.words) > 0"))
+    met = rows.select(*keys, F.explode("_f.words").alias("_w"))
+    known = confirmed(df, text, met.select("_w.word", "_w.repaired"))
+    read = met.join(known.select(F.col("word").alias("_known")), F.col("_w.word") == F.col("_known"), "left_semi")
+    return rows.where("_f.odd").select(*keys).unionByName(read.select(*keys)).distinct()
 
 
 def unified_suspects(df: DataFrame, rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -218,8 +270,6 @@ def unified_suspects(df: DataFrame, rows: DataFrame, keys: list[str], text: str)
     formed = rows.dropDuplicates(keys).withColumn("_f", python_udf(_form_batches, FORM)(F.col(text)))
     formed = checkpointed(formed.select(*keys, text, F.col("_f.form").alias("form"), F.col("_f.words").alias("words")))
     met = formed.select(*keys, F.explode("words").alias("w")).select(*keys, "w.word", "w.repaired")
-    tried = met.select("word", F.posexplode("repaired").alias("turn", "repaired")).distinct().withColumn("lower", F.lower("repaired"))
-    good = tried.join(vocabulary(df, text, tried.select(F.col("lower").alias("word"))).withColumnRenamed("word", "lower"), "lower", "left_semi")
-    known = good.groupBy("word").agg(F.min_by("repaired", "turn").alias("repaired"))
-    repairs = met.select(*keys, "word").join(known, "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "repaired")).alias("repairs"))
-    return formed.join(repairs, keys, "left").select(*keys, text, python_udf(_replace_batches, "string")("form", "repairs").alias("form"), F.size("words").alias("odd_words"))
+    repairs = met.select(*keys, "word").join(confirmed(df, text, met), "word").groupBy(*keys).agg(F.collect_list(F.struct("word", "repaired")).alias("repairs"))
+    odd_words = F.size(F.filter("words", lambda w: w["mixed"])).alias("odd_words")
+    return formed.join(repairs, keys, "left").select(*keys, text, python_udf(_replace_batches, "string")("form", "repairs").alias("form"), odd_words)

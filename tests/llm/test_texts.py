@@ -91,6 +91,18 @@ def test_repair_goes_towards_the_script_of_most_letters(spark):
     assert {r["id"] for r in textforms.irregular(df, ["id"], "t").collect()} == {1, 2, 3, 4, 5}
 
 
+def test_the_vocabulary_tells_a_replaced_word_from_a_foreign_one(spark):
+    texts = [
+        "\u0440. khám Hòa", "P. khám sa \u0445", "\u0410\u0456 nhận", "Ai nhận", "lê hùng \u0455\u0430, so", "\u0455\u03bf \u0455\u0430", "Аптека an", "сахар а жук", "\u0445\u0435\u0445\u0435 cười", "кот an ot", "cot", "\u03bd. thông, v. thông", "gọi\u00a0\u0430", "a", "hệ số α", None, "",
+    ]
+    df = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "id int, t string")
+    want = {0: "p. khám Hòa", 2: "Ai nhận", 4: "lê hùng sa, so", 5: "so sa", 11: "v. thông, v. thông", 12: "gọi a"}
+    got = {r["id"]: r for r in textforms.unified(df.dropDuplicates(["id"]), ["id"], "t").collect()}
+    assert {i: r["form"] for i, r in got.items()} == dict(enumerate(texts)) | want and {i for i, r in got.items() if r["changed"]} == set(want)
+    assert sorted(r["id"] for r in textforms.irregular(df, ["id"], "t").collect()) == sorted(want)
+    # 1 and 8: "x" and "xexe" are no words of the corpus; 7: among words of its own script; 9 and 14: letters that only resemble Latin ones
+
+
 def test_names_read_alike():
     assert textforms.skeleton("ΗὸΑ") == textforms.skeleton("hòa") and textforms.skeleton("kha\u0301nh") == "khánh"
 
