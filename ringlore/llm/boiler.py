@@ -15,14 +15,16 @@ from __future__ import annotations
 import json
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_udf
+from .common import portions, python_udf
 from .pages import Leaf, Page, read_page
 from .pii import fold
 
@@ -30,6 +32,7 @@ MODEL = Path(__file__).with_name("boiler_model.json")
 _WORDS = re.compile(r"[^\W\d_]+|©")
 _DATE_END = re.compile(r"\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}( \d{1,2}[:h]\d{2})?$")
 _BULLET = re.compile(r"^[*•\-–] ")
+MARKS = ("path", "bars", "dashes", "bullet")
 
 
 def load_model(path: str | Path = MODEL) -> dict:
@@ -82,17 +85,23 @@ _AFTER, _BEFORE = ({(e, s): f"{w}:{e}" + ":same" * s for e in ("stop", "date", "
 _NAMED = {t: f"<{t}" for t in ("title", "p", "li", "b", "small", "em", "i", "span", "font")} | {"a": "link", "h1": "<h", "h2": "<h", "h3": "<h"}
 
 
-def word_features(text: str) -> set[str]:
-    """The words and word pairs of a line, whatever its length, names as one word, and the marks that part it."""
-    out = set()
+def _marks(text: str) -> list[str]:
+    """The marks that part a line."""
+    out = []
     if " > " in text:
-        out.add("path")
+        out.append("path")
     if " | " in text:
-        out.add("bars")
+        out.append("bars")
     if text.count(" - ") > 1:
-        out.add("dashes")
+        out.append("dashes")
     if _BULLET.match(text):
-        out.add("bullet")
+        out.append("bullet")
+    return out
+
+
+def word_features(text: str) -> set[str]:
+    """The words and word pairs of a line, whatever its length, names as one word, and the marks that part it."""
+    out = set(_marks(text))
     words: list[str] = []
     for w in _WORDS.findall(text):
         if not words or not w[0].isupper():
@@ -104,6 +113,73 @@ def word_features(text: str) -> set[str]:
     return out
 
 
+class Numbers(dict):
+    """The words of every blank-parted piece met so far, each as its number with names as one word and as its own number."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > 100_000:
+            self.clear()
+        out, ids = array("i"), self.ids
+        for w in _WORDS.findall(piece):
+            own = ids.get(w.lower(), 0)
+            out.extend((ids["Name"] if w[0].isupper() else own, own))
+        found = self[piece] = out.tobytes()
+        return found
+
+
+class Said:
+    """What the words of lines say: for each line the sum of the weights of its ``word_features``.
+
+    No feature is spelled out.  The pieces between blanks are read once and kept as numbers of words; all lines are one array
+    of these, words and pairs are looked up in tables, and only those that have a weight are told apart.
+    """
+
+    def __init__(self, model: dict):
+        pairs = {tuple(f.split(" ")): w for f, w in model["weights"].items() if " " in f}
+        words = {f: w for f, w in model["weights"].items() if " " not in f}
+        self.ids = {w: k for k, w in enumerate(sorted({"Name", *MARKS, *words, *(w for p in pairs for w in p)}), 2)}  # 0: any other word, 1: the end of a line
+        size = self.size = len(self.ids) + 2
+        self.weights = np.array([*(words.get(w, 0.0) for w in (0, 1, *self.ids)), *pairs.values()])
+        self.has = self.weights[:size] != 0
+        self.at = np.zeros(size * size, np.min_scalar_type(len(self.weights)))  # where the weight of a pair stands
+        self.at[[self.ids[x] * size + self.ids[y] for x, y in pairs]] = range(size, len(self.weights))
+        self.known = Numbers(self.ids)
+
+    def __call__(self, texts: list[str]) -> list[float]:
+        end, size, name, known = array("i", (1, 1)).tobytes(), self.size, self.ids["Name"], self.known.__getitem__
+        read, marked = [], []
+        for n, text in enumerate(texts):
+            read += map(known, text.split())
+            read.append(end)
+            if not text[:1].isalnum() or " > " in text or " | " in text or " - " in text:
+                marked += [n * len(self.weights) + self.ids[m] for m in _marks(text)]
+        both = np.frombuffer(b"".join(read), np.int32).reshape(-1, 2)
+        ids = both[:, 0].copy()
+        stops = np.flatnonzero(ids == 1)
+        firsts = stops[:-1] + 1
+        ids[firsts] = both[firsts, 1]  # the first word of a line tells no name
+        ids[:1] = both[:1, 1]
+        names = ids == name
+        again = np.flatnonzero(names[1:] & names[:-1]) + 1
+        if len(again):
+            ids = np.delete(ids, again)
+            stops = np.flatnonzero(ids == 1)
+        one = np.flatnonzero(self.has[ids])
+        at = self.at[ids[:-1] * np.int32(size) + ids[1:]]
+        two = np.flatnonzero(at)
+        keys = np.searchsorted(stops, np.concatenate((one, two))) * len(self.weights) + np.concatenate((ids[one], at[two]))
+        if marked:
+            keys = np.concatenate((keys, marked))
+        keys.sort()
+        if len(keys):
+            keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+        lines, features = np.divmod(keys, len(self.weights))
+        return np.bincount(lines, self.weights[features], len(texts)).tolist()
+
+
 def page_features(page: Page) -> list[list[str]]:
     """All features of each leaf."""
     return [[*form, *word_features(leaf.text)] for form, leaf in zip(form_features(page), page.leaves)]
@@ -141,19 +217,10 @@ def marginals(page: Page, unary: list[float], model: dict) -> list[float]:
     return out
 
 
-def page_unary(page: Page, model: dict, known: dict[str, float]) -> list[float]:
-    """Each line's own log-likelihood ratio, without the share of content that the edges already carry.
-
-    ``known`` keeps what the words of a line say, since a site's furniture returns on every page.
-    """
+def page_unary(page: Page, model: dict, words: list[float] | None = None) -> list[float]:
+    """Each line's own log-likelihood ratio, without the share of content that the edges already carry; ``words``: what its words say."""
     weights, bias, out = model["weights"], model["bias"], []
-    for leaf, form in zip(page.leaves, form_features(page)):
-        text = leaf.text
-        said = known.get(text)
-        if said is None:
-            said = sum(weights[f] for f in word_features(text) if f in weights)
-            if len(known) < 50_000 and len(text) < 200:
-                known[text] = said
+    for said, form in zip(words or Said(model)([leaf.text for leaf in page.leaves]), form_features(page)):
         score = bias + said
         for f in form:
             if f in weights:
@@ -162,26 +229,39 @@ def page_unary(page: Page, model: dict, known: dict[str, float]) -> list[float]:
     return out
 
 
-def article_leaves(text: str | None, model: dict, known: dict[str, float] | None = None) -> list[Leaf]:
-    """The lines of a page that are its article; none if only a heading is left."""
-    if not text:
-        return []
-    page = read_page(text)
-    if not page.leaves:
-        return []
-    odds = marginals(page, page_unary(page, model, {} if known is None else known), model)
+def _article(page: Page, odds: list[float]) -> list[Leaf]:
     kept = [leaf for leaf, o in zip(page.leaves, odds) if o > 0 and "title" not in leaf.tags]
-    return kept if sum(leaf.text[-1] in ".?!…" and len(leaf.text.split()) > 4 for leaf in kept) > 0 else []
+    return kept if any(leaf.text[-1] in ".?!…" and leaf.text.count(" ") > 3 for leaf in kept) else []
+
+
+def articles(texts: list[str], model: dict, said: Said) -> list[list[Leaf]]:
+    """The lines of each page that are its article; none if only a heading is left."""
+    pages, at, out = [read_page(text) for text in texts], 0, []
+    words = said([leaf.text for page in pages for leaf in page.leaves])
+    for page in pages:
+        n = len(page.leaves)
+        out.append(_article(page, marginals(page, page_unary(page, model, words[at : at + n]), model)) if n else [])
+        at += n
+    return out
+
+
+def article_leaves(text: str | None, model: dict) -> list[Leaf]:
+    """The article of one page."""
+    return articles([text or ""], model, Said(model))[0]
+
+
+def _numbers(leaves: list[Leaf]) -> list[int]:
+    return sorted({leaf.line for leaf in leaves})
 
 
-def _lines(text: str | None, model: dict, known: dict[str, float] | None = None) -> list[int]:
-    return sorted({leaf.line for leaf in article_leaves(text, model, known)})
+def _lines(text: str | None, model: dict) -> list[int]:
+    return _numbers(article_leaves(text, model))
 
 
 def _line_batches(batches: Iterator[pd.Series], model: dict) -> Iterator[pd.Series]:
-    known: dict[str, float] = {}
+    said = Said(model)
     for texts in batches:
-        yield pd.Series([_lines(t, model, known) for t in texts])
+        yield pd.Series([_numbers(leaves) for part in portions(texts) for leaves in articles(part, model, said)])
 
 
 def article_lines(text: Column, model: dict | None = None) -> Column:
@@ -207,9 +287,9 @@ def with_body(df: DataFrame, text: str, out: str = "article", status: str | None
     model = model or load_model()
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict[str, float] = {}
+        said = Said(model)
         for texts in batches:
-            yield pd.Series(["\n".join(leaf.text for leaf in article_leaves(t, model, known)) for t in texts])
+            yield pd.Series(["\n".join(leaf.text for leaf in leaves) for part in portions(texts) for leaves in articles(part, model, said)])
 
     source = F.col(f"`{text}`")
     if status:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +76,16 @@ def python_udf(run, returns: str):
     """A pandas function over batches, marked as not deterministic: the optimizer then keeps one evaluation where it would
     otherwise copy the call into a filter and a projection."""
     return F.pandas_udf(run, returns).asNondeterministic()
+
+
+def portions(texts: Iterable[str | None], most: int = 64, letters: int = 1 << 18) -> Iterator[list[str]]:
+    """All ``texts`` in order, a few at a time: array operations cost by the call, and long texts are not held together.  Null texts are empty."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text or "")
+        size += len(part[-1])
+        if len(part) >= most or size >= letters:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part

@@ -17,6 +17,7 @@ record; links are between different records, smaller identifier first; extra col
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpointed, paired_sides, python_udf
+from .common import bounded_broadcast, checkpointed, paired_sides, portions, python_udf
 from .graph import components
 
 #: Collections of either family, MinHashes in a collection, MinHashes of the third family, and the bucket keyed once more.
@@ -45,57 +46,72 @@ _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np
 
 
 class WordHashes(dict):
-    """The hash of every word met so far."""
+    """The hashes of the words of every blank-parted piece met so far, eight bytes a word."""
 
-    def __missing__(self, word: str) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+    def __missing__(self, piece: str) -> bytes:
+        h = self[piece] = array("Q", map(xxhash.xxh3_64_intdigest, _WORD.findall(piece.lower()))).tobytes()
         return h
 
 
-def gram_hashes(words: list[str], size: int, known: WordHashes) -> np.ndarray:
-    """Distinct 32-bit hashes of the runs of ``size`` words, ascending."""
-    if len(words) < size:
-        return np.empty(0, np.uint32)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
+def gram_hashes(texts: list[list[str]], size: int, known: WordHashes) -> list[np.ndarray]:
+    """Of each text, given as its pieces, the distinct 32-bit hashes of the runs of ``size`` words, ascending."""
+    read = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+    runs = np.array([max(0, len(r) // 8 - size + 1) for r in read])
+    read = [r for r, n in zip(read, runs) if n]
+    out: list[np.ndarray] = [np.empty(0, np.uint32)] * len(texts)
+    if not read:
+        return out
+    h = np.frombuffer(b"".join(read), np.uint64)
+    n = len(h) - size + 1
     g = np.zeros(n, np.uint64)
     for k in range(size):
         g = (g ^ h[k : k + n]) * _P1
         g ^= g >> np.uint64(29)
-    g = g * _P2
-    return np.unique((g >> np.uint64(32)).astype(np.uint32))
-
-
-def sketch(grams: np.ndarray) -> tuple:
-    """(class, grams, first family, second family, third family, the halves of the signature) of a set of gram hashes."""
-    x = grams.astype(np.uint64) * _P3
-    low = (x[None, :] * _MUL[:, None]).min(axis=1) >> np.uint64(32)
-    pairs = low[: 2 * SIDE * EACH].reshape(2 * SIDE, EACH)
-    keys = np.zeros(2 * SIDE, np.uint64)
+    g = (g * _P2) >> np.uint64(32)
+    some = np.flatnonzero(runs)
+    text = np.repeat(np.arange(len(some), dtype=np.uint64), runs[some] + size - 1)
+    g = (g | text[:n] << np.uint64(32))[text[:n] == text[size - 1 :]]  # no run goes on into the next text
+    g.sort()
+    g = g[np.concatenate(([True], g[1:] != g[:-1]))]
+    ends = np.searchsorted(g, np.arange(1, len(some), dtype=np.uint64) << np.uint64(32))
+    for k, grams in zip(some, np.split(g.astype(np.uint32), ends)):
+        out[k] = grams
+    return out
+
+
+def sketch(sets: list[np.ndarray]) -> list[tuple]:
+    """(class, grams, first family, second family, third family, the halves of the signature) of sets of gram hashes, none of them empty."""
+    low = np.empty((len(sets), _HASHES), np.uint64)
+    for k, grams in enumerate(sets):
+        np.min((grams.astype(np.uint64) * _P3)[None, :] * _MUL[:, None], axis=1, out=low[k])
+    low >>= np.uint64(32)
+    pairs = low[:, : 2 * SIDE * EACH].reshape(-1, 2 * SIDE, EACH)
+    keys = np.zeros((len(sets), 2 * SIDE), np.uint64)
     for k in range(EACH):
-        keys = (keys ^ pairs[:, k]) * _P2
+        keys = (keys ^ pairs[:, :, k]) * _P2
         keys ^= keys >> np.uint64(31)
-    keys = (keys + np.arange(2 * SIDE, dtype=np.uint64)) * _P1
-    klass = np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))
-    singles = low[2 * SIDE * EACH :]
-    few = (low[: 2 * SIDE * EACH] & np.uint64((1 << BITS) - 1)).reshape(2, SIDE * EACH)
-    halves = np.bitwise_or.reduce(few << _PLACES, axis=1).astype(np.int64)
-    return (klass.astype(np.int64), grams.astype(np.int32), keys[:SIDE].astype(np.int64), keys[SIDE:].astype(np.int64), singles.astype(np.uint32).astype(np.int32), halves[0], halves[1])
+    keys = ((keys + np.arange(2 * SIDE, dtype=np.uint64)) * _P1).astype(np.int64)
+    classes = np.array([xxhash.xxh3_64_intdigest(grams.tobytes()) for grams in sets], np.uint64).astype(np.int64)
+    singles = low[:, 2 * SIDE * EACH :].astype(np.uint32).astype(np.int32)
+    few = (low[:, : 2 * SIDE * EACH] & np.uint64((1 << BITS) - 1)).reshape(-1, 2, SIDE * EACH)
+    halves = np.bitwise_or.reduce(few << _PLACES, axis=2).astype(np.int64)
+    return list(zip(classes, (grams.view(np.int32) for grams in sets), keys[:, :SIDE], keys[:, SIDE:], singles, halves[:, 0], halves[:, 1]))
 
 
-def sketches(df: DataFrame, record: str, text: str, size: int, words: Callable[[str], list[str]] | None = None) -> DataFrame:
-    """(record, klass, grams, a, b, c, low, high), written once; ``words`` reads a text's words, by default all of them."""
-    read = words or (lambda t: _WORD.findall(t.lower()))
+def sketches(df: DataFrame, record: str, text: str, size: int, pieces: Callable[[list[str]], list[list[str]]] | None = None) -> DataFrame:
+    """(record, klass, grams, a, b, c, low, high), written once; ``pieces`` reads the pieces between blanks of some texts, by default all."""
+    read = pieces or (lambda texts: [t.split() for t in texts])
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = WordHashes()
         for texts in batches:
-            if len(known) > 300_000:
-                known.clear()
-            out = []
-            for t in texts:
-                g = gram_hashes(read(t), size, known) if t else ()
-                out.append(sketch(g) if len(g) else (None,) * 7)
+            out: list[tuple] = []
+            for part in portions(texts):
+                if len(known) > 300_000:
+                    known.clear()
+                sets = gram_hashes(read(part), size, known)
+                some = iter(sketch([g for g in sets if len(g)]))
+                out += [next(some) if len(g) else (None,) * 7 for g in sets]
             yield pd.DataFrame(out, columns=["klass", "grams", "a", "b", "c", "low", "high"])
 
     rows = df.where(F.col(record).isNotNull()).select(F.col(record).alias("record"), python_udf(run, SKETCH)(text).alias("s"))

@@ -80,7 +80,41 @@ _INLINE = re.compile(r"</?(?:a|b|i|u|em|strong|span|font|small|big|sup|sub|blink
 
 
 _NONE: frozenset = frozenset()
-_ONE: dict[str, frozenset] = {}
+
+
+class _Memo(dict):
+    """What was met so far; it travels to the workers empty."""
+
+    def __reduce__(self):
+        return type(self), ()
+
+
+class _Tags(_Memo):
+    """Of every tag its element's name, what kind of element that is, and whether the tag closes it or is whole."""
+
+    def __missing__(self, piece: str) -> tuple[str, str, bool, bool]:
+        if len(self) > 20_000:
+            self.clear()
+        name = m[1].lower() if (m := _NAME.match(piece)) else ""
+        kind = "" if not name else "silent" if name in SILENT else "block" if name in BLOCKS else "break" if name in BREAKS else "inline"
+        read = self[piece] = (name, kind, piece[1] == "/", piece.endswith("/>"))
+        return read
+
+
+#: Tags and short lines met so far.  Lines are kept as (the block element they are, the text they show, the tags around it) if
+#: they leave everything as it was, so that a site's furniture, which returns on every page, is taken apart once.
+_TAGS, _LINES = _Tags(), _Memo()
+
+
+def _keep(line: str, read: tuple[str, str, frozenset]) -> None:
+    if len(line) < 200:
+        if len(_LINES) > 20_000:
+            _LINES.clear()
+        _LINES[line] = read
+
+
+def _shown(text: str) -> str:
+    return " ".join((unescape(text) if "&" in text else text).split())
 
 
 def _read_markup(text: str) -> Page:
@@ -93,84 +127,97 @@ def _read_markup(text: str) -> Page:
         n += 1
         if "<" not in line:
             if not silent and _WORDY.search(line):
-                leaves.append(Leaf(n, stack[-1], " ".join((unescape(line) if "&" in line else line).split()), frozenset(around)))
-            continue
-        if not silent and not around and (m := _WHOLE.fullmatch(line)):
-            name, said = m[1].lower(), m[2]
-            block = name in BLOCKS
-            if block:
-                names.append(name)
-                parents.append(stack[-1])
-            if _WORDY.search(said):
-                leaves.append(Leaf(n, len(names) - 1 if block else stack[-1], " ".join((unescape(said) if "&" in said else said).split()), _NONE if block else _ONE.setdefault(name, frozenset((name,)))))
+                leaves.append(Leaf(n, stack[-1], _shown(line), frozenset(around)))
             continue
+        plain = not silent and not around
+        if plain:
+            if known := _LINES.get(line):
+                if known[0]:
+                    names.append(known[0])
+                    parents.append(stack[-1])
+                if known[1]:
+                    leaves.append(Leaf(n, len(names) - 1 if known[0] else stack[-1], known[1], known[2]))
+                continue
+            if m := _WHOLE.fullmatch(line):
+                name, said = m[1].lower(), m[2]
+                block = name if name in BLOCKS else ""
+                if block:
+                    names.append(name)
+                    parents.append(stack[-1])
+                said, tags = _shown(said) if _WORDY.search(said) else "", _NONE if block else frozenset((name,))
+                if said:
+                    leaves.append(Leaf(n, len(names) - 1 if block else stack[-1], said, tags))
+                _keep(line, (block, said, tags))
+                continue
         parts: list[str] = []
         tags: set[str] = set(around)
-
-        def flush() -> None:
-            whole = "".join(parts)
-            if whole and _WORDY.search(whole):
-                if "&" in whole:
-                    whole = unescape(whole)
-                leaves.append(Leaf(n, stack[-1], " ".join(whole.split()), frozenset(tags)))
-            parts.clear()
+        within, before = True, len(leaves)
 
         for k, piece in enumerate(_TAG.split(line)):
             if not k & 1:
                 if not piece or silent:
                     continue
-                if around and around[-1] == "title":
-                    title.append(piece)
-                if piece and not piece.isspace():
-                    tags.update(around)
+                if around:
+                    if around[-1] == "title":
+                        title.append(piece)
+                        within = False
+                    if not piece.isspace():
+                        tags.update(around)
                 parts.append(piece)
                 continue
-            n += piece.count("\x01")
-            m = _NAME.match(piece)
-            if not m:
+            if "\x01" in piece:
+                n += piece.count("\x01")
+                within = False
+            name, kind, closing, whole = _TAGS[piece]
+            if not kind:
                 continue
-            name, closing = m[1].lower(), piece[1] == "/"
             if silent:
                 if closing and name == silent:
                     silent = ""
                 continue
-            if name in SILENT:
-                if not closing and not piece.endswith("/>"):
-                    silent = name
-                continue
-            if name in BLOCKS:
-                flush()
-                tags = set()
-                around.clear()
-                if not closing:
-                    if not piece.endswith("/>"):
-                        names.append(name)
-                        parents.append(stack[-1])
-                        stack.append(len(names) - 1)
-                elif any(names[s] == name for s in stack[1:]):
-                    while names[stack.pop()] != name:
-                        pass
-                continue
-            if name in BREAKS:
+            if kind == "inline":
+                if closing:
+                    if name in around:
+                        while around.pop() != name:
+                            pass
+                elif not whole:
+                    around.append(name)
+            elif kind == "break":
                 parts.append(" ")
                 if name in ("br", "hr", "meta"):
                     tags.add(name)
-                    continue
-                if closing:
+                elif closing:
                     tags.add(name)
                     while around and around.pop() != name:
                         pass
                 else:
                     around.clear()
                     around.append(name)
-                continue
-            if closing:
-                if name in around:
-                    while around.pop() != name:
+            elif kind == "block":
+                within = False
+                if parts:
+                    said = "".join(parts)
+                    if _WORDY.search(said):
+                        leaves.append(Leaf(n, stack[-1], _shown(said), frozenset(tags)))
+                    parts.clear()
+                tags = set()
+                around.clear()
+                if not closing:
+                    if not whole:
+                        names.append(name)
+                        parents.append(stack[-1])
+                        stack.append(len(names) - 1)
+                elif any(names[s] == name for s in stack[1:]):
+                    while names[stack.pop()] != name:
                         pass
-            elif not piece.endswith("/>"):
-                around.append(name)
-        flush()
+            elif not closing and not whole:
+                silent = name
+        if parts:
+            said = "".join(parts)
+            if _WORDY.search(said):
+                leaves.append(Leaf(n, stack[-1], _shown(said), frozenset(tags)))
+        if plain and within and not silent and not around:
+            _keep(line, ("", leaves[-1].text, leaves[-1].tags) if len(leaves) > before else ("", "", _NONE))
     return Page(names, parents, leaves, " ".join(unescape("".join(title)).split()), True)
 
 

@@ -94,18 +94,18 @@ def p5_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boiler.with_body(docs, "raw_content", status="http_status").select(F.col("id").alias("raw_document_id"), F.col("article").alias("text"))
 
 
-def _article_words(model: dict) -> Callable[[str], list[str]]:
-    word, known = neardup._WORD, {}
+def _article_pieces(model: dict) -> Callable[[list[str]], list[list[str]]]:
+    said = boiler.Said(model)
 
-    def words(text: str) -> list[str]:
-        return word.findall(" ".join(leaf.text for leaf in boiler.article_leaves(text, model, known)).lower())
+    def pieces(texts: list[str]) -> list[list[str]]:
+        return [" ".join(leaf.text for leaf in leaves).split() for leaves in boiler.articles(texts, model, said)]
 
-    return words
+    return pieces
 
 
 def _article_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "raw_documents").where("http_status IS NULL OR http_status < 400")
-    return neardup.sketches(docs, "id", "raw_content", 3, _article_words(boiler.load_model()))
+    return neardup.sketches(docs, "id", "raw_content", 3, _article_pieces(boiler.load_model()))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
